@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewops.fixed_values import TOPICS
 from reviewops.functions import dates, numbers
-from reviewops.functions.numbers import half_even, percent, share
+from reviewops.functions.numbers import exact_sum, half_even, percent, share
 from reviewops.operators.groups import first_n, ranked
 from reviewops.operators.topics import flag, unpivot_topics
 
@@ -29,9 +29,9 @@ def daily_facts(df: DataFrame, by: Sequence[str] = _HOTEL) -> DataFrame:
         has = F.col(flag(t))
         per_topic += [F.count_if(has).alias(f"n_{t}"),
                       F.count(F.when(has, rating)).alias(f"rated_{t}"),
-                      F.sum(F.when(has, rating)).alias(f"stars_{t}")]
+                      exact_sum(F.when(has, rating)).alias(f"stars_{t}")]
     return df.groupBy(*by, "date").agg(
-        F.count(F.lit(1)).alias("reviews"), F.count(rating).alias("rated"), F.sum(rating).alias("stars"), *per_topic)
+        F.count(F.lit(1)).alias("reviews"), F.count(rating).alias("rated"), exact_sum(rating).alias("stars"), *per_topic)
 
 
 def hotel_topics(df: DataFrame, by: Sequence[str] = _HOTEL, months: int = 12) -> DataFrame:
@@ -61,8 +61,8 @@ def _avg_with() -> Column:
 
 
 def _avg_without() -> Column:
-    return F.try_divide(F.coalesce(F.col("stars"), F.lit(0.0)) - F.coalesce(F.col("stars_with"), F.lit(0.0)),
-                        (F.col("rated") - F.col("rated_with")).cast("double"))
+    stars = F.coalesce(F.col("stars"), F.lit(0)) - F.coalesce(F.col("stars_with"), F.lit(0))
+    return share(stars, F.col("rated") - F.col("rated_with"))
 
 
 def impact_column() -> Column:

@@ -68,14 +68,14 @@ def roi_inputs(df: DataFrame, by: Sequence[str] = _BY) -> DataFrame:
         share(F.col("complaint_count"), F.col("total_reviews")).alias("complaint_rate"), impact_column().alias("impact"))
 
 
-def with_roi(df: DataFrame, room_rate: float = 150.0, occupancy: float = 0.65, as_reference: bool = False) -> DataFrame:
+def with_roi(df: DataFrame, room_rate: float = 150.0, occupancy: float = 0.65, default_inputs: bool = False) -> DataFrame:
     """Add the projection columns to rows of (rating, complaint_rate, impact, rooms, three_month_total).
 
-    ``as_reference`` uses the default complaint rate and no impact, whatever the
-    data say, as the original calculation in effect does.
+    ``default_inputs`` projects from the default complaint rate and no impact instead
+    of the measured ones.
     """
-    rate = F.lit(DEFAULT_COMPLAINT_RATE) if as_reference else F.col("complaint_rate")
-    impact = F.lit(0.0) if as_reference else F.col("impact")
+    rate = F.lit(DEFAULT_COMPLAINT_RATE) if default_inputs else F.col("complaint_rate")
+    impact = F.lit(0.0) if default_inputs else F.col("impact")
     investment, increase = F.col("three_month_total"), F.col("monthly_increase")
     monthly_unit = F.col("rooms") * room_rate * float(DAYS_PER_MONTH)
     return (df.withColumn("rating_improvement", half_even(rate * COMPLAINT_REDUCTION * impact, 2))
@@ -93,10 +93,10 @@ def with_roi(df: DataFrame, room_rate: float = 150.0, occupancy: float = 0.65, a
 
 
 def roi(df: DataFrame, costs: DataFrame, rooms: DataFrame | None = None, default_rooms: int = 100,
-        room_rate: float = 150.0, occupancy: float = 0.65, as_reference: bool = False, by: Sequence[str] = _BY) -> DataFrame:
+        room_rate: float = 150.0, occupancy: float = 0.65, default_inputs: bool = False, by: Sequence[str] = _BY) -> DataFrame:
     """Return on investment of the plan of every (hotel, topic)."""
     joined = with_rooms(roi_inputs(df, by).join(costs, [*by, "topic"]), rooms, default_rooms, by)
-    out = with_roi(joined, room_rate, occupancy, as_reference)
+    out = with_roi(joined, room_rate, occupancy, default_inputs)
 
     def cents(c: str) -> Column:
         return half_even(F.col(c), 2).alias(c)

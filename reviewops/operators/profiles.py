@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewops.fixed_values import TOPICS
 from reviewops.functions import dates, lexicon, numbers, text
-from reviewops.functions.numbers import half_even, percent, share
+from reviewops.functions.numbers import exact_mean, half_even, percent
 from reviewops.operators.filters import filter_recent
 from reviewops.operators.groups import first_n, rows_of_top
 from reviewops.operators.topics import flag, unpivot_topics
@@ -34,7 +34,7 @@ def hotel_stats(reviews: DataFrame, hotels: DataFrame | None = None) -> DataFram
     reviews shows 0, 0.0 and "N/A".
     """
     stats = reviews.groupBy(text.strip(F.col("Hotel_Name")).alias("Hotel_Name")).agg(
-        F.count(F.lit(1)).alias("total_reviews"), half_even(F.avg("Reviewer_Score"), 2).alias("avg_rating"),
+        F.count(F.lit(1)).alias("total_reviews"), half_even(exact_mean(F.col("Reviewer_Score"), 18), 2).alias("avg_rating"),
         F.min("Review_Date").alias("first"), F.max("Review_Date").alias("last"))
     if hotels is not None:
         names = hotels.select(text.strip(F.col("Hotel_Name")).alias("Hotel_Name")).distinct()
@@ -54,20 +54,20 @@ def hotel_summary(df: DataFrame, sentiment_first: int | None = None) -> DataFram
     all reviews, or over the first ``sentiment_first`` of each hotel.
     """
     score = F.col("sentiment_score") if "sentiment_score" in df.columns else lexicon.sentiment_score(F.col("review_text"))
-    totals = [F.count(F.lit(1)).alias("total_reviews"), half_even(F.avg("rating"), 2).alias("avg_rating")]
+    totals = [F.count(F.lit(1)).alias("total_reviews"), half_even(exact_mean(F.col("rating")), 2).alias("avg_rating")]
     if sentiment_first is None:
-        out = df.groupBy("Hotel_Name").agg(*totals, half_even(F.avg(score), 3).alias("avg_sentiment"))
+        out = df.groupBy("Hotel_Name").agg(*totals, half_even(exact_mean(score), 3).alias("avg_sentiment"))
     else:
         head = first_n(df.select("Hotel_Name", "review_id", "review_text", *(
             ["sentiment_score"] if "sentiment_score" in df.columns else [])), ["Hotel_Name"], [F.col("review_id")], sentiment_first)
-        sentiment = head.groupBy("Hotel_Name").agg(half_even(F.avg(score), 3).alias("avg_sentiment"))
+        sentiment = head.groupBy("Hotel_Name").agg(half_even(exact_mean(score), 3).alias("avg_sentiment"))
         out = df.groupBy("Hotel_Name").agg(*totals).join(sentiment, "Hotel_Name")
     health = numbers.health_score(F.col("avg_rating"))
     return out.withColumn("health_score", health).withColumn("health_band", numbers.health_band(F.col("health_score")))
 
 
 def top_hotels(df: DataFrame, n: int = 20) -> DataFrame:
-    return (df.groupBy("Hotel_Name").agg(F.count("rating").alias("reviews"), half_even(F.avg("rating"), 2).alias("avg_rating"))
+    return (df.groupBy("Hotel_Name").agg(F.count("rating").alias("reviews"), half_even(exact_mean(F.col("rating")), 2).alias("avg_rating"))
             .orderBy(F.desc("reviews"), "Hotel_Name").limit(n))
 
 
@@ -83,7 +83,7 @@ def date_ranges(df: DataFrame) -> DataFrame:
 def monthly_rating(df: DataFrame) -> DataFrame:
     """Mean rating per (hotel, month), with the hotel's mean over its months."""
     months = (df.filter(F.col("date").isNotNull())
-              .groupBy("Hotel_Name", dates.year_month(F.col("date")).alias("month")).agg(F.avg("rating").alias("avg")))
+              .groupBy("Hotel_Name", dates.year_month(F.col("date")).alias("month")).agg(exact_mean(F.col("rating")).alias("avg")))
     over_months = F.avg("avg").over(Window.partitionBy("Hotel_Name"))
     return months.select("Hotel_Name", "month", half_even(F.col("avg"), 4).alias("avg_rating"),
                          half_even(over_months, 4).alias("avg_line"))
@@ -107,8 +107,8 @@ def recent_snapshot(df: DataFrame, months: int = 1) -> DataFrame:
     scored = df if "sentiment_score" in df.columns else df.withColumn(
         "sentiment_score", lexicon.sentiment_score(F.col("review_text")))
     return filter_recent(scored, "date", months).groupBy("Hotel_Name").agg(
-        F.count(F.lit(1)).alias("reviews"), half_even(F.avg("rating"), 2).alias("avg_rating"),
-        half_even(F.avg("sentiment_score"), 2).alias("avg_sentiment"),
+        F.count(F.lit(1)).alias("reviews"), half_even(exact_mean(F.col("rating")), 2).alias("avg_rating"),
+        half_even(exact_mean(F.col("sentiment_score")), 2).alias("avg_sentiment"),
         F.rint(F.avg((F.col("sentiment_score") > 0.3).cast("double")) * 100).alias("positive_pct"))
 
 
@@ -189,7 +189,7 @@ def label_distribution(df: DataFrame, label: str = "sentiment_label") -> DataFra
 
 def sentiment_by_rating(df: DataFrame, score: str = "sentiment_score") -> DataFrame:
     return (df.filter(F.col("rating").isNotNull()).groupBy(F.rint("rating").cast("int").alias("stars"))
-            .agg(half_even(F.avg(score), 4).alias("avg_score"), F.count(F.lit(1)).alias("reviews")))
+            .agg(half_even(exact_mean(F.col(score)), 4).alias("avg_score"), F.count(F.lit(1)).alias("reviews")))
 
 
 def label_share_by(df: DataFrame, column: str, label: str = "sentiment_label", top: int = 10) -> DataFrame:
@@ -206,7 +206,7 @@ def agreement_rate(df: DataFrame, a: str, b: str) -> DataFrame:
 def opinion_statistics(df: DataFrame) -> DataFrame:
     """Range of polarity, mean subjectivity, and how many reviews are objective or subjective."""
     return df.agg(half_even(F.min("polarity"), 3).alias("min_polarity"), half_even(F.max("polarity"), 3).alias("max_polarity"),
-                  half_even(F.avg("polarity"), 3).alias("avg_polarity"),
-                  half_even(F.avg("subjectivity"), 3).alias("avg_subjectivity"),
+                  half_even(exact_mean(F.col("polarity")), 3).alias("avg_polarity"),
+                  half_even(exact_mean(F.col("subjectivity")), 3).alias("avg_subjectivity"),
                   F.count_if(F.col("subjectivity") < 0.5).alias("objective"),
                   F.count_if(F.col("subjectivity") >= 0.5).alias("subjective"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewops.fixed_values import TOPIC_KEYWORDS, TOPICS
 from reviewops.functions import text
-from reviewops.functions.numbers import half_even, percent
+from reviewops.functions.numbers import exact_mean, half_even, percent
 from reviewops.operators.groups import exploded, first_n, rows_of_top
 
 
@@ -113,7 +113,7 @@ def union_labels(a: Column, b: Column) -> Column:
 
 def corpus_rating_drop(df: DataFrame) -> DataFrame:
     """Overall mean rating minus the mean of reviews with the topic."""
-    wide = df.agg(F.avg("rating").alias("overall"),
-                  *[F.avg(F.when(F.col(flag(t)), F.col("rating"))).alias(f"avg_{t}") for t in TOPICS])
+    wide = df.agg(exact_mean(F.col("rating")).alias("overall"),
+                  *[exact_mean(F.when(F.col(flag(t)), F.col("rating"))).alias(f"avg_{t}") for t in TOPICS])
     rows = unpivot_topics(wide, ["overall"], {"avg_with": "avg"})
     return rows.select("topic", half_even(F.col("overall") - F.col("avg_with"), 4).alias("rating_drop"))
