@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 
 from reviewops.fixed_values import LEXICON, NEGATION_FACTOR, NEGATION_REACH, NEGATIONS, SCORE_ALPHA
 from reviewops.functions.numbers import half_even
-from reviewops.functions.text import alphabetic_words, clean_text, is_blank, sentences
+from reviewops.functions.text import alphabetic_words, clean_text, is_blank, let, sentences
 
 
 @lru_cache(maxsize=None)
@@ -47,18 +47,19 @@ def sentiment_score(text: Column) -> Column:
     A word with a negation among the three words before it counts reversed and
     weakened. Blank text scores 0.
     """
-    tokens = F.split(clean_text(text), " ")
+    def signed(words: Column) -> Column:
+        def value(word: Column, i: Column) -> Column:
+            first = F.greatest(i - NEGATION_REACH, F.lit(0))
+            negated = F.exists(F.slice(words, first + 1, i - first), lambda w: w.isin(NEGATIONS))
+            return F.when(is_opinion_word(word), word_valence(word) * F.when(negated, NEGATION_FACTOR).otherwise(100)).otherwise(0)
 
-    def signed(word: Column, i: Column) -> Column:
-        valence = word_valence(word)
-        first = F.greatest(i - NEGATION_REACH, F.lit(0))
-        negated = F.exists(F.slice(tokens, first + 1, i - first), lambda w: w.isin(NEGATIONS))
-        return F.when(valence == 0, 0).otherwise(
-            valence * F.when(negated, NEGATION_FACTOR).otherwise(100))
+        return F.aggregate(F.transform(words, value), F.lit(0).cast("long"), lambda acc, v: acc + v) / 10_000.0
 
-    total = F.aggregate(F.transform(tokens, signed), F.lit(0).cast("long"), lambda acc, v: acc + v) / 10_000.0
-    score = half_even(total / F.sqrt(total * total + float(SCORE_ALPHA)), 4)
-    return F.when(is_blank(text), 0.0).otherwise(score)
+    def normalised(total: Column) -> Column:
+        return half_even(total / F.sqrt(total * total + float(SCORE_ALPHA)), 4)
+
+    total = let(F.split(clean_text(text), " "), signed)
+    return F.when(is_blank(text), 0.0).otherwise(let(total, normalised))
 
 
 def sentiment_label(score: Column) -> Column:
@@ -85,8 +86,11 @@ def opinion_words(text: Column) -> Column:
 
 
 def _mean_of(words: Column, hundredths, scale: float) -> Column:
-    total = F.aggregate(words, F.lit(0), lambda acc, w: acc + hundredths(w))
-    return F.when(F.size(words) == 0, 0.0).otherwise(half_even(F.try_divide(total, F.size(words)) / scale, 4))
+    def mean(ws: Column) -> Column:
+        total = F.aggregate(ws, F.lit(0), lambda acc, w: acc + hundredths(w))
+        return F.when(F.size(ws) == 0, 0.0).otherwise(half_even(F.try_divide(total, F.size(ws)) / scale, 4))
+
+    return let(words, mean)
 
 
 def polarity(text: Column) -> Column:

@@ -21,6 +21,15 @@ ACCENTED = "".join(c for c, p in _PLAIN.items() if p != c and len(p) == 1)
 UNACCENTED = "".join(_PLAIN[c] for c in ACCENTED)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it as often as ``body`` likes.
+
+    An expression repeated in the branches of a condition, or used inside a lambda, is
+    evaluated again at each use; a variable of a lambda over one element is not.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def words_in(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -82,8 +91,8 @@ def has_negation(text: Column) -> Column:
 
 def truncate_words(text: Column, max_words: int = 100) -> Column:
     words = split_words(text)
-    return (F.when(F.size(words) > max_words, F.concat(F.array_join(F.slice(words, 1, max_words), " "), F.lit("...")))
-            .otherwise(F.coalesce(text, F.lit(""))))
+    return let(words, lambda w: F.when(F.size(w) > max_words, F.concat(F.array_join(F.slice(w, 1, max_words), " "), F.lit("...")))
+               .otherwise(F.coalesce(text, F.lit(""))))
 
 
 def minimal_keywords(keywords: Iterable[str]) -> list[str]:
@@ -109,12 +118,12 @@ def mentions_any(lower_text: Column, keywords: Iterable[str], word_boundary: boo
         pattern = "|".join(re.escape(k) for k in keywords)
         return F.coalesce(lower_text.rlike(rf"\b(?:{pattern})\b"), F.lit(False))
     words = words_in(minimal_keywords(keywords))
-    return F.coalesce(F.exists(F.array(lower_text), lambda t: F.exists(words, lambda k: t.contains(k))), F.lit(False))
+    return F.coalesce(let(lower_text, lambda t: F.exists(words, lambda k: t.contains(k))), F.lit(False))
 
 
 def first_keyword(lower_text: Column, keywords: Iterable[str]) -> Column:
     """First keyword, in list order, that occurs in the text; NULL if none does."""
-    return F.get(F.filter(words_in(keywords), lambda k: lower_text.contains(k)), 0)
+    return let(lower_text, lambda t: F.get(F.filter(words_in(keywords), lambda k: t.contains(k)), 0))
 
 
 def snippet_around(lower_text: Column, keyword: Column, before: int = 40, after: int = 60) -> Column:
@@ -154,7 +163,8 @@ def term_tokens(text: Column) -> Column:
 
 def adjacent_pairs(tokens: Column) -> Column:
     """Neighbouring tokens joined by a space."""
-    return F.when(F.size(tokens) < 2, F.array().cast("array<string>")).otherwise(
-        F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))),
-                   F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))),
-                   lambda a, b: F.concat(a, F.lit(" "), b)))
+    def pairs(ts: Column) -> Column:
+        shorter = F.greatest(F.size(ts) - 1, F.lit(0))
+        return F.zip_with(F.slice(ts, F.lit(1), shorter), F.slice(ts, F.lit(2), shorter), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    return let(tokens, pairs)

@@ -26,17 +26,18 @@ def cause_order(cause: Column) -> Column:
     return _lookup(cause, {c: i for i, c in enumerate(CAUSES)})
 
 
-def _with_causes(df: DataFrame) -> DataFrame:
-    """Reviews with their lower-cased text and the causes whose words occur in it."""
+def add_causes(df: DataFrame, column: str = "review_text") -> DataFrame:
+    """Add ``causes``, the array of causes whose words occur in the text."""
     lower = F.col("_lower")
     found = F.array_compact(F.array(*[F.when(text.mentions_any(lower, words), F.lit(c)) for c, words in CAUSE_KEYWORDS.items()]))
-    return df.withColumn("_lower", F.lower("review_text")).withColumn("_causes", found)
+    return df.withColumn("_lower", F.lower(column)).withColumn("causes", found).drop("_lower")
 
 
 def cause_counts(df: DataFrame, by: Sequence[str] = _BY) -> DataFrame:
     """Reviews per (hotel, topic, cause); the row without a cause counts all reviews of the topic."""
-    marks = F.concat(F.array(F.lit(None).cast("string")), F.col("_causes"))
-    rows = exploded(_with_causes(df).select(*by, "topics", marks.alias("_marks")), "topic", "topics")
+    marked = df if "causes" in df.columns else add_causes(df)
+    marks = F.concat(F.array(F.lit(None).cast("string")), F.col("causes"))
+    rows = exploded(marked.select(*by, "topics", marks.alias("_marks")), "topic", "topics")
     return (rows.select(*by, "topic", F.explode_outer("_marks").alias("cause"))
             .groupBy(*by, "topic", "cause").agg(F.count(F.lit(1)).alias("hits")))
 
@@ -76,11 +77,14 @@ def root_causes(df: DataFrame, by: Sequence[str] = _BY) -> DataFrame:
 def evidence_snippets(df: DataFrame, by: Sequence[str] = _BY, n: int = 3) -> DataFrame:
     """The first ``n`` reviews per (hotel, topic, cause), cut around the first keyword found."""
     lower = F.col("_lower")
-    quotes = F.array_compact(F.array(*[
-        F.when(F.array_contains("_causes", c), F.struct(
-            F.lit(c).alias("cause"), text.snippet_around(lower, text.first_keyword(lower, words)).alias("snippet")))
-        for c, words in CAUSE_KEYWORDS.items()]))
-    quoted = exploded(_with_causes(df).select(*by, "review_id", "topics", quotes.alias("_quotes")), "topic", "topics")
+
+    def quote(cause: str, words: Sequence[str]) -> Column:
+        return text.let(text.first_keyword(lower, words), lambda kw: F.when(kw.isNotNull(), F.struct(
+            F.lit(cause).alias("cause"), text.snippet_around(lower, kw).alias("snippet"))))
+
+    quotes = F.array_compact(F.array(*[quote(c, words) for c, words in CAUSE_KEYWORDS.items()]))
+    lowered = df.withColumn("_lower", F.lower("review_text"))
+    quoted = exploded(lowered.select(*by, "review_id", "topics", quotes.alias("_quotes")), "topic", "topics")
     rows = quoted.select(*by, "review_id", "topic", F.inline_outer("_quotes")).filter(F.col("cause").isNotNull())
     return first_n(rows, [*by, "topic", "cause"], [F.col("review_id")], n)
 

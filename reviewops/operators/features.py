@@ -20,7 +20,7 @@ def _terms(column: Column, ngrams: int, stop_words: Sequence[str]) -> Column:
     tokens = text.term_tokens(column)
     if stop_words:
         tokens = text.remove_words(tokens, stop_words)
-    return tokens if ngrams == 1 else F.concat(tokens, text.adjacent_pairs(tokens))
+    return tokens if ngrams == 1 else text.let(tokens, lambda t: F.concat(t, text.adjacent_pairs(t)))
 
 
 def term_counts(df: DataFrame, key: str, column: str, ngrams: int = 2, stop_words: Sequence[str] = ()) -> DataFrame:

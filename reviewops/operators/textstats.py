@@ -67,17 +67,10 @@ def collocations(df: DataFrame, keys: Sequence[str] = ("Hotel_Name",), n: int =
 
 
 def text_analysis(df: DataFrame, key: str = "review_id", column: str = "review_text") -> DataFrame:
-    """All per-text statistics in one row: opinion, sentences, tokens and keywords.
-
-    Keywords are counted inside the row, so nothing shuffles.
-    """
-    words = content_words(F.col(column))
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct(
-        (-F.size(F.filter(words, lambda x: x == w))).alias("n"), w.alias("word")))
-    top = F.transform(F.slice(F.array_sort(counted), 1, 15), lambda k: k.word)
-    tokens = token_profile(df, column)
-    return tokens.select(
+    """All per-text statistics in one row: opinion, sentences, tokens and keywords."""
+    tokens = token_profile(df, column).select(
         key, lexicon.polarity(F.col(column)).alias("polarity"), lexicon.subjectivity(F.col(column)).alias("subjectivity"),
         F.size(text.sentences(F.col(column))).alias("sentence_count"), "token_count", "word_count", "non_stop_word_count",
-        "unique_words", "avg_word_length", "vocabulary_richness",
-        lexicon.subjective_words(F.col(column)).alias("subjective_words"), top.alias("keywords"))
+        "unique_words", "avg_word_length", "vocabulary_richness", lexicon.subjective_words(F.col(column)).alias("subjective_words"))
+    found = tokens.join(keywords(df, [key], 15, column), key, "left")
+    return found.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))

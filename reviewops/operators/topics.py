@@ -17,22 +17,21 @@ def flag(topic: str) -> str:
     return f"has_{topic}"
 
 
-def topics_from_flags(topics: Sequence[str] = TOPICS) -> Column:
-    """Array of the topics whose flag is set, in dictionary order."""
-    return F.array_compact(F.array(*[F.when(F.col(flag(t)), F.lit(t)) for t in topics]))
+def topics_in(lower_text: Column, keywords: Mapping[str, Sequence[str]] = TOPIC_KEYWORDS, word_boundary: bool = False) -> Column:
+    """Array of the topics whose words occur in lower-cased text, in dictionary order."""
+    return F.array_compact(F.array(*[F.when(text.mentions_any(lower_text, words, word_boundary), F.lit(t))
+                                     for t, words in keywords.items()]))
 
 
 def add_topics(df: DataFrame, column: str = "review_text", keywords: Mapping[str, Sequence[str]] = TOPIC_KEYWORDS,
                word_boundary: bool = False) -> DataFrame:
-    """Tag each review: eight ``has_<topic>`` flags and the ``topics`` array.
+    """Tag each review: the ``topics`` array and eight ``has_<topic>`` flags read off it.
 
     Words match anywhere in the lower-cased text, inside other words too, unless
-    ``word_boundary`` is set. The text is lower-cased once.
+    ``word_boundary`` is set. The text is lower-cased and searched once.
     """
-    lowered = df.withColumn("_lower", F.lower(column))
-    flagged = lowered.withColumns(
-        {flag(t): text.mentions_any(F.col("_lower"), words, word_boundary) for t, words in keywords.items()})
-    return flagged.withColumn("topics", topics_from_flags(list(keywords))).drop("_lower")
+    tagged = df.withColumn("_lower", F.lower(column)).withColumn("topics", topics_in(F.col("_lower"), keywords, word_boundary))
+    return tagged.drop("_lower").transform(add_topic_flags, "topics", list(keywords))
 
 
 def add_topic_flags(df: DataFrame, topic_column: str = "topics", topics: Sequence[str] = TOPICS) -> DataFrame:

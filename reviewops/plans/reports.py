@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from reviewops.operators import causes, impact, planning, profiles, topics
-from reviewops.operators.groups import rows_of_top
 from reviewops.functions import numbers
+from reviewops.operators import causes, impact, planning, profiles, sentiment, topics
+from reviewops.operators.groups import rows_of_top
+from reviewops.session import cut_lineage
 
 
 def hotel_plans(df: DataFrame, rooms: DataFrame | None = None) -> DataFrame:
@@ -16,9 +17,20 @@ def hotel_plans(df: DataFrame, rooms: DataFrame | None = None) -> DataFrame:
     return planning.action_plans(found, rooms)
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """What the report needs of each review, without its text: topics, causes, sentiment, rating and date."""
+    return (df.transform(causes.add_causes).transform(sentiment.with_sentiment)
+            .select("Hotel_Name", "date", "rating", "topics", "causes", "sentiment_score"))
+
+
 def report_tables(df: DataFrame, top: int | None = None, rooms: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Report sections by name. ``top`` limits them to the hotels with the most reviews."""
-    chosen = rows_of_top(df, "Hotel_Name", top) if top else df
+    """Report sections by name. ``top`` limits them to the hotels with the most reviews.
+
+    All sections read the same few columns per review. These are worked out in one
+    pass over the texts and written to the checkpoint folder, so that five sections
+    do not read and search the texts five times.
+    """
+    chosen = cut_lineage(compact(rows_of_top(df, "Hotel_Name", top) if top else df)).transform(topics.add_topic_flags)
     plan = hotel_plans(chosen, rooms)
     return {
         "summary": profiles.hotel_summary(chosen),

@@ -24,17 +24,31 @@ POSITIVE = ["Great location", "No Positive", "Lovely view", "Helpful staff", "No
 COUNTRIES = ["United Kingdom", "France", "Germany", "Spain", "Italy", "Ireland", "Norway", "Poland", "Greece", "Japan", "Brazil", "Kenya"]
 
 
+SMALL_SPLITS = 8  # a split holds at most spark.sql.files.maxPartitionBytes, so this bounds the size as well
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores; a scan of many splits is left as it is.
+
+    A file of one row group is read by one task, however many cores wait, and text
+    work would then run on one core. Only inputs of a few splits are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits <= SMALL_SPLITS and splits <= cores else df
+
+
 def _pick(values: list[str], index) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
 def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw reviews, as they would come out of a CSV file: text dates, ten-point scores."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     key, guest = F.col("o_orderkey"), F.col("o_custkey")
@@ -52,8 +66,8 @@ def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as reviews of their sources: text only, no score and no date."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("review_id"), F.col("source").alias("Hotel_Name"), F.col("text").alias("review_text"))
+    return spread(table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("review_id"), F.col("source").alias("Hotel_Name"), F.col("text").alias("review_text")))
 
 
 def hotel_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
