@@ -18,18 +18,21 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
-def exact_sum(value: Column, digits: int = 8) -> Column:
+EXACT = "decimal(8,5)"
+
+
+def exact_sum(value: Column, kind: str = EXACT) -> Column:
     """Sum of values with up to five decimals, as a decimal.
 
     Scores and ratings have one or two decimals, sentiment scores four. Decimal sums
     do not depend on the order of the rows, so neither layout nor retries can move a
-    mean across a rounding edge. Up to eight digits the sum stays in 64-bit integers.
+    mean across a rounding edge. With eight digits the sum stays in 64-bit integers.
     """
-    return F.sum(value.try_cast(f"decimal({digits},5)"))
+    return F.sum(value.try_cast(kind))
 
 
-def exact_mean(value: Column, digits: int = 8) -> Column:
-    return F.try_divide(exact_sum(value, digits).cast("double"), F.count(value).cast("double"))
+def exact_mean(value: Column, kind: str = EXACT) -> Column:
+    return F.try_divide(exact_sum(value, kind).cast("double"), F.count(value).cast("double"))
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:

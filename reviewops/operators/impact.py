@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewops.fixed_values import TOPICS
 from reviewops.functions import dates, numbers
-from reviewops.functions.numbers import exact_sum, half_even, percent, share
+from reviewops.functions.numbers import EXACT, exact_sum, half_even, percent, share
 from reviewops.operators.groups import first_n, ranked
 from reviewops.operators.topics import flag, unpivot_topics
 
@@ -23,15 +23,11 @@ _HOTEL = ("Hotel_Name",)
 
 def daily_facts(df: DataFrame, by: Sequence[str] = _HOTEL) -> DataFrame:
     """Per (hotel, day): reviews, rated reviews, rating sum, and the same per topic."""
-    rating = F.col("rating")
-    per_topic = []
-    for t in TOPICS:
-        has = F.col(flag(t))
-        per_topic += [F.count_if(has).alias(f"n_{t}"),
-                      F.count(F.when(has, rating)).alias(f"rated_{t}"),
-                      exact_sum(F.when(has, rating)).alias(f"stars_{t}")]
+    per_topic = [F.expr(e) for t in TOPICS for e in (
+        f"count_if({flag(t)}) AS n_{t}", f"count(CASE WHEN {flag(t)} THEN rating END) AS rated_{t}",
+        f"sum(CASE WHEN {flag(t)} THEN try_cast(rating AS {EXACT}) END) AS stars_{t}")]
     return df.groupBy(*by, "date").agg(
-        F.count(F.lit(1)).alias("reviews"), F.count(rating).alias("rated"), exact_sum(rating).alias("stars"), *per_topic)
+        F.count(F.lit(1)).alias("reviews"), F.count("rating").alias("rated"), exact_sum(F.col("rating")).alias("stars"), *per_topic)
 
 
 def hotel_topics(df: DataFrame, by: Sequence[str] = _HOTEL, months: int = 12) -> DataFrame:
@@ -44,9 +40,8 @@ def hotel_topics(df: DataFrame, by: Sequence[str] = _HOTEL, months: int = 12) ->
     recent = F.col("date") >= dates.months_before(latest, months)
     days = daily_facts(df, by).withColumn("month", F.when(recent, dates.year_month(F.col("date"))))
     totals = ["reviews", "rated", "stars"]
-    per_month = days.groupBy(*by, "month").agg(
-        *[F.sum(c).alias(c) for c in totals],
-        *[F.sum(f"{m}_{t}").alias(f"{m}_{t}") for m in ("n", "rated", "stars") for t in TOPICS])
+    sums = totals + [f"{m}_{t}" for m in ("n", "rated", "stars") for t in TOPICS]
+    per_month = days.groupBy(*by, "month").agg(*[F.expr(f"sum({c}) AS {c}") for c in sums])
     rows = unpivot_topics(per_month, [*by, "month", *totals], {"n": "n", "n_rated": "rated", "n_stars": "stars"})
     month_rate = F.struct("month", percent(F.col("n"), F.col("reviews")).alias("rate"))
     return rows.groupBy(*by, "topic", "topic_order").agg(
@@ -125,7 +120,7 @@ def monthly_complaint_rate(df: DataFrame, by: Sequence[str] = _HOTEL) -> DataFra
     """Per (hotel, month, topic): share of reviews with the topic, over all dated months."""
     dated = df.filter(F.col("date").isNotNull())
     wide = dated.groupBy(*by, dates.year_month(F.col("date")).alias("month")).agg(
-        F.count(F.lit(1)).alias("reviews"), *[F.count_if(flag(t)).alias(f"n_{t}") for t in TOPICS])
+        F.count(F.lit(1)).alias("reviews"), *[F.expr(f"count_if({flag(t)}) AS n_{t}") for t in TOPICS])
     rows = unpivot_topics(wide, [*by, "month", "reviews"], {"n": "n"})
     return rows.select(*by, "month", "topic", percent(F.col("n"), F.col("reviews")).alias("complaint_rate"))
 

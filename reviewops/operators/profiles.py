@@ -34,7 +34,7 @@ def hotel_stats(reviews: DataFrame, hotels: DataFrame | None = None) -> DataFram
     reviews shows 0, 0.0 and "N/A".
     """
     stats = reviews.groupBy(text.strip(F.col("Hotel_Name")).alias("Hotel_Name")).agg(
-        F.count(F.lit(1)).alias("total_reviews"), half_even(exact_mean(F.col("Reviewer_Score"), 18), 2).alias("avg_rating"),
+        F.count(F.lit(1)).alias("total_reviews"), half_even(exact_mean(F.col("Reviewer_Score"), "decimal(18,5)"), 2).alias("avg_rating"),
         F.min("Review_Date").alias("first"), F.max("Review_Date").alias("last"))
     if hotels is not None:
         names = hotels.select(text.strip(F.col("Hotel_Name")).alias("Hotel_Name")).distinct()
@@ -174,7 +174,7 @@ def topic_rating_histogram(df: DataFrame, bins: int = 10) -> DataFrame:
     """Rating histogram over the 1-5 scale per (hotel, topic), with and without the topic."""
     at = bin_of(F.col("rating"), F.lit(1.0), F.lit(5.0), bins).alias("bin")
     wide = df.filter(F.col("rating").isNotNull()).groupBy("Hotel_Name", at).agg(
-        F.count(F.lit(1)).alias("all"), *[F.count_if(flag(t)).alias(f"n_{t}") for t in TOPICS])
+        F.count(F.lit(1)).alias("all"), *[F.expr(f"count_if({flag(t)}) AS n_{t}") for t in TOPICS])
     rows = unpivot_topics(wide, ["Hotel_Name", "bin", "all"], {"with_topic": "n"})
     return rows.select("Hotel_Name", "topic", "bin", "with_topic", (F.col("all") - F.col("with_topic")).alias("without_topic"))
 

@@ -37,7 +37,7 @@ def add_topics(df: DataFrame, column: str = "review_text", keywords: Mapping[str
 def add_topic_flags(df: DataFrame, topic_column: str = "topics", topics: Sequence[str] = TOPICS) -> DataFrame:
     """``has_<topic>`` flags from a topics array, from text if there is none, else all false."""
     if topic_column in df.columns:
-        return df.withColumns({flag(t): F.coalesce(F.array_contains(topic_column, t), F.lit(False)) for t in topics})
+        return df.withColumns({flag(t): F.expr(f"coalesce(array_contains({topic_column}, '{t}'), false)") for t in topics})
     if "review_text" in df.columns:
         return add_topics(df)
     return df.withColumns({flag(t): F.lit(False) for t in topics})
@@ -54,16 +54,14 @@ def unpivot_topics(wide: DataFrame, keys: Sequence[str], measures: Mapping[str,
     ``measures`` maps the new column name to the prefix. Aggregates are narrow, so
     the rows that multiply are few.
     """
-    entries = F.array(*[
-        F.struct(F.lit(t).alias("topic"), F.lit(i).alias("topic_order"),
-                 *[F.col(f"{prefix}_{t}").alias(name) for name, prefix in measures.items()])
-        for i, t in enumerate(topics)])
-    return wide.select(*keys, F.inline(entries))
+    rows = ", ".join(f"named_struct('topic', '{t}', 'topic_order', {i}, " +
+                     ", ".join(f"'{name}', {prefix}_{t}" for name, prefix in measures.items()) + ")" for i, t in enumerate(topics))
+    return wide.select(*keys, F.expr(f"inline(array({rows}))"))
 
 
 def _counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"), *[F.count_if(flag(t)).alias(f"n_{t}") for t in TOPICS])
+        F.count(F.lit(1)).alias("total"), *[F.expr(f"count_if({flag(t)}) AS n_{t}") for t in TOPICS])
 
 
 def topic_stats(df: DataFrame, by: Sequence[str] = ("Hotel_Name",)) -> DataFrame:
@@ -85,12 +83,10 @@ def topic_cooccurrence(df: DataFrame) -> DataFrame:
     One pass with a conditional count per unordered pair; no self-join.
     """
     pairs = list(combinations(TOPICS, 2))
-    counts = df.agg(*[F.count_if(F.col(flag(a)) & F.col(flag(b))).alias(f"{a}_{b}") for a, b in pairs])
-    cells = [F.struct(F.lit(x).alias("topic_a"), F.lit(y).alias("topic_b"), F.col(f"{a}_{b}").alias("reviews"))
-             for a, b in pairs for x, y in ((a, b), (b, a))]
-    cells += [F.struct(F.lit(t).alias("topic_a"), F.lit(t).alias("topic_b"), F.lit(0).cast("long").alias("reviews"))
-              for t in TOPICS]
-    return counts.select(F.inline(F.array(*cells)))
+    counts = df.agg(*[F.expr(f"count_if({flag(a)} AND {flag(b)}) AS {a}_{b}") for a, b in pairs])
+    cells = [(x, y, f"{a}_{b}") for a, b in pairs for x, y in ((a, b), (b, a))] + [(t, t, "0L") for t in TOPICS]
+    rows = ", ".join(f"named_struct('topic_a', '{x}', 'topic_b', '{y}', 'reviews', {n})" for x, y, n in cells)
+    return counts.select(F.expr(f"inline(array({rows}))"))
 
 
 def topic_breakdown(df: DataFrame, top: int = 5) -> DataFrame:

@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.ui.enabled", "false")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .getOrCreate())
 

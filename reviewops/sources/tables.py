@@ -8,7 +8,9 @@ exact copies (every fiftieth review occurs twice).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from reviewops.functions.text import words_in
 
 NEGATIVE = [
     "Room was dirty and smelly, rushed quick clean", "No Negative", "Staff were rude and clueless at reception",
@@ -24,11 +26,20 @@ POSITIVE = ["Great location", "No Positive", "Lovely view", "Helpful staff", "No
 COUNTRIES = ["United Kingdom", "France", "Germany", "Spain", "Italy", "Ireland", "Norway", "Poland", "Greece", "Japan", "Brazil", "Kenya"]
 
 
+# Columns read of each table. A given schema saves the job that would look it up.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "documents": "doc_id bigint, text string, source string",
+}
+
 SMALL_SPLITS = 8  # a split holds at most spark.sql.files.maxPartitionBytes, so this bounds the size as well
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -42,13 +53,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if splits <= SMALL_SPLITS and splits <= cores else df
 
 
-def _pick(values: list[str], index) -> F.Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _pick(values: list[str], index: Column) -> Column:
+    return F.element_at(words_in(values), (index + 1).cast("int"))
 
 
 def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw reviews, as they would come out of a CSV file: text dates, ten-point scores."""
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    orders = spread(table(spark, sf_dir, "orders"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     key, guest = F.col("o_orderkey"), F.col("o_custkey")

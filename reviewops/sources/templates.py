@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 import json
 import re
 
-from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewops.fixed_values import ACTION_TEMPLATES, COST_CONSTANTS, TIMEFRAMES
@@ -27,15 +27,16 @@ def cost_formula(formula: str | None, rooms: str = "rooms") -> Column:
     """
     if not formula or not formula.strip():
         return F.lit(0.0)
-    if not _ALLOWED.fullmatch(formula):
+    if not _ALLOWED.fullmatch(formula) or "**" in formula or "//" in formula:
         raise ValueError(f"cost formula may only use numbers, + - * / ( ) and {_NAMES}: {formula!r}")
+    try:
+        ast.parse(formula.strip(), mode="eval")
+    except SyntaxError:
+        return F.lit(0.0)
     sql = _SIMPLE_DIVISOR.sub(r"/ nullif(\1, 0)", formula)
     for name, value in COST_CONSTANTS.items():
         sql = sql.replace(name, str(value))
-    try:
-        return F.coalesce(F.expr(sql.replace("rooms", f"`{rooms}`")).cast("double"), F.lit(0.0))
-    except ParseException:
-        return F.lit(0.0)
+    return F.coalesce(F.expr(sql.replace("rooms", f"`{rooms}`")).cast("double"), F.lit(0.0))
 
 
 def cost_by_formula(formulas: list[str], column: str = "cost_formula", rooms: str = "rooms") -> Column:
