@@ -72,21 +72,19 @@ def classification_report(df: DataFrame, truth: str, predicted: str, labels: Seq
     return scores.select(F.inline(F.array(*rows)))
 
 
-def sentiment_metrics(df: DataFrame, truth: str, predicted: str, labels: Sequence[str] = SENTIMENT_LABELS) -> DataFrame:
-    """Accuracy and macro-averaged precision, recall and F1 in one row.
-
-    The macro average runs over the classes that occur as truth or as prediction.
-    """
-    counts = df.agg(*_counts(_class_tests(truth, predicted, labels)), F.count(F.lit(1)).alias("n"),
-                    F.count_if(F.col(truth).eqNullSafe(F.col(predicted))).alias("right"))
-    scores = counts.withColumns(_score_columns(labels))
+def _macro_over_seen(metric: str, labels: Sequence[str]) -> Column:
+    """Macro average over the classes that occur as truth or as prediction."""
     seen = [((F.col(f"predicted_{l}") + F.col(f"actual_{l}")) > 0).cast("double") for l in labels]
+    return half_even(_weighted([F.col(f"{metric}_{l}") for l in labels], seen), 4)
 
-    def macro(m: str) -> Column:
-        return half_even(_weighted([F.col(f"{m}_{l}") for l in labels], seen), 4)
 
-    return scores.select(half_even(_ratio(F.col("right"), F.col("n")), 4).alias("accuracy"), macro("p").alias("precision"),
-                         macro("r").alias("recall"), macro("f").alias("f1"), "n")
+def sentiment_metrics(df: DataFrame, truth: str, predicted: str, labels: Sequence[str] = SENTIMENT_LABELS) -> DataFrame:
+    """Accuracy and macro-averaged precision, recall and F1 in one row."""
+    counts = df.agg(*_counts(_class_tests(truth, predicted, labels)), F.count(F.lit(1)).alias("n"),
+                    F.count_if(F.col(truth).eqNullSafe(F.col(predicted))).alias("right"))
+    return counts.withColumns(_score_columns(labels)).select(
+        half_even(_ratio(F.col("right"), F.col("n")), 4).alias("accuracy"), _macro_over_seen("p", labels).alias("precision"),
+        _macro_over_seen("r", labels).alias("recall"), _macro_over_seen("f", labels).alias("f1"), "n")
 
 
 def confusion_matrix(df: DataFrame, truth: str, predicted: str, labels: Sequence[str] = SENTIMENT_LABELS) -> DataFrame:
@@ -151,12 +149,18 @@ def mean_absolute_error(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def model_summary(df: DataFrame, topics: Sequence[str], truth: str = "true_label", predicted: str = "sentiment_label",
                   flag_truth: str = "has_", flag_predicted: str = "pred_") -> DataFrame:
-    """One line per model: sentiment against the star labels, topics against the topic flags."""
-    sentiment = sentiment_metrics(df, truth, predicted).select(
-        F.lit("Sentiment").alias("model"), F.lit("lexicon").alias("method"), "n", "accuracy", F.col("f1").alias("macro_f1"))
+    """One line per model: sentiment against the star labels, topics against the topic flags. One pass for both."""
     tests = _flag_tests(topics, flag_truth, flag_predicted)
-    right = _mean([F.avg((a == p).cast("double")) for a, p in tests.values()])
-    counts = df.agg(*_counts(tests), right.alias("accuracy"), F.count(F.lit(1)).alias("n")).withColumns(_score_columns(topics))
-    topic = counts.select(F.lit("Topic").alias("model"), F.lit("keyword").alias("method"), "n", half_even(F.col("accuracy"), 4).alias("accuracy"),
-                          half_even(_mean([F.col(f"f_{t}") for t in topics]), 4).alias("macro_f1"))
-    return sentiment.unionByName(topic)
+    rights = {"right": F.col(truth).eqNullSafe(F.col(predicted))} | {f"right_{t}": a == p for t, (a, p) in tests.items()}
+    counts = df.agg(*_counts(_class_tests(truth, predicted, SENTIMENT_LABELS) | tests), F.count(F.lit(1)).alias("n"),
+                    *[F.count_if(c).alias(k) for k, c in rights.items()])
+    scores = counts.withColumns(_score_columns([*SENTIMENT_LABELS, *topics]))
+
+    def row(model: str, method: str, accuracy: Column, macro_f1: Column) -> Column:
+        return F.struct(F.lit(model).alias("model"), F.lit(method).alias("method"), F.col("n"),
+                        half_even(accuracy, 4).alias("accuracy"), macro_f1.alias("macro_f1"))
+
+    return scores.select(F.inline(F.array(
+        row("Sentiment", "lexicon", _ratio(F.col("right"), F.col("n")), _macro_over_seen("f", SENTIMENT_LABELS)),
+        row("Topic", "keyword", _mean([_ratio(F.col(f"right_{t}"), F.col("n")) for t in topics]),
+            half_even(_mean([F.col(f"f_{t}") for t in topics]), 4)))))

@@ -161,11 +161,13 @@ def histogram(df: DataFrame, column: str, bins: int, clip: float | None = None)
     value = F.col(column).cast("double")
     value = numbers.at_most(value, clip) if clip is not None else value
     counted = df.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    low, high = counted.agg(F.min("value")).scalar(), counted.agg(F.max("value")).scalar()
-    binned = counted.groupBy(bin_of(F.col("value"), low, high, bins).alias("bin")).agg(F.sum("n").alias("n"))
-    row = binned.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"))
-    step = (high - low) / float(bins)
-    return row.select("counts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin")).select(
+    edges = counted.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high"))).scalar()
+    placed = counted.withColumn("e", edges).select("n", "e", bin_of(F.col("value"), F.col("e.low"), F.col("e.high"), bins).alias("bin"))
+    binned = placed.groupBy("bin").agg(F.sum("n").alias("n"), F.first("e").alias("e"))
+    # One row with one entry per bin.
+    row = binned.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"), F.first("e").alias("e"))
+    step, low = (F.col("e.high") - F.col("e.low")) / float(bins), F.col("e.low")
+    return row.select("counts", "e", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin")).select(
         "bin", half_even(low + step * F.col("bin"), 4).alias("lower"), half_even(low + step * (F.col("bin") + 1), 4).alias("upper"),
         F.coalesce(F.try_element_at("counts", F.col("bin")), F.lit(0)).alias("count"))
 
