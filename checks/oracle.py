@@ -237,6 +237,10 @@ add("monthly_volume", CLEAN, """SELECT strftime(m, '%Y-%m') AS month, count(rati
 add("last_month", SENT, f"""SELECT Hotel_Name, count(*) AS reviews, {r(f'{mean('rating')}', 2)} AS avg_rating, {r(f'{mean('sentiment_score')}', 2)} AS avg_sentiment,
   round_even(avg((sentiment_score > 0.3)::INT) * 100, 0) AS positive_pct FROM sent
   JOIN (SELECT Hotel_Name, max(date) AS latest FROM clean GROUP BY 1) USING (Hotel_Name) WHERE date >= latest - INTERVAL 1 MONTH GROUP BY 1""")
+add("rating_change", CLEAN, f"""SELECT Hotel_Name, overall_rating, recent_rating,
+  CASE WHEN {r('recent_rating - overall_rating', 2)} >= 0 THEN '+' ELSE '' END || {r('recent_rating - overall_rating', 2)}::VARCHAR AS change FROM (
+  SELECT Hotel_Name, {r(mean('rating'), 2)} AS overall_rating, {r(mean('rating', 'date >= latest - INTERVAL 1 MONTH'), 2)} AS recent_rating FROM clean
+  JOIN (SELECT Hotel_Name, max(date) AS latest FROM clean GROUP BY 1) USING (Hotel_Name) GROUP BY 1)""")
 add("top_hotels", CLEAN, f"SELECT Hotel_Name, count(rating) AS reviews, {r(f'{mean('rating')}', 2)} AS avg_rating FROM clean GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 _types = {"review_id": "bigint", "Hotel_Name": "string", "Hotel_Address": "string", "Review_Date": "date", "Reviewer_Score": "double",
           "Negative_Review": "string", "Positive_Review": "string", "Reviewer_Nationality": "string"}
@@ -392,6 +396,8 @@ def gbp(x: str) -> str:
 
 add("action_plans", PLAN, f"""SELECT Hotel_Name, topic, step, timeframe, action, cost, {gbp('cost')} AS cost_text, timeline, expected_impact, root_cause, confidence,
   rooms::BIGINT AS rooms FROM plan""")
+add("ranked_actions", PLAN, """SELECT Hotel_Name, topic, row_number() OVER (PARTITION BY Hotel_Name, topic ORDER BY confidence DESC, step) AS confidence_rank,
+  action, root_cause, confidence FROM plan""")
 add("plan_costs", PLAN, "SELECT * FROM costs")
 
 

@@ -88,15 +88,17 @@ class TopicModel:
 
 
 def _train(df: DataFrame, kind: str, classifier, topics: Sequence[str], max_terms: int, min_df: float) -> TopicModel:
-    features = feature_pipeline(max_terms=max_terms, min_df=min_df).fit(df)
-    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(flag(t)).alias(t) for t in topics]).first()
+    # Fitting reads the texts several times: they are cleaned and tagged once, and written.
+    texts = cut_lineage(df.select("review_text", *[flag(t) for t in topics]))
+    features = feature_pipeline(max_terms=max_terms, min_df=min_df).fit(texts)
+    counts = texts.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(flag(t)).alias(t) for t in topics]).first()
     usable = [t for t in topics if 0 < counts[t] < counts["n"]]
 
     def balanced(t: str) -> Column:
         return F.when(F.col(flag(t)), counts["n"] / (2.0 * counts[t])).otherwise(counts["n"] / (2.0 * (counts["n"] - counts[t])))
 
     # All classifiers read the same vectors, so these are written once and the lineage ends there.
-    ready = cut_lineage(features.transform(df).select("features", *[flag(t) for t in usable]))
+    ready = cut_lineage(features.transform(texts).select("features", *[flag(t) for t in usable]))
     model = TopicModel(kind, features)
     for t in usable:
         training = ready.select("features", F.col(flag(t)).cast("double").alias("label"), balanced(t).alias("weight"))

@@ -10,6 +10,7 @@ from reviewops.fixed_values import (COMPLAINT_REDUCTION, DAYS_PER_MONTH, DEFAULT
                                     OCCUPANCY_CAP, PLAN_CONFIDENCE_MIN, RATING_TO_OCCUPANCY)
 from reviewops.functions import numbers
 from reviewops.functions.numbers import half_even, share
+from reviewops.operators.groups import ranked
 from reviewops.operators.impact import hotel_topics, impact_column
 from reviewops.sources.templates import action_templates, cost_by_formula, template_rows
 
@@ -49,6 +50,11 @@ def action_plans(causes: DataFrame, rooms: DataFrame | None = None, default_room
                           F.col("cause").alias("root_cause"), "confidence", "rooms")
 
 
+def rank_actions_by_confidence(plans: DataFrame, by: Sequence[str] = _BY) -> DataFrame:
+    """Number the actions of each plan by confidence, strongest first; equal ones keep the plan's order."""
+    return ranked(plans, [*by, "topic"], [F.desc("confidence"), F.asc("step")], "confidence_rank")
+
+
 def plan_costs(plans: DataFrame, by: Sequence[str] = _BY) -> DataFrame:
     """One-time, monthly and three-month cost per (hotel, topic)."""
     monthly = F.col("timeframe") == "long_term"

@@ -112,6 +112,13 @@ def recent_snapshot(df: DataFrame, months: int = 1) -> DataFrame:
         F.rint(F.avg((F.col("sentiment_score") > 0.3).cast("double")) * 100).alias("positive_pct"))
 
 
+def rating_change(df: DataFrame) -> DataFrame:
+    """Mean rating of each hotel's last month against its mean over all reviews, with the signed change as text."""
+    overall = df.groupBy("Hotel_Name").agg(half_even(exact_mean(F.col("rating")), 2).alias("overall_rating"))
+    recent = filter_recent(df, "date", 1).groupBy("Hotel_Name").agg(half_even(exact_mean(F.col("rating")), 2).alias("recent_rating"))
+    return overall.join(recent, "Hotel_Name").withColumn("change", numbers.signed_change(F.col("recent_rating"), F.col("overall_rating")))
+
+
 # --- distributions ----------------------------------------------------------
 
 def column_profile(df: DataFrame) -> DataFrame:

@@ -299,6 +299,11 @@ def last_month(spark, sf):
     return profiles.recent_snapshot(clean(spark, sf))
 
 
+@query
+def rating_change(spark, sf):
+    return profiles.rating_change(clean(spark, sf))
+
+
 @query
 def top_hotels(spark, sf):
     return profiles.top_hotels(clean(spark, sf), 20)
@@ -421,6 +426,12 @@ def action_plans(spark, sf):
     return _plans(spark, sf)
 
 
+@query
+def ranked_actions(spark, sf):
+    return planning.rank_actions_by_confidence(_plans(spark, sf)).select(
+        "Hotel_Name", "topic", "confidence_rank", "action", "root_cause", "confidence")
+
+
 @query
 def plan_costs(spark, sf):
     return planning.plan_costs(_plans(spark, sf))
