@@ -27,9 +27,14 @@ def cause_order(cause: Column) -> Column:
 
 
 def add_causes(df: DataFrame, column: str = "review_text") -> DataFrame:
-    """Add ``causes``, the array of causes whose words occur in the text."""
+    """Add ``causes``, the array of causes whose words occur in the text.
+
+    Causes are only asked for within topics: reviews known to have none are not searched.
+    """
     lower = F.col("_lower")
     found = F.array_compact(F.array(*[F.when(text.mentions_any(lower, words), F.lit(c)) for c, words in CAUSE_KEYWORDS.items()]))
+    if "topics" in df.columns:
+        found = F.when(F.size("topics") > 0, found).otherwise(F.array().cast("array<string>"))
     return df.withColumn("_lower", F.lower(column)).withColumn("causes", found).drop("_lower")
 
 

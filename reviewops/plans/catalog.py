@@ -418,7 +418,7 @@ def _plans(spark, sf):
 
 
 def _roi(spark, sf, **options):
-    return planning.roi(tagged(spark, sf), planning.plan_costs(_plans(spark, sf)), tables.hotel_rooms(spark, sf), **options)
+    return reports.plan_returns(tagged(spark, sf), tables.hotel_rooms(spark, sf), **options)
 
 
 @query

@@ -17,20 +17,33 @@ def hotel_plans(df: DataFrame, rooms: DataFrame | None = None) -> DataFrame:
     return planning.action_plans(found, rooms)
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """What the report needs of each review, without its text: topics, causes, sentiment, rating and date."""
-    return (df.transform(causes.add_causes).transform(sentiment.with_sentiment)
-            .select("Hotel_Name", "date", "rating", "topics", "causes", "sentiment_score"))
+def compact(df: DataFrame, with_sentiment: bool = True) -> DataFrame:
+    """What the analyses need of each tagged review, without its text: topics, causes, sentiment, rating and date.
+
+    Worked out in one pass over the texts and written to the checkpoint folder, so
+    that analyses which combine several aggregates do not read and search the texts
+    for each of them.
+    """
+    searched = causes.add_causes(df)
+    columns = ["Hotel_Name", "date", "rating", "topics", "causes"]
+    if with_sentiment:
+        searched, columns = sentiment.with_sentiment(searched), [*columns, "sentiment_score"]
+    return topics.add_topic_flags(cut_lineage(searched.select(*columns)))
+
+
+def plan_returns(df: DataFrame, rooms: DataFrame | None = None, **options) -> DataFrame:
+    """Return on investment of the plan of every (hotel, topic), from tagged reviews."""
+    facts = compact(df, with_sentiment=False)
+    costs = planning.plan_costs(planning.action_plans(causes.root_causes(facts), rooms))
+    return planning.roi(facts, costs, rooms, **options)
 
 
 def report_tables(df: DataFrame, top: int | None = None, rooms: DataFrame | None = None) -> dict[str, DataFrame]:
     """Report sections by name. ``top`` limits them to the hotels with the most reviews.
 
-    All sections read the same few columns per review. These are worked out in one
-    pass over the texts and written to the checkpoint folder, so that five sections
-    do not read and search the texts five times.
+    All sections read the compact form of the reviews.
     """
-    chosen = cut_lineage(compact(rows_of_top(df, "Hotel_Name", top) if top else df)).transform(topics.add_topic_flags)
+    chosen = compact(rows_of_top(df, "Hotel_Name", top) if top else df)
     plan = hotel_plans(chosen, rooms)
     return {
         "summary": profiles.hotel_summary(chosen),
