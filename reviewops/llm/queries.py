@@ -6,11 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewops.llm import language, quality_rules, secrets, store
+from reviewops.llm import cotraining, embedding_join, jaccard_join, language, mixing, packing, quality_rules, secrets, store, substring_dedup, token_counts
 
 BASE_KINDS = ("assign", "access", "hex")
 
 
+def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken(mixing.mix(store.documents(spark, folder))).select(
+        F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    cut = packing.pieces(store.documents(spark, folder)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.placed(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = store.new_path(spark, "token-files")
+    token_counts.write(store.documents(spark, folder), path)
+    return token_counts.counts(spark, path)
+
+
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = substring_dedup.deduplicated(store.documents(spark, folder).select("doc_id", "text"))
+    return docs.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.col("dedup.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_join.linked(store.documents(spark, folder), rule=jaccard_join.Rule(n=3, num=90))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = store.documents(spark, folder)
     ledger = store.kept(secrets.scan(docs, "doc_id"), "secrets-ledger")
@@ -27,6 +53,12 @@ def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op7_embedding_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    found = embedding_join.linked(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return found.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = store.documents(spark, folder).select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -43,7 +75,16 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         failed.alias("base_failed"), stays.alias("kept"), "rules.ratio", "rules.bad_share")
 
 
-_ALL = (op5_secret_scans, op8_language_id, op9_quality_rules)
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = store.documents(spark, folder).select(F.col("doc_id").alias("key"), "text", "source", "lang", F.col("n_chars").alias("length"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("key"), F.col("quality").alias("good"))
+    judged = cotraining.scored(docs, cotraining.learn(docs, labels))
+    return judged.select(F.col("key").alias("doc_id"), F.col("quality.text").alias("p_text"), F.col("quality.page").alias("p_page"),
+                         F.col("quality.score").alias("score"), (F.col("quality.score") >= 0.5).alias("good"))
+
+
+_ALL = (op1_source_mix, op2_packing, op3_token_counts, op4_substring_dedup, op5_secret_scans, op6_ngram_jaccard, op7_embedding_neighbours,
+        op8_language_id, op9_quality_rules, op10_quality_classifier)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -55,4 +96,40 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _shipped(q) for q in _ALL}
-ORACLES: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+#: DuckDB SQL of the operators that SQL can express.
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": f"""
+with docs as (select doc_id, row_number() over () as r, {_WORDS} as w from documents),
+windows as (select doc_id, r, i, array_to_string(w[i:i + 49], ' ') as k from (select *, unnest(range(1, len(w) - 48)) as i from docs)),
+first_of as (select k, min(doc_id) as d from windows group by k having count(distinct doc_id) > 1),
+gone as (select distinct r, i + o as p from (select r, i, unnest(range(0, 50)) as o from windows join first_of using (k) where d < doc_id)),
+word as (select doc_id, r, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from docs),
+left_over as (select r, array_to_string(list(x order by p), ' ') as t, count(*) as n from word anti join gone using (r, p) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from docs left join left_over using (r)""",
+    "op6_ngram_jaccard": f"""
+with recursive docs as (select doc_id, {_LOWER_WORDS} as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+         else list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) end as s from docs),
+gram as (select doc_id, len(s) as n, unnest(s) as g from sets),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c, any_value(a.n) as n, any_value(b.n) as m
+           from gram a join gram b on a.g = b.g and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by all),
+link as (select x, y from common where 100 * c >= 90 * (n + m - c)),
+edge as (select x, y from link union all select y, x from link),
+reach as (select doc_id as v, doc_id as c from sets union select edge.y, reach.c from reach join edge on edge.x = reach.v and reach.c < edge.y)
+select doc_id, cast(len(s) as bigint) as n_shingles, (select min(c) from reach where v = doc_id) as component_id from sets""",
+    "op7_embedding_neighbours": """
+with recursive v as (select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings),
+ok as (select *, sqrt(list_dot_product(e, e)) as n from v where label is not null),
+link as (select a.vec_id as x, b.vec_id as y from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id
+         where a.n > 0 and b.n > 0 and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+reach as (select vec_id as v, vec_id as c from v union select link.y, reach.c from reach join link on link.x = reach.v and reach.c < link.y),
+least_of as (select v, min(c) as c from reach group by v),
+n as (select x, count(*) as n from link group by x)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, c as component_id, vec_id = c as kept
+from v join least_of on v.vec_id = least_of.v left join n on n.x = v.vec_id""",
+}
