@@ -6,6 +6,7 @@ Written on its own, row by row and with ordinary joins, not after the Spark plan
 from __future__ import annotations
 
 from reviewops import fixed_values as V
+from reviewops.plans.catalog import OVER_TEXTS
 from reviewops.sources import tables as D
 
 SP = r"[\s\p{Z}]"
@@ -147,6 +148,7 @@ add("hotel_date_ranges", CLEAN, """SELECT Hotel_Name, strftime(min(date), '%b %Y
   (year(max(date)) - year(min(date))) * 12 + month(max(date)) - month(min(date)) AS months FROM clean GROUP BY Hotel_Name""")
 
 # --- filters ----------------------------------------------------------------
+add("loaded_dates", "o AS (SELECT * FROM orders)", """SELECT o_orderkey, CASE WHEN o_orderkey % 11 < 10 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM o""")
 add("recent_reviews", CLEAN, """SELECT review_id, Hotel_Name, strftime(date, '%Y-%m-%d') AS date FROM clean
   JOIN (SELECT Hotel_Name, max(date) AS latest FROM clean GROUP BY 1) USING (Hotel_Name) WHERE date >= latest - INTERVAL 12 MONTH""")
 add("filtered_reviews", TAGS, f"""SELECT review_id, Hotel_Name, strftime(date, '%Y-%m-%d') AS date, rating, {joined_topics()} AS topics FROM lng
@@ -155,7 +157,7 @@ add("filtered_reviews", TAGS, f"""SELECT review_id, Hotel_Name, strftime(date, '
   GROUP BY ALL""")
 add("reviews_of_1998", CLEAN, "SELECT review_id, strftime(date, '%Y-%m-%d') AS date FROM clean WHERE year(date) = 1998")
 add("hotel_search", BASE, "SELECT DISTINCT Hotel_Name FROM raw WHERE Hotel_Name LIKE '%TION\\_1%' ESCAPE '\\'")
-add("hotel_choice", BASE, "SELECT DISTINCT Hotel_Name FROM raw ORDER BY 1 LIMIT 200")
+add("hotel_choice", BASE, "SELECT DISTINCT Hotel_Name FROM raw")
 add("topic_samples", TAGS, """SELECT Hotel_Name, topic, review_id, rating, substring(review_text, 1, 350) AS excerpt, rn FROM (
   SELECT *, row_number() OVER (PARTITION BY Hotel_Name, topic ORDER BY review_id) AS rn FROM lng WHERE flag AND rating <= 3) WHERE rn <= 5""")
 add("issue_samples", TAGS, """SELECT Hotel_Name, topic, review_id, rating, substring(review_text, 1, 200) AS excerpt, rn,
@@ -226,7 +228,6 @@ def _summary(sentiment_source: str) -> str:
 
 
 add("hotel_summary", SENT, _summary(mean('sentiment_score')))
-add("hotel_summary_first_200", SENT, _summary(mean('sentiment_score', 'rn <= 200')))
 add("monthly_rating", CLEAN, f"""SELECT Hotel_Name, month, {r('m', 4)} AS avg_rating, {r('avg(m) OVER (PARTITION BY Hotel_Name)', 4)} AS avg_line FROM (
   SELECT Hotel_Name, strftime(date, '%Y-%m') AS month, {mean('rating')} AS m FROM clean WHERE date IS NOT NULL GROUP BY 1, 2)""")
 add("monthly_complaint_rate", TAGS, f"""SELECT Hotel_Name, strftime(date, '%Y-%m') AS month, topic, {pct('count(*) FILTER (WHERE flag)', 'count(*)')} AS complaint_rate
@@ -406,8 +407,8 @@ def roi_ctes(defaults: bool = False, rate: float = 150, occupancy: float = 0.65)
     return PLAN + "," + f"""
 inp AS (SELECT Hotel_Name, topic, (SELECT {mean('rating')} FROM clean c WHERE c.Hotel_Name = l.Hotel_Name) AS rating, avg(flag::INT) AS share,
   coalesce({r(f'greatest({mean('rating', 'NOT flag')} - {mean('rating', 'flag')}, 0)', 2)}, 0) AS impact FROM lng l GROUP BY 1, 2),
-j AS (SELECT inp.*, three_month_total AS inv, coalesce(rooms, 100) AS rooms, {r(f'{share} * 0.7e0 * {impact}', 2)} AS gain
-  FROM inp JOIN costs USING (Hotel_Name, topic) LEFT JOIN hotel_rooms USING (Hotel_Name)),
+j AS (SELECT inp.*, coalesce(three_month_total, 0) AS inv, coalesce(rooms, 100) AS rooms, {r(f'{share} * 0.7e0 * {impact}', 2)} AS gain
+  FROM inp LEFT JOIN costs USING (Hotel_Name, topic) LEFT JOIN hotel_rooms USING (Hotel_Name)),
 k AS (SELECT *, least({occupancy}e0 + gain * 10e0 * 0.05e0, 0.95e0) AS occ FROM j),
 m AS (SELECT *, rooms * {rate}e0 * 30e0 * {occupancy}e0 AS old_rev, rooms * {rate}e0 * 30e0 * occ AS new_rev FROM k),
 roi AS MATERIALIZED (SELECT Hotel_Name, topic, rooms::BIGINT AS rooms, {r('rating', 2)} AS current_rating, {r('least(rating + gain, 5)', 2)} AS expected_rating, gain AS rating_improvement,
@@ -432,12 +433,17 @@ chosen AS (SELECT Hotel_Name FROM clean GROUP BY 1 ORDER BY count(*) DESC, 1 LIM
 stat AS (SELECT Hotel_Name, topic, ord, {pct('count(*) FILTER (WHERE flag)', 'count(*)')} AS complaint_rate FROM lng GROUP BY 1, 2, 3),
 lead AS (SELECT Hotel_Name, arg_max(topic, complaint_rate * 100 - ord) AS topic, max(complaint_rate) AS complaint_rate FROM stat GROUP BY 1),
 summ AS ({_summary(mean('sentiment_score'))})""", f"""SELECT Hotel_Name, topic, total_reviews, avg_rating, avg_sentiment, health_score, health_band,
-  total_investment, rating_improvement, expected_rating, net_profit_3_months, roi_percentage, payback_months, complaint_rate, impact, actions,
+  total_investment, rating_improvement, expected_rating, net_profit_3_months, roi_percentage, payback_months, complaint_rate, impact, coalesce(actions, 0) AS actions,
   CASE WHEN total_investment >= 1e6 THEN printf('£%.1fM', {r('total_investment / 1e6', 1)}) WHEN total_investment >= 1e3 THEN printf('£%.1fK', {r('total_investment / 1e3', 1)})
     ELSE printf('£%.0f', round_even(total_investment, 0)) END AS investment_text
-  FROM chosen JOIN lead USING (Hotel_Name) JOIN summ USING (Hotel_Name) JOIN roi USING (Hotel_Name, topic) JOIN costs USING (Hotel_Name, topic)
+  FROM chosen JOIN lead USING (Hotel_Name) JOIN summ USING (Hotel_Name) JOIN roi USING (Hotel_Name, topic) LEFT JOIN costs USING (Hotel_Name, topic)
   JOIN (SELECT Hotel_Name, topic, impact FROM inp) USING (Hotel_Name, topic)""")
 
+PRAISED = CLEAN.replace("clean AS MATERIALIZED (", "guests AS MATERIALIZED (") + """,
+clean AS MATERIALIZED (SELECT review_id, Hotel_Name, date, rating, review_text FROM guests
+  UNION ALL SELECT -1 - s_suppkey, r_name, DATE '1998-01-01', 4e0, 'Lovely view' FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+ORACLES["hotel_report_all"] = ORACLES["hotel_report"].replace(CLEAN, PRAISED).replace("ORDER BY count(*) DESC, 1 LIMIT 10", "")
+
 # --- sentiment --------------------------------------------------------------
 add("sentiment_score", SENT, f"""SELECT review_id, sentiment_score, {label('sentiment_score')} AS sentiment_label, {STAR_SCORE} AS star_score, {TRUE_LABEL} AS true_label FROM sent""")
 add("document_sentiment", DOCS + ",\n" + sentiment_ctes("docs"), f"SELECT review_id, sentiment_score, {label('sentiment_score')} AS sentiment_label FROM sent")
@@ -568,3 +574,28 @@ add("evaluation_report", JUDGED + f""", rated AS (SELECT * FROM clean WHERE rati
 held AS (SELECT review_id FROM ({_split('rated', 'round_even(rating, 0)::BIGINT')}) WHERE is_test),
 jt AS (SELECT * FROM jud WHERE review_id IN (SELECT review_id FROM held)), tt AS (SELECT * FROM two WHERE review_id IN (SELECT review_id FROM held)),
 """ + _models.format("jt", "tt"), f"""SELECT (SELECT {r('f1', 4)} FROM t_cls) AS topic_macro_f1, {r('avg((y = p)::INT)', 4)} AS sentiment_accuracy, 'lexicon' AS method, count(*) AS n_test FROM jt""")
+
+
+_MODEL = TAGS + ", rated AS (SELECT * FROM clean WHERE rating IS NOT NULL), drawn AS (" + _split("rated", "round_even(rating, 0)::BIGINT") + ")"
+for _name in ("forest_report", "boosted_report"):
+    add(_name, _MODEL, """SELECT topic, count(*) FILTER (WHERE is_test AND flag) AS support, count(*) FILTER (WHERE is_test) AS scored,
+  coalesce(bool_or(flag) FILTER (WHERE NOT is_test), false) AND NOT coalesce(bool_and(flag) FILTER (WHERE NOT is_test), true) AS trained,
+  true AS probable, true AS fits_training, true AS fits_test FROM lng JOIN drawn USING (review_id) GROUP BY topic""")
+add("boosted_feature_importance", TAGS, """SELECT topic, true AS has_terms, true AS known, true AS ranked FROM lng GROUP BY topic HAVING bool_or(flag) AND NOT bool_and(flag)""")
+add("model_labels", TAGS, f"SELECT review_id, {joined_topics()} AS topics, true AS known_labels, true AS probable, true AS holds_keywords FROM lng GROUP BY review_id")
+
+_LABELLED = DOCS + ",\n" + sentiment_ctes("docs") + """,
+jud AS MATERIALIZED (SELECT review_id, CASE WHEN toxic = 1 THEN 'negative' ELSE 'positive' END AS y, CASE WHEN sentiment_score < 0 THEN 'negative' ELSE 'positive' END AS p
+  FROM sent JOIN labels ON doc_id = review_id)"""
+add("document_label_accuracy", _LABELLED, f"SELECT {r('avg((y = p)::INT)', 4)} AS accuracy, count(*) AS n FROM jud")
+ORACLES["document_label_report"] = ORACLES["classification_report"].replace(JUDGED, _LABELLED)
+
+#: The same questions over documents that orders date and score.
+TEXTS = f"""texts AS (SELECT doc_id AS review_id, n_name AS Hotel_Name, CAST(o_orderdate AS DATE) AS date,
+  CAST(40 + (o_orderkey*37) % 61 - 5*((o_orderkey*7 + o_custkey) % 4) AS DOUBLE) / 10 AS Reviewer_Score, text AS review_text
+  FROM documents JOIN orders ON doc_id = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+clean AS MATERIALIZED (SELECT *, least(5e0, greatest(1e0, Reviewer_Score / 2)) AS rating FROM (SELECT DISTINCT * FROM texts)
+  WHERE regexp_replace(review_text, '^{SP}+|{SP}+$', '', 'g') <> '')"""
+for _name in OVER_TEXTS:
+    assert CLEAN in ORACLES[_name], _name
+    ORACLES[f"text_{_name}"] = ORACLES[_name].replace(CLEAN, TEXTS)

@@ -22,6 +22,28 @@ def parse_date(text: Column) -> Column:
             .when(t.contains(" "), long_plain))
 
 
+def load_date(text: Column) -> Column:
+    """Text of an export to DATE: what ``parse_date`` reads, and dates written in other usual ways.
+
+    Years come first in 2017-08-03, 2017/8/3, 2017.08.03 and 20170803, month names may be short or long and
+    with or without a comma. A time of day and an offset behind the date are dropped: the day
+    is the one written. Numbers with the year last are month first where that is a date.
+    """
+    t = strip(text)
+    day = F.regexp_replace(t, r"[T\s]+\d{1,2}:\d{2}.*$", "")
+    year_first = F.regexp_replace(F.regexp_replace(day, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"), r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})$", "$1-$2-$3")
+    numbers = F.regexp_replace(day, r"^(\d{1,2})[.-](\d{1,2})[.-](\d{4})$", "$1/$2/$3")
+    named = F.regexp_replace(F.regexp_replace(F.initcap(day), r"([A-Z][a-z]{2})[a-z]*\.?", "$1"), r"[,\s-]+", " ")
+
+    def read(value: Column, pattern: str) -> Column:
+        return F.try_to_timestamp(value, F.lit(pattern)).cast("date")
+
+    return (F.when(day.rlike(r"^\d{4}[/.-]|^\d{8}$"), read(year_first, "yyyy-M-d"))
+            .when(day.rlike(r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}$"), F.coalesce(read(numbers, "M/d/yyyy"), read(numbers, "d/M/yyyy")))
+            .when(day.rlike(r"^[A-Za-z]"), read(named, "MMM d yyyy"))
+            .otherwise(read(named, "d MMM yyyy")))
+
+
 def year_month(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 

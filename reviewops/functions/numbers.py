@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewops.fixed_values import PRIORITY_BANDS, TREND_ICONS, TREND_POINTS, TREND_WORDS
 
@@ -18,21 +18,42 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
-EXACT = "decimal(8,5)"
+EXACT = "decimal(28,5)"
 
 
-def exact_sum(value: Column, kind: str = EXACT) -> Column:
+def exact_sum(value: Column) -> Column:
     """Sum of values with up to five decimals, as a decimal.
 
     Scores and ratings have one or two decimals, sentiment scores four. Decimal sums
     do not depend on the order of the rows, so neither layout nor retries can move a
-    mean across a rounding edge. With eight digits the sum stays in 64-bit integers.
+    mean across a rounding edge.
     """
-    return F.sum(value.try_cast(kind))
+    return F.sum(value.try_cast(EXACT))
 
 
-def exact_mean(value: Column, kind: str = EXACT) -> Column:
-    return F.try_divide(exact_sum(value, kind).cast("double"), F.count(value).cast("double"))
+def exact_mean(value: Column) -> Column:
+    """Mean of the values that ``exact_sum`` adds up; those beyond 28 digits count in neither."""
+    return F.try_divide(exact_sum(value).cast("double"), F.count(value.try_cast(EXACT)).cast("double"))
+
+
+#: Column of a frame whose rows stand for several equal reviews: how many. Then ``rated``, ``stars``
+#: and ``sentiment`` hold their rated ones and the sums of their ratings and sentiment scores.
+WEIGHT = "_reviews"
+
+
+def rows_in(df: DataFrame, condition: str = "true") -> Column:
+    """Number of reviews that meet the condition."""
+    return F.expr(f"sum(CASE WHEN {condition} THEN {WEIGHT} ELSE 0L END)" if WEIGHT in df.columns else f"count_if({condition})")
+
+
+def rated_in(df: DataFrame, condition: str = "true") -> Column:
+    """Number of rated reviews that meet the condition."""
+    return F.expr(f"sum(CASE WHEN {condition} THEN rated ELSE 0L END)" if WEIGHT in df.columns else f"count(CASE WHEN {condition} THEN rating END)")
+
+
+def stars_in(df: DataFrame, condition: str = "true") -> Column:
+    """Sum of the ratings of reviews that meet the condition."""
+    return F.expr(f"sum(CASE WHEN {condition} THEN {'stars' if WEIGHT in df.columns else f'try_cast(rating AS {EXACT})'} END)")
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:

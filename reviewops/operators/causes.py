@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reviewops.fixed_values import (CAUSE_CONFIDENCE_MIN, CAUSE_DESCRIPTIONS, CAUSE_KEYWORDS, CAUSE_PRIORS, CAUSES,
                                     DEFAULT_CAUSE_PRIORS, SPARSE_EVIDENCE)
 from reviewops.functions import text
-from reviewops.functions.numbers import at_least, at_most, half_even, percent, share
+from reviewops.functions.numbers import WEIGHT, at_least, at_most, half_even, percent, rows_in, share
 from reviewops.operators.groups import exploded, first_n, ranked
 
 _BY = ("Hotel_Name",)
@@ -42,9 +42,10 @@ def cause_counts(df: DataFrame, by: Sequence[str] = _BY) -> DataFrame:
     """Reviews per (hotel, topic, cause); the row without a cause counts all reviews of the topic."""
     marked = df if "causes" in df.columns else add_causes(df)
     marks = F.concat(F.array(F.lit(None).cast("string")), F.col("causes"))
-    rows = exploded(marked.select(*by, "topics", marks.alias("_marks")), "topic", "topics")
-    return (rows.select(*by, "topic", F.explode_outer("_marks").alias("cause"))
-            .groupBy(*by, "topic", "cause").agg(F.count(F.lit(1)).alias("hits")))
+    weight = [WEIGHT] if WEIGHT in marked.columns else []
+    rows = exploded(marked.select(*by, *weight, "topics", marks.alias("_marks")), "topic", "topics")
+    rows = rows.select(*by, *weight, "topic", F.explode_outer("_marks").alias("cause"))
+    return rows.groupBy(*by, "topic", "cause").agg(rows_in(rows).alias("hits"))
 
 
 def _prior_rows(topic: Column, total: Column) -> Column:

@@ -8,8 +8,14 @@ from reviewops.functions import dates, numbers, text
 
 
 def with_review_id(df: DataFrame) -> DataFrame:
-    """Add ``review_id`` if there is none: a hash of the row, the same on every run and layout."""
-    return df if "review_id" in df.columns else df.withColumn("review_id", F.xxhash64(*df.columns))
+    """Add ``review_id`` if there is none: 128 bits of hash of the row, the same on every run and layout.
+
+    The row is written as JSON with its nulls, so a null in one column is not one in another.
+    """
+    if "review_id" in df.columns:
+        return df
+    whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
+    return df.withColumn("review_id", F.md5(whole.cast("binary")))
 
 
 def with_review_text(df: DataFrame) -> DataFrame:
@@ -24,7 +30,7 @@ def with_dates(df: DataFrame) -> DataFrame:
         return df
     given = F.col("Review_Date")
     is_text = isinstance(df.schema["Review_Date"].dataType, T.StringType)
-    df = df.withColumn("Review_Date", dates.parse_date(given) if is_text else given.cast("date"))
+    df = df.withColumn("Review_Date", dates.load_date(given) if is_text else given.cast("date"))
     return df if "date" in df.columns else df.withColumn("date", F.col("Review_Date"))
 
 

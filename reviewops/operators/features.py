@@ -10,7 +10,7 @@ from reviewops.fixed_values import STOP_WORDS
 from reviewops.functions import text
 from reviewops.functions.numbers import half_even
 from reviewops.operators.groups import ranked
-from reviewops.session import cut_lineage
+from reviewops.session import kept
 
 BUCKET_DIGITS = 4  # hex digits of the draw key that name a bucket: 65536 buckets
 
@@ -50,10 +50,10 @@ def tfidf(df: DataFrame, key: str, column: str = "review_text", ngrams: int = 2,
     """
     counts = term_counts(df, key, column, ngrams, stop_words)
     documents = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    kept = vocabulary(counts, documents, max_terms, min_df, max_df)
+    terms = vocabulary(counts, documents, max_terms, min_df, max_df)
     idf = F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0
     tf = 1.0 + F.log("tf") if sublinear else F.col("tf").cast("double")
-    raw = counts.join(F.broadcast(kept), "term").select("doc", "term", (tf * idf).alias("raw"))
+    raw = counts.join(F.broadcast(terms), "term").select("doc", "term", (tf * idf).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
     return raw.select("doc", "term", (F.col("raw") / norm).alias("weight"))
 
@@ -99,7 +99,7 @@ def split_train_test(df: DataFrame, test_size: float = 0.2, seed: int = 42, key:
     """
     stars = F.rint("rating").cast("int")
     draw = F.concat(draw_key(key, seed), F.lit(":"), F.col(key).cast("string"))
-    narrow = strata(cut_lineage(df.select(stars.alias("stars"), draw.alias("_draw"))))
+    narrow = strata(kept(df.select(stars.alias("stars"), draw.alias("_draw")), "split-keys"))
     bucketed = narrow.select("stars", "stratum", "_draw", F.substring("_draw", 1, BUCKET_DIGITS).alias("_bucket"))
     counts = bucketed.groupBy("stratum", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     in_stratum = Window.partitionBy("stratum")

@@ -59,12 +59,10 @@ def apply_filters(df: DataFrame, first=None, last=None, low: float = 1.0, high:
             .transform(with_any_topic, topics))
 
 
-def search_hotels(df: DataFrame, query: str = "", shown: int = 200) -> DataFrame:
-    """Hotel names that contain the query; without a query the first ``shown`` names."""
+def search_hotels(df: DataFrame, query: str = "") -> DataFrame:
+    """Hotel names that contain the query, ignoring case, or all names; how many are shown is up to the caller."""
     names = df.select(text.strip(F.col("Hotel_Name")).alias("Hotel_Name")).distinct()
-    if query:
-        return names.filter(F.lower("Hotel_Name").contains(query.lower()))
-    return names.orderBy("Hotel_Name").limit(shown)
+    return names.filter(F.lower("Hotel_Name").contains(query.lower())) if query else names
 
 
 def topic_samples(topic_rows: DataFrame, n: int = 5, max_chars: int = 350, worst_only: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewops.fixed_values import TOPICS
 from reviewops.functions import dates, numbers
-from reviewops.functions.numbers import EXACT, exact_sum, half_even, percent, share
+from reviewops.functions.numbers import half_even, percent, share
 from reviewops.operators.groups import first_n, ranked
 from reviewops.operators.topics import flag, unpivot_topics
 
@@ -23,11 +23,10 @@ _HOTEL = ("Hotel_Name",)
 
 def daily_facts(df: DataFrame, by: Sequence[str] = _HOTEL) -> DataFrame:
     """Per (hotel, day): reviews, rated reviews, rating sum, and the same per topic."""
-    per_topic = [F.expr(e) for t in TOPICS for e in (
-        f"count_if({flag(t)}) AS n_{t}", f"count(CASE WHEN {flag(t)} THEN rating END) AS rated_{t}",
-        f"sum(CASE WHEN {flag(t)} THEN try_cast(rating AS {EXACT}) END) AS stars_{t}")]
+    per_topic = [c for t in TOPICS for c in (numbers.rows_in(df, flag(t)).alias(f"n_{t}"), numbers.rated_in(df, flag(t)).alias(f"rated_{t}"),
+                                             numbers.stars_in(df, flag(t)).alias(f"stars_{t}"))]
     return df.groupBy(*by, "date").agg(
-        F.count(F.lit(1)).alias("reviews"), F.count("rating").alias("rated"), exact_sum(F.col("rating")).alias("stars"), *per_topic)
+        numbers.rows_in(df).alias("reviews"), numbers.rated_in(df).alias("rated"), numbers.stars_in(df).alias("stars"), *per_topic)
 
 
 def hotel_topics(df: DataFrame, by: Sequence[str] = _HOTEL, months: int = 12) -> DataFrame:

@@ -3,36 +3,62 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, RandomForestClassificationModel,
                                        RandomForestClassifier)
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewops.fixed_values import TOPICS
+from reviewops.functions import text
 from reviewops.functions.numbers import half_even
 from reviewops.operators.topics import flag
-from reviewops.session import cut_lineage
+from reviewops.session import kept
 
 _LOADERS = {"forest": RandomForestClassificationModel, "boosted": GBTClassificationModel}
 
+#: The documented bound on the labelled reviews that a model is fitted on; counts and predictions cover all.
+MAX_TRAINING_ROWS = 50_000
 
-def feature_pipeline(column: str = "review_text", max_terms: int = 10_000, min_df: float = 2, max_df: float = 0.95) -> Pipeline:
-    """Words and word pairs, weighted by inverse document frequency and normalised."""
+
+def word_pipeline(column: str = "review_text", max_terms: int = 10_000, min_df: float = 2, max_df: float = 0.95) -> Pipeline:
+    """Counts of unaccented words and word pairs, and in how many texts each occurs."""
+    plain = f"SELECT *, translate(lower(coalesce({column}, '')), '{text.ACCENTED}', '{text.UNACCENTED}') AS _plain FROM __THIS__"
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=column, outputCol="_words", gaps=False, pattern=r"\b[a-z][a-z]+\b", toLowercase=True),
+        SQLTransformer(statement=plain),
+        RegexTokenizer(inputCol="_plain", outputCol="_words", gaps=False, pattern=r"\b[a-z][a-z]+\b", toLowercase=False),
         NGram(n=2, inputCol="_words", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
         CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_terms, minDF=min_df, maxDF=max_df),
         IDF(inputCol="_counts", outputCol="_weights"),
-        Normalizer(inputCol="_weights", outputCol="features"),
-        SQLTransformer(statement="SELECT * EXCEPT (_words, _pairs, _terms, _counts, _weights) FROM __THIS__"),
     ])
 
 
+def weighted(df: DataFrame, words: PipelineModel) -> DataFrame:
+    """Add ``features``: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), brought to length 1.
+
+    The built-in weighting has neither the logarithm of tf nor the smoothing, so a small function does
+    both on each vector's few entries.
+    """
+    model = words.stages[5]
+    idf = np.log((1.0 + model.numDocs) / (1.0 + np.asarray(model.docFreq))) + 1.0
+
+    @F.udf(VectorUDT())
+    def weigh(counts):
+        values = (1.0 + np.log(counts.values)) * idf[counts.indices]
+        length = np.sqrt((values ** 2).sum())
+        return Vectors.sparse(counts.size, counts.indices, values / length if length else values)
+
+    return words.transform(df).withColumn("features", weigh("_counts")).drop("_plain", "_words", "_pairs", "_terms", "_counts", "_weights")
+
+
 @dataclass
 class TopicModel:
     """Features and one binary classifier per topic that had examples."""
@@ -40,14 +66,15 @@ class TopicModel:
     kind: str
     features: PipelineModel
     classifiers: dict[str, object] = field(default_factory=dict)
+    training: dict[str, float] = field(default_factory=dict)  # accuracy of each topic on the rows it was fitted on
 
     @property
     def vocabulary(self) -> list[str]:
-        return self.features.stages[3].vocabulary
+        return self.features.stages[4].vocabulary
 
     def with_probabilities(self, df: DataFrame) -> DataFrame:
         """Add ``p_<topic>``, the probability of the topic, and ``pred_<topic>``; 0 and false for untrained topics."""
-        out = self.features.transform(df)
+        out = weighted(df, self.features)
         for topic, model in self.classifiers.items():
             model.setRawPredictionCol("_raw").setProbabilityCol("_probability").setPredictionCol("_prediction")
             out = (model.transform(out)
@@ -87,37 +114,53 @@ class TopicModel:
         return cls(kind, PipelineModel.load(f"{path}/features"), {t: _LOADERS[kind].load(f"{path}/{kind}/{t}") for t in topics})
 
 
-def _train(df: DataFrame, kind: str, classifier, topics: Sequence[str], max_terms: int, min_df: float) -> TopicModel:
+def _train(df: DataFrame, kind: str, classifier, topics: Sequence[str], max_terms: int, min_df: float, max_rows: int) -> TopicModel:
     # Fitting reads the texts several times: they are cleaned and tagged once, and written.
-    texts = cut_lineage(df.select("review_text", *[flag(t) for t in topics]))
-    features = feature_pipeline(max_terms=max_terms, min_df=min_df).fit(texts)
+    draw = F.xxhash64("review_id" if "review_id" in df.columns else "review_text", F.lit(7)).alias("_draw")
+    texts = kept(df.select("review_text", *[flag(t) for t in topics], draw), "training-texts")
     counts = texts.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(flag(t)).alias(t) for t in topics]).first()
+    if counts["n"] > max_rows:
+        texts = kept(texts.where(F.pmod("_draw", F.lit(1 << 30)) * F.lit(float(counts["n"])) < F.lit(float(max_rows) * (1 << 30))), "training-sample")
+        counts = texts.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(flag(t)).alias(t) for t in topics]).first()
+    words = word_pipeline(max_terms=max_terms, min_df=min_df).fit(texts)
     usable = [t for t in topics if 0 < counts[t] < counts["n"]]
 
     def balanced(t: str) -> Column:
         return F.when(F.col(flag(t)), counts["n"] / (2.0 * counts[t])).otherwise(counts["n"] / (2.0 * (counts["n"] - counts[t])))
 
     # All classifiers read the same vectors, so these are written once and the lineage ends there.
-    ready = cut_lineage(features.transform(texts).select("features", *[flag(t) for t in usable]))
-    model = TopicModel(kind, features)
-    for t in usable:
-        training = ready.select("features", F.col(flag(t)).cast("double").alias("label"), balanced(t).alias("weight"))
-        model.classifiers[t] = classifier.fit(training)
+    ready = kept(weighted(texts, words).select("features", *[flag(t) for t in usable]), "training-vectors")
+    ready = ready.repartition(max(1, min(ready.sparkSession.sparkContext.defaultParallelism, counts["n"] // 10_000))).cache()
+
+    def fit(t: str) -> tuple[object, float]:
+        rows = ready.select("features", F.col(flag(t)).cast("double").alias("label"), balanced(t).alias("weight"))
+        model = classifier.copy().fit(rows)
+        right = model.transform(rows).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        return model, right
+
+    model = TopicModel(kind, words)
+    with ThreadPoolExecutor(max(1, len(usable))) as pool:  # one thread a topic waits for Spark's jobs
+        for t, (fitted, right) in zip(usable, pool.map(inheritable_thread_target(df.sparkSession)(fit), usable)):
+            model.classifiers[t], model.training[t] = fitted, right
+    ready.unpersist()
     return model
 
 
 def train_forest(df: DataFrame, trees: int = 200, depth: int = 30, seed: int = 42, max_terms: int = 10_000,
-                 min_df: float = 2, topics: Sequence[str] = TOPICS) -> TopicModel:
-    """Random forests with balanced class weights on the topic flags of ``df``."""
+                 min_df: float = 2, topics: Sequence[str] = TOPICS, max_rows: int = MAX_TRAINING_ROWS) -> TopicModel:
+    """Random forests with balanced class weights on the topic flags of ``df``.
+
+    Trees grow to depth 30, the deepest the library allows. They are fitted on about ``max_rows`` reviews, picked by a hash of their id.
+    """
     return _train(df, "forest", RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight"),
-                  topics, max_terms, min_df)
+                  topics, max_terms, min_df, max_rows)
 
 
 def train_boosted(df: DataFrame, rounds: int = 100, depth: int = 6, rate: float = 0.1, subsample: float = 0.8, seed: int = 42,
-                  max_terms: int = 10_000, min_df: float = 2, topics: Sequence[str] = TOPICS) -> TopicModel:
-    """Boosted trees on the topic flags of ``df``; topics without examples are skipped."""
+                  max_terms: int = 10_000, min_df: float = 2, topics: Sequence[str] = TOPICS, max_rows: int = MAX_TRAINING_ROWS) -> TopicModel:
+    """Boosted trees on the topic flags of ``df``; topics without examples are skipped. Fitted on about ``max_rows`` reviews."""
     return _train(df, "boosted", GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed),
-                  topics, max_terms, min_df)
+                  topics, max_terms, min_df, max_rows)
 
 
 def predicted_labels(topics: Sequence[str] = TOPICS, prefix: str = "pred_") -> Column:

@@ -100,8 +100,9 @@ def with_roi(df: DataFrame, room_rate: float = 150.0, occupancy: float = 0.65, d
 
 def roi(df: DataFrame, costs: DataFrame, rooms: DataFrame | None = None, default_rooms: int = 100,
         room_rate: float = 150.0, occupancy: float = 0.65, default_inputs: bool = False, by: Sequence[str] = _BY) -> DataFrame:
-    """Return on investment of the plan of every (hotel, topic)."""
-    joined = with_rooms(roi_inputs(df, by).join(costs, [*by, "topic"]), rooms, default_rooms, by)
+    """Return on investment of the plan of every (hotel, topic); one without a plan costs nothing."""
+    costed = roi_inputs(df, by).join(costs, [*by, "topic"], "left").fillna(0.0, ["three_month_total"])
+    joined = with_rooms(costed, rooms, default_rooms, by)
     out = with_roi(joined, room_rate, occupancy, default_inputs)
 
     def cents(c: str) -> Column:

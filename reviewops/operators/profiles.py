@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewops.fixed_values import TOPICS
 from reviewops.functions import dates, lexicon, numbers, text
-from reviewops.functions.numbers import exact_mean, half_even, percent
-from reviewops.operators.filters import filter_recent
-from reviewops.operators.groups import first_n, rows_of_top
+from reviewops.functions.numbers import exact_mean, half_even, percent, share
+from reviewops.operators.groups import rows_of_top
 from reviewops.operators.topics import flag, unpivot_topics
 
 LABELS = ["positive", "neutral", "negative"]
@@ -34,7 +33,7 @@ def hotel_stats(reviews: DataFrame, hotels: DataFrame | None = None) -> DataFram
     reviews shows 0, 0.0 and "N/A".
     """
     stats = reviews.groupBy(text.strip(F.col("Hotel_Name")).alias("Hotel_Name")).agg(
-        F.count(F.lit(1)).alias("total_reviews"), half_even(exact_mean(F.col("Reviewer_Score"), "decimal(18,5)"), 2).alias("avg_rating"),
+        F.count(F.lit(1)).alias("total_reviews"), half_even(exact_mean(F.col("Reviewer_Score")), 2).alias("avg_rating"),
         F.min("Review_Date").alias("first"), F.max("Review_Date").alias("last"))
     if hotels is not None:
         names = hotels.select(text.strip(F.col("Hotel_Name")).alias("Hotel_Name")).distinct()
@@ -47,21 +46,18 @@ def hotel_stats(reviews: DataFrame, hotels: DataFrame | None = None) -> DataFram
                         day("last").alias("end_date"), numbers.stat_label(F.col("avg_rating")).alias("label"))
 
 
-def hotel_summary(df: DataFrame, sentiment_first: int | None = None) -> DataFrame:
+def hotel_summary(df: DataFrame) -> DataFrame:
     """Reviews, mean rating, mean sentiment and health score per hotel.
 
-    Sentiment is ``sentiment_score`` where present, else scored from the text: over
-    all reviews, or over the first ``sentiment_first`` of each hotel.
+    Sentiment is ``sentiment_score`` where present, else scored from the text.
     """
-    score = F.col("sentiment_score") if "sentiment_score" in df.columns else lexicon.sentiment_score(F.col("review_text"))
-    totals = [F.count(F.lit(1)).alias("total_reviews"), half_even(exact_mean(F.col("rating")), 2).alias("avg_rating")]
-    if sentiment_first is None:
-        out = df.groupBy("Hotel_Name").agg(*totals, half_even(exact_mean(score), 3).alias("avg_sentiment"))
+    if numbers.WEIGHT in df.columns:
+        rating, mood = share(numbers.stars_in(df), numbers.rated_in(df)), share(F.sum("sentiment"), numbers.rows_in(df))
     else:
-        head = first_n(df.select("Hotel_Name", "review_id", "review_text", *(
-            ["sentiment_score"] if "sentiment_score" in df.columns else [])), ["Hotel_Name"], [F.col("review_id")], sentiment_first)
-        sentiment = head.groupBy("Hotel_Name").agg(half_even(exact_mean(score), 3).alias("avg_sentiment"))
-        out = df.groupBy("Hotel_Name").agg(*totals).join(sentiment, "Hotel_Name")
+        score = F.col("sentiment_score") if "sentiment_score" in df.columns else lexicon.sentiment_score(F.col("review_text"))
+        rating, mood = exact_mean(F.col("rating")), exact_mean(score)
+    out = df.groupBy("Hotel_Name").agg(numbers.rows_in(df).alias("total_reviews"), half_even(rating, 2).alias("avg_rating"),
+                                       half_even(mood, 3).alias("avg_sentiment"))
     health = numbers.health_score(F.col("avg_rating"))
     return out.withColumn("health_score", health).withColumn("health_band", numbers.health_band(F.col("health_score")))
 
@@ -102,20 +98,39 @@ def monthly_volume(df: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at("counts", F.col("month")), F.lit(0)).alias("reviews"))
 
 
+def _recent_days(days: DataFrame, months: int) -> DataFrame:
+    """Days within ``months`` calendar months of their hotel's latest; a hotel without dates keeps all rows."""
+    latest = F.max("date").over(Window.partitionBy("Hotel_Name"))
+    return days.withColumn("_latest", latest).filter(
+        F.col("_latest").isNull() | (F.col("date") >= dates.months_before(F.col("_latest"), months))).drop("_latest")
+
+
 def recent_snapshot(df: DataFrame, months: int = 1) -> DataFrame:
-    """The last month of every hotel: reviews, mean rating, mean sentiment, share of positive reviews."""
+    """The last month of every hotel: reviews, mean rating, mean sentiment, share of positive reviews.
+
+    Reviews are summed by day first; only days meet to find the last month.
+    """
     scored = df if "sentiment_score" in df.columns else df.withColumn(
         "sentiment_score", lexicon.sentiment_score(F.col("review_text")))
-    return filter_recent(scored, "date", months).groupBy("Hotel_Name").agg(
-        F.count(F.lit(1)).alias("reviews"), half_even(exact_mean(F.col("rating")), 2).alias("avg_rating"),
-        half_even(exact_mean(F.col("sentiment_score")), 2).alias("avg_sentiment"),
-        F.rint(F.avg((F.col("sentiment_score") > 0.3).cast("double")) * 100).alias("positive_pct"))
+    days = scored.groupBy("Hotel_Name", "date").agg(
+        F.count(F.lit(1)).alias("reviews"), F.count("rating").alias("rated"), numbers.exact_sum(F.col("rating")).alias("stars"),
+        F.count("sentiment_score").alias("scored"), numbers.exact_sum(F.col("sentiment_score")).alias("mood"),
+        F.count_if(F.col("sentiment_score") > 0.3).alias("positive"))
+    return _recent_days(days, months).groupBy("Hotel_Name").agg(
+        F.sum("reviews").alias("reviews"), half_even(share(F.sum("stars"), F.sum("rated")), 2).alias("avg_rating"),
+        half_even(share(F.sum("mood"), F.sum("scored")), 2).alias("avg_sentiment"),
+        F.rint(share(F.sum("positive"), F.sum("scored")) * 100).alias("positive_pct"))
 
 
 def rating_change(df: DataFrame) -> DataFrame:
     """Mean rating of each hotel's last month against its mean over all reviews, with the signed change as text."""
-    overall = df.groupBy("Hotel_Name").agg(half_even(exact_mean(F.col("rating")), 2).alias("overall_rating"))
-    recent = filter_recent(df, "date", 1).groupBy("Hotel_Name").agg(half_even(exact_mean(F.col("rating")), 2).alias("recent_rating"))
+    days = df.groupBy("Hotel_Name", "date").agg(F.count("rating").alias("rated"), numbers.exact_sum(F.col("rating")).alias("stars"))
+
+    def mean(name: str) -> Column:
+        return half_even(share(F.sum("stars"), F.sum("rated")), 2).alias(name)
+
+    overall = days.groupBy("Hotel_Name").agg(mean("overall_rating"))
+    recent = _recent_days(days, 1).groupBy("Hotel_Name").agg(mean("recent_rating"))
     return overall.join(recent, "Hotel_Name").withColumn("change", numbers.signed_change(F.col("recent_rating"), F.col("overall_rating")))
 
 

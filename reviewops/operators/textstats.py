@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewops.fixed_values import STOP_WORDS
 from reviewops.functions import lexicon, text
 from reviewops.functions.numbers import half_even, share
-from reviewops.operators.groups import first_n
+from reviewops.operators.groups import first_n, ranked
 
 
 def content_words(column: Column) -> Column:
@@ -43,11 +43,23 @@ def _top_counts(items: DataFrame, keys: Sequence[str], item: str, n: int) -> Dat
 
 
 def word_frequency(df: DataFrame, keys: Sequence[str], n: int = 10, column: str = "review_text") -> DataFrame:
-    """The ``n`` most frequent content words per key: per review, per hotel or any other column."""
+    """The ``n`` most frequent content words per hotel or any other group of texts."""
     words = df.select(*keys, F.explode(content_words(F.col(column))).alias("word"))
     return _top_counts(words, keys, "word", n)
 
 
+def _words_of_each(df: DataFrame, key: str, n: int, column: str) -> DataFrame:
+    """``word_frequency`` by text. Texts move once, to where their key belongs; words never do."""
+    words = df.select(key, F.explode(content_words(F.col(column))).alias("word"))
+    counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("frequency"))
+    return ranked(counts, [key], [F.desc("frequency"), F.asc("word")]).filter(F.col("rank") <= n)
+
+
+def review_word_frequency(df: DataFrame, key: str = "review_id", n: int = 10, column: str = "review_text") -> DataFrame:
+    """The ``n`` most frequent content words of each text."""
+    return _words_of_each(df.select(key, column).repartition(key), key, n, column)
+
+
 def keywords(df: DataFrame, keys: Sequence[str], n: int = 15, column: str = "review_text") -> DataFrame:
     """Keyword list per key, most frequent first."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "word")))
@@ -68,9 +80,12 @@ def collocations(df: DataFrame, keys: Sequence[str] = ("Hotel_Name",), n: int =
 
 def text_analysis(df: DataFrame, key: str = "review_id", column: str = "review_text") -> DataFrame:
     """All per-text statistics in one row: opinion, sentences, tokens and keywords."""
-    tokens = token_profile(df, column).select(
+    placed = df.select(key, column).repartition(key)
+    tokens = token_profile(placed, column).select(
         key, lexicon.polarity(F.col(column)).alias("polarity"), lexicon.subjectivity(F.col(column)).alias("subjectivity"),
         F.size(text.sentences(F.col(column))).alias("sentence_count"), "token_count", "word_count", "non_stop_word_count",
         "unique_words", "avg_word_length", "vocabulary_richness", lexicon.subjective_words(F.col(column)).alias("subjective_words"))
-    found = tokens.join(keywords(df, [key], 15, column), key, "left")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "word")))
+    words = _words_of_each(placed, key, 15, column).groupBy(key).agg(F.transform(ordered, lambda k: k.word).alias("keywords"))
+    found = tokens.join(words, key, "left")
     return found.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))

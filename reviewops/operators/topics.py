@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewops.fixed_values import TOPIC_KEYWORDS, TOPICS
 from reviewops.functions import text
-from reviewops.functions.numbers import exact_mean, half_even, percent
+from reviewops.functions.numbers import exact_mean, half_even, percent, rows_in
 from reviewops.operators.groups import exploded, first_n, rows_of_top
 
 
@@ -61,7 +61,7 @@ def unpivot_topics(wide: DataFrame, keys: Sequence[str], measures: Mapping[str,
 
 def _counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"), *[F.expr(f"count_if({flag(t)}) AS n_{t}") for t in TOPICS])
+        rows_in(df).alias("total"), *[rows_in(df, flag(t)).alias(f"n_{t}") for t in TOPICS])
 
 
 def topic_stats(df: DataFrame, by: Sequence[str] = ("Hotel_Name",)) -> DataFrame:

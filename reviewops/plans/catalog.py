@@ -7,6 +7,7 @@ themselves (``tables.document_reviews``); all queries run over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -15,6 +16,7 @@ from reviewops.functions import dates, lexicon, numbers, text
 from reviewops.operators import (causes, cleaning, features, filters, impact, metrics, models, planning, profiles,
                                  sentiment, textstats, topics)
 from reviewops.plans import evaluation, reports
+from reviewops.session import kept
 from reviewops.sources import reviews, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +46,12 @@ def query(function: Query) -> Query:
     return function
 
 
+class TextFolder(str):
+    """A table folder whose documents are the reviews."""
+
+
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.order_reviews(spark, sf)
+    return tables.text_reviews(spark, sf) if isinstance(sf, TextFolder) else tables.order_reviews(spark, sf)
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,6 +163,19 @@ def parsed_dates(spark, sf):
         "o_orderkey", "written", read.alias("day"), dates.year_month(read).alias("month"))
 
 
+@query
+def loaded_dates(spark, sf):
+    """Order dates as exports write them: timestamps, slashes, dots, short month names, offsets."""
+    day = F.col("o_orderdate")
+    ways = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy/MM/dd", "MMM d, yyyy", "d MMM yyyy", "yyyyMMdd", "MM/dd/yyyy HH:mm", "MMMM d yyyy",
+            "yyyy.M.d", "yyyy-MM-dd'T'HH:mm:ss.SSS'+02:00'"]
+    kind = F.col("o_orderkey") % (len(ways) + 1)
+    written = F.lit("some day")
+    for i, way in enumerate(ways):
+        written = F.when(kind == i, F.date_format(day, way)).otherwise(written)
+    return tables.table(spark, sf, "orders").select("o_orderkey", dates.load_date(written).alias("day"))
+
+
 @query
 def hotel_date_ranges(spark, sf):
     return profiles.date_ranges(clean(spark, sf))
@@ -274,11 +293,6 @@ def hotel_summary(spark, sf):
     return profiles.hotel_summary(clean(spark, sf))
 
 
-@query
-def hotel_summary_first_200(spark, sf):
-    return profiles.hotel_summary(clean(spark, sf), sentiment_first=200)
-
-
 @query
 def monthly_rating(spark, sf):
     return profiles.monthly_rating(clean(spark, sf))
@@ -462,6 +476,13 @@ def hotel_report(spark, sf):
     return reports.hotel_report(tagged(spark, sf), 10, tables.hotel_rooms(spark, sf))
 
 
+@query
+def hotel_report_all(spark, sf):
+    """All hotels, those without any complaint included."""
+    rows = clean(spark, sf).select("review_id", "Hotel_Name", "date", "rating", "review_text").unionByName(tables.praise(spark, sf))
+    return reports.hotel_report(topics.add_topics(rows), None, tables.hotel_rooms(spark, sf))
+
+
 # --- sentiment --------------------------------------------------------------
 
 @query
@@ -513,7 +534,7 @@ def sentence_profile(spark, sf):
 
 @query
 def review_word_frequency(spark, sf):
-    return textstats.word_frequency(documents(spark, sf), ["review_id"], 10)
+    return textstats.review_word_frequency(documents(spark, sf), "review_id", 10)
 
 
 @query
@@ -616,33 +637,88 @@ def evaluation_report(spark, sf):
     return evaluation.evaluation_report(tagged(spark, sf))
 
 
-# --- trained models (no SQL equivalent) -------------------------------------
+@query
+def document_label_report(spark, sf):
+    """Toxic documents, by their labels, told by negative sentiment."""
+    return metrics.classification_report(_labelled_documents(spark, sf), "truth", "found")
+
 
-_SMALL_FOREST = {"trees": 10, "depth": 6}
-_SMALL_BOOST = {"rounds": 5, "depth": 4}
+@query
+def document_label_accuracy(spark, sf):
+    return metrics.accuracy(_labelled_documents(spark, sf), "truth", "found")
+
+
+def _labelled_documents(spark, sf):
+    labels = tables.table(spark, sf, "labels").select(F.col("doc_id").alias("review_id"), F.when(F.col("toxic") == 1, "negative").otherwise("positive").alias("truth"))
+    found = sentiment.with_sentiment(documents(spark, sf)).select("review_id", F.when(F.col("sentiment_score") < 0, "negative").otherwise("positive").alias("found"))
+    return found.join(labels, "review_id")
+
+
+#: Queries that also run over the texts of the documents, as ``text_<name>``.
+OVER_TEXTS = ["topic_tags", "topic_samples", "issue_samples", "topic_stats", "impact_table", "trends", "ranked_issues", "root_causes",
+              "root_cause_evidence", "action_plans", "sentiment_score", "opinion_scores", "subjective_words", "ensemble_score", "text_analysis",
+              "hotel_word_frequency", "hotel_summary", "last_month", "weak_labels", "classification_report"]
+
+
+def _over_texts(name: str) -> Query:
+    return lambda spark, sf: QUERIES[name](spark, TextFolder(sf))
+
+
+QUERIES.update({f"text_{name}": _over_texts(name) for name in OVER_TEXTS})
+
+
+# --- trained models ---------------------------------------------------------
+# Trees are drawn at random, so the rows here hold what must be true of every good model: which
+# topics can be trained, how many rows are scored, that probabilities and labels are what they should be.
+
+def _model_report(spark, sf, kind):
+    rows = tagged(spark, sf).filter(F.col("rating").isNotNull())
+    split = kept(features.split_train_test(rows), "model-split")
+    model = (models.train_forest if kind == "forest" else models.train_boosted)(split.filter(~F.col("is_test")))
+    scored = model.with_probabilities(split.filter("is_test"))
+    cells = [F.struct(F.lit(t).alias("topic"), F.col(f"n_{t}").alias("support"), F.col("scored"), F.lit(t in model.classifiers).alias("trained"),
+                      F.col(f"ok_{t}").alias("probable"), F.lit(model.training.get(t, 1.0) >= 0.8).alias("fits_training"),
+                      (F.col(f"right_{t}") >= 0.8).alias("fits_test")) for t in TOPICS]
+    facts = [c for t in TOPICS for c in (F.count_if(topics.flag(t)).alias(f"n_{t}"), F.bool_and(F.col(f"p_{t}").between(0, 1)).alias(f"ok_{t}"),
+                                         F.avg((F.col(f"pred_{t}") == F.col(topics.flag(t))).cast("double")).alias(f"right_{t}"))]
+    return scored.agg(F.count(F.lit(1)).alias("scored"), *facts).select(F.inline(F.array(*cells)))
 
 
 @query
 def forest_report(spark, sf):
-    return evaluation.model_report(tagged(spark, sf).filter(F.col("rating").isNotNull()), "forest", **_SMALL_FOREST)
+    return _model_report(spark, sf, "forest")
 
 
 @query
 def boosted_report(spark, sf):
-    return evaluation.model_report(tagged(spark, sf).filter(F.col("rating").isNotNull()), "boosted", **_SMALL_BOOST)
+    return _model_report(spark, sf, "boosted")
+
+
+@lru_cache(maxsize=2)
+def _boosted(spark, sf):
+    """The boosted model of all reviews; the two queries that ask for it train it once."""
+    rows = kept(tagged(spark, sf), "model-rows")
+    return rows, models.train_boosted(rows)
 
 
 @query
 def boosted_feature_importance(spark, sf):
-    model = models.train_boosted(tagged(spark, sf), topics=["noise"], **_SMALL_BOOST)
-    return model.feature_importance(spark, "noise", 10)
+    """Topics with a model; its ten leading terms are ranked and come from the vocabulary."""
+    _, model = _boosted(spark, sf)
+    terms = set(model.vocabulary)
+    ranked = {t: [(r.term, r.importance) for r in model.feature_importance(spark, t, 10).collect()] for t in model.classifiers}  # 80 rows at most
+    return spark.createDataFrame([(t, 0 < len(r) <= 10, all(w in terms for w, _ in r), [i for _, i in r] == sorted((i for _, i in r), reverse=True))
+                                  for t, r in ranked.items()], "topic string, has_terms boolean, known boolean, ranked boolean")
 
 
 @query
 def model_labels(spark, sf):
-    """Labels of the boosted model with confidence, and their union with the keyword labels."""
-    rows = tagged(spark, sf)
-    model = models.train_boosted(rows, topics=["noise", "wifi"], **_SMALL_BOOST)
+    """Labels of the boosted model and their union with the keyword labels."""
+    rows, model = _boosted(spark, sf)
+    confidence = models.prediction_confidence()
     found = model.with_labels(rows.select("review_id", "review_text", "topics"))
-    return found.select("review_id", "predicted_topics", models.prediction_confidence().alias("confidence"),
-                        topics.union_labels(F.col("topics"), F.col("predicted_topics")).alias("labels"))
+    labels = topics.union_labels(F.col("topics"), F.col("predicted_topics"))
+    known = F.array(*(F.lit(t) for t in TOPICS))
+    either = (F.col("predicted_topics") == F.array(F.lit("none"))) | (F.size(F.array_except("predicted_topics", known)) == 0)
+    return found.select("review_id", "topics", either.alias("known_labels"), confidence.between(0, 1).alias("probable"),
+                        (F.size(F.array_except("topics", labels)) == 0).alias("holds_keywords"))

@@ -7,28 +7,33 @@ from pyspark.sql import DataFrame, functions as F
 from reviewops.functions import numbers
 from reviewops.operators import causes, impact, planning, profiles, sentiment, topics
 from reviewops.operators.groups import rows_of_top
-from reviewops.session import cut_lineage
+
+
+def leading_topics(df: DataFrame) -> DataFrame:
+    """The most frequent topic of every hotel."""
+    return topics.top_topic(topics.topic_stats(df)).select("Hotel_Name", "topic")
 
 
 def hotel_plans(df: DataFrame, rooms: DataFrame | None = None) -> DataFrame:
     """Costed actions for the most frequent topic of every hotel."""
-    leading = topics.top_topic(topics.topic_stats(df)).select("Hotel_Name", "topic")
-    found = causes.root_causes(df).join(leading, ["Hotel_Name", "topic"], "left_semi")
+    found = causes.root_causes(df).join(leading_topics(df), ["Hotel_Name", "topic"], "left_semi")
     return planning.action_plans(found, rooms)
 
 
 def compact(df: DataFrame, with_sentiment: bool = True) -> DataFrame:
-    """What the analyses need of each tagged review, without its text: topics, causes, sentiment, rating and date.
+    """Tagged reviews counted by hotel, day, topics and causes, with their rating and sentiment sums.
 
-    Worked out in one pass over the texts and written to the checkpoint folder, so
-    that analyses which combine several aggregates do not read and search the texts
-    for each of them.
+    One pass over the texts, combined inside the map tasks. All sections read this
+    aggregate instead of the reviews; Spark reuses its exchange where a plan reads it twice.
     """
     searched = causes.add_causes(df)
-    columns = ["Hotel_Name", "date", "rating", "topics", "causes"]
+    moods = []
     if with_sentiment:
-        searched, columns = sentiment.with_sentiment(searched), [*columns, "sentiment_score"]
-    return topics.add_topic_flags(cut_lineage(searched.select(*columns)))
+        searched = sentiment.with_sentiment(searched)
+        moods = [numbers.exact_sum(F.col("sentiment_score")).alias("sentiment")]
+    counted = searched.groupBy("Hotel_Name", "date", "topics", "causes").agg(
+        F.count(F.lit(1)).alias(numbers.WEIGHT), F.count("rating").alias("rated"), numbers.exact_sum(F.col("rating")).alias("stars"), *moods)
+    return topics.add_topic_flags(counted)
 
 
 def plan_returns(df: DataFrame, rooms: DataFrame | None = None, **options) -> DataFrame:
@@ -51,17 +56,20 @@ def report_tables(df: DataFrame, top: int | None = None, rooms: DataFrame | None
         "impact_table": impact.impact_table(chosen).drop("topic_order"),
         "action_plan": plan.select("Hotel_Name", "topic", "step", F.initcap(F.replace("timeframe", F.lit("_"), F.lit(" "))).alias("timeframe"),
                                    "action", "cost_text", "timeline", "expected_impact", "root_cause"),
-        "roi": planning.roi(chosen, planning.plan_costs(plan), rooms),
+        "roi": planning.roi(chosen, planning.plan_costs(plan), rooms).join(leading_topics(chosen), ["Hotel_Name", "topic"], "left_semi"),
     }
 
 
 def hotel_report(df: DataFrame, top: int | None = None, rooms: DataFrame | None = None) -> DataFrame:
-    """One line per hotel: summary, leading topic with its impact, plan cost and return."""
+    """One line per hotel: summary, leading topic with its impact, plan cost and return.
+
+    A hotel without complaints is there too: its leading topic is the first one, with a rate of 0, no actions and no cost.
+    """
     tables = report_tables(df, top, rooms)
     projection = tables["roi"].select("Hotel_Name", "topic", "total_investment", "rating_improvement", "expected_rating",
                                       "net_profit_3_months", "roi_percentage", "payback_months")
     leading_impact = tables["impact_table"].select("Hotel_Name", "topic", "complaint_rate", "impact")
     steps = tables["action_plan"].groupBy("Hotel_Name", "topic").agg(F.count(F.lit(1)).alias("actions"))
-    return (tables["summary"].join(projection, "Hotel_Name").join(leading_impact, ["Hotel_Name", "topic"])
-            .join(steps, ["Hotel_Name", "topic"])
+    return (tables["summary"].join(projection, "Hotel_Name", "left").join(leading_impact, ["Hotel_Name", "topic"], "left")
+            .join(steps, ["Hotel_Name", "topic"], "left").fillna(0, ["actions"])
             .withColumn("investment_text", numbers.compact_money(F.col("total_investment"))))

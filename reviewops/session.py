@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions: int | None = None) -> SparkSession:
-    """A session for tests and benchmarks on one machine. On a cluster the session is given."""
+    """A session for tests and benchmarks on one machine. On a cluster the session is given.
+
+    Splits are small here, as the tables are: a cluster keeps Spark's default of 128 MB.
+    """
     return (SparkSession.builder.master(f"local[{cores}]").appName("reviewops")
             .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
+            .config("spark.sql.files.maxPartitionBytes", "2m")
             .config("spark.driver.memory", memory)
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
@@ -20,20 +24,24 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
             .getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one beside the warehouse's tables."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write the frame as a Parquet table in the shared folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where none
-    is named, a local session gets a temporary one; a cluster gets an error, since a
-    folder of one machine would not survive that machine.
+    Lineage ends: lost executors cost no upstream work. Spark also knows the size of what it
+    rereads, so small tables are broadcast by its own check of
+    ``spark.sql.autoBroadcastJoinThreshold`` and large ones are not.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="reviewops-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

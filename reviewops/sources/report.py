@@ -2,34 +2,66 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from reviewops.session import kept
 
 
 def safe_name(name: Column) -> Column:
-    """Name with everything but letters, digits, spaces, _ and - replaced by _."""
+    """Name with everything but letters, digits, spaces, _ and - replaced by _. For display: different names may share one."""
     return F.regexp_replace(name, r"[^\p{L}\p{N} _-]", "_")
 
 
+def bucket_of(name: Column) -> Column:
+    """The report folder of a hotel: the first two digits of its name's MD5."""
+    return F.concat(F.lit("h"), F.substring(F.md5(F.coalesce(name, F.lit("")).cast("binary")), 1, 2))
+
+
+def _earlier(spark: SparkSession, folder: str, fmt: str) -> DataFrame | None:
+    try:
+        return read_report(spark, folder, fmt=fmt)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def write_report(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet", by: str = "Hotel_Name",
                  stamp: str | None = None) -> list[str]:
     """Write each section below ``path`` and return the folders.
 
-    Rows are spread by hotel and written into one folder per hotel, named by its
-    safe name; only the hotels in the table are replaced. ``stamp`` keeps reports of
-    different times apart.
+    Rows keep their hotel's full name, so no two hotels can be taken for one. They lie in 256
+    folders by a hash of the name, however many hotels there are. A report of many hotels
+    is written at once; hotels that a section held before and the table lacks are carried over.
+    ``stamp`` keeps reports of different times apart.
     """
     folders = []
     for section, table in tables.items():
         folder = "/".join(p for p in (path, stamp, section) if p)
-        writer = (table.withColumn("hotel", safe_name(F.col(by))).repartition("hotel").write.mode("overwrite")
-                  .option("partitionOverwriteMode", "dynamic").partitionBy("hotel").format(fmt))
+        earlier = _earlier(table.sparkSession, folder, fmt)
+        if earlier is not None:
+            others = earlier.join(table.select(by).distinct(), by, "left_anti").select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in table.schema))
+            table = table.unionByName(kept(others, "report-others"))
+        writer = (table.withColumn("bucket", bucket_of(F.col(by))).repartition("bucket").write.mode("overwrite")
+                  .partitionBy("bucket").format(fmt))
         (writer.option("header", True) if fmt == "csv" else writer).save(folder)
         folders.append(folder)
     return folders
 
 
+def read_report(spark: SparkSession, folder: str, hotel: str | None = None, fmt: str = "parquet", by: str = "Hotel_Name") -> DataFrame:
+    """A section written by ``write_report``; of one hotel, only its folder is read."""
+    reader = spark.read.format(fmt)
+    table = (reader.option("header", True) if fmt == "csv" else reader).load(folder)
+    if hotel is not None:
+        table = table.filter((F.col("bucket") == "h" + hashlib.md5(hotel.encode()).hexdigest()[:2]) & (F.col(by) == hotel))
+    return table.drop("bucket")
+
+
 def write_metrics(metrics: DataFrame, path: str, fmt: str = "json") -> None:
     """Write a metrics table, a few rows, as one JSON or CSV file."""
     writer = metrics.coalesce(1).write.mode("overwrite").format(fmt)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from reviewops.fixed_values import COLUMN_ALIASES, FALLBACK_HOTEL
-from reviewops.functions.dates import parse_date
+from reviewops.functions.dates import load_date
 from reviewops.functions.numbers import percent
 
 TEXT_COLUMNS = ["Hotel_Name", "Negative_Review", "Positive_Review", "Hotel_Address"]
@@ -14,7 +14,7 @@ REQUIRED_COLUMNS = ["Hotel_Name", "Negative_Review", "Positive_Review", "Reviewe
 
 def _as_date(df: DataFrame, column: str) -> Column:
     text = isinstance(df.schema[column].dataType, T.StringType)
-    return parse_date(F.col(column)) if text else F.col(column).cast("date")
+    return load_date(F.col(column)) if text else F.col(column).cast("date")
 
 
 def _as_score(df: DataFrame, column: str) -> Column:
@@ -31,19 +31,23 @@ def canonical_reviews(df: DataFrame) -> DataFrame:
     return df.withColumns(columns)
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | str | None = None) -> DataFrame:
-    """Read CSV (header, quoted line breaks), JSON or Parquet. CSV columns stay text; nothing is sampled for types."""
+def read_table(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """Read CSV (with header), JSON or Parquet. CSV columns stay text; nothing is sampled for types.
+
+    ``multi_line`` allows line breaks in quoted CSV fields. Spark then reads each file in one
+    task, however large, so give such tables as many files.
+    """
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
+        reader = reader.options(header=True, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE")
     return reader.load(path)
 
 
-def read_reviews(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_reviews(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Reviews with the canonical columns."""
-    return canonical_reviews(read_table(spark, path, fmt))
+    return canonical_reviews(read_table(spark, path, fmt, multi_line=multi_line))
 
 
 def _first_column(columns: list[str], aliases: list[str]) -> str | None:
@@ -73,7 +77,7 @@ def normalise_columns(df: DataFrame, fallback_hotel: str = FALLBACK_HOTEL) -> Da
     if found["Review_Date"]:
         column = F.col(f"`{found['Review_Date']}`")
         is_text = isinstance(df.schema[found["Review_Date"]].dataType, T.StringType)
-        day = parse_date(column) if is_text else column.cast("date")
+        day = load_date(column) if is_text else column.cast("date")
     return df.select(
         text_of(found["Hotel_Name"], fallback_hotel).alias("Hotel_Name"), day.alias("Review_Date"),
         score.alias("Reviewer_Score"), text_of(found["Negative_Review"]).alias("Negative_Review"),

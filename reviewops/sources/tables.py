@@ -30,36 +30,25 @@ COUNTRIES = ["United Kingdom", "France", "Germany", "Spain", "Italy", "Ireland",
 SCHEMAS = {
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
     "customer": "c_custkey bigint, c_nationkey int",
-    "nation": "n_nationkey int, n_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "labels": "doc_id bigint, quality int, toxic int",
     "supplier": "s_suppkey bigint, s_nationkey int",
     "documents": "doc_id bigint, text string, source string",
 }
 
-SMALL_SPLITS = 8  # a split holds at most spark.sql.files.maxPartitionBytes, so this bounds the size as well
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small scan over all cores; a scan of many splits is left as it is.
-
-    A file of one row group is read by one task, however many cores wait, and text
-    work would then run on one core. Only inputs of a few splits are shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits <= SMALL_SPLITS and splits <= cores else df
-
-
 def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(words_in(values), (index + 1).cast("int"))
 
 
 def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw reviews, as they would come out of a CSV file: text dates, ten-point scores."""
-    orders = spread(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     key, guest = F.col("o_orderkey"), F.col("o_custkey")
@@ -77,8 +66,30 @@ def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as reviews of their sources: text only, no score and no date."""
-    return spread(table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("review_id"), F.col("source").alias("Hotel_Name"), F.col("text").alias("review_text")))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("review_id"), F.col("source").alias("Hotel_Name"), F.col("text").alias("review_text"))
+
+
+def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as dated and scored reviews: document i is what the guest of order i wrote.
+
+    Hotel, date and score come from the order as in ``order_reviews``; documents without an order are left out.
+    """
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").join(
+        table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
+    score = (40 + (F.col("o_orderkey") * 37) % 61 - 5 * ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 4)).cast("double") / 10.0
+    ordered = orders.select(F.col("o_orderkey").alias("doc_id"), "n_name", "o_orderdate", score.alias("Reviewer_Score"))
+    return table(spark, sf_dir, "documents").join(ordered, "doc_id").select(
+        F.col("doc_id").alias("review_id"), F.col("n_name").alias("Hotel_Name"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Review_Date"),
+        "Reviewer_Score", F.col("text").alias("review_text"))
+
+
+def praise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean reviews without any complaint: suppliers praise the hotel of their region."""
+    rows = (table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
+    return rows.select((-1 - F.col("s_suppkey")).alias("review_id"), F.col("r_name").alias("Hotel_Name"), F.lit("1998-01-01").cast("date").alias("date"),
+                       F.lit(4.0).alias("rating"), F.lit("Lovely view").alias("review_text"))
 
 
 def hotel_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:

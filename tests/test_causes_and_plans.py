@@ -120,6 +120,8 @@ def test_report_is_written_per_hotel(spark, tmp_path):
     table = spark.createDataFrame([("A/B", 1), ("C", 2)], "Hotel_Name string, n int")
     folder, = report.write_report({"summary": table}, str(tmp_path))
     report.write_report({"summary": table.filter("n = 2").withColumn("n", F.lit(3))}, str(tmp_path))
-    assert {(r.hotel, r.n) for r in spark.read.parquet(folder).collect()} == {("A_B", 1), ("C", 3)}
+    report.write_report({"summary": spark.createDataFrame([("A_B", 9)], table.schema)}, str(tmp_path))
+    assert {tuple(r) for r in report.read_report(spark, folder).collect()} == {("A/B", 1), ("A_B", 9), ("C", 3)}
+    assert [tuple(r) for r in report.read_report(spark, folder, "A/B").collect()] == [("A/B", 1)]
     report.write_metrics(table, str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 2
