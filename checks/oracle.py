@@ -584,6 +584,11 @@ for _name in ("forest_report", "boosted_report"):
 add("boosted_feature_importance", TAGS, """SELECT topic, true AS has_terms, true AS known, true AS ranked FROM lng GROUP BY topic HAVING bool_or(flag) AND NOT bool_and(flag)""")
 add("model_labels", TAGS, f"SELECT review_id, {joined_topics()} AS topics, true AS known_labels, true AS probable, true AS holds_keywords FROM lng GROUP BY review_id")
 
+for _name in ("uploaded_csv", "uploaded_json", "uploaded_parquet"):
+    ORACLES[_name] = ORACLES["loaded_reviews"]
+ORACLES["written_report"] = ORACLES["topic_stats"]
+add("split_overlap", _MODEL, "SELECT count(*) AS shared FROM drawn a JOIN drawn b USING (review_id) WHERE a.is_test AND NOT b.is_test")
+
 _LABELLED = DOCS + ",\n" + sentiment_ctes("docs") + """,
 jud AS MATERIALIZED (SELECT review_id, CASE WHEN toxic = 1 THEN 'negative' ELSE 'positive' END AS y, CASE WHEN sentiment_score < 0 THEN 'negative' ELSE 'positive' END AS p
   FROM sent JOIN labels ON doc_id = review_id)"""

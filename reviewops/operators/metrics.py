@@ -8,7 +8,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewops.functions.numbers import half_even, share
+from reviewops.functions.numbers import exact_mean, half_even, share
 
 SENTIMENT_LABELS = ["negative", "neutral", "positive"]
 
@@ -144,7 +144,7 @@ def topic_confusion(df: DataFrame, topics: Sequence[str], truth: str = "has_", p
 
 
 def mean_absolute_error(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    return df.agg(half_even(F.avg(F.abs(F.col(truth) - F.col(predicted))), 4).alias("mae"), F.count(truth).alias("n"))
+    return df.agg(half_even(exact_mean(F.abs(F.col(truth) - F.col(predicted))), 4).alias("mae"), F.count(truth).alias("n"))
 
 
 def model_summary(df: DataFrame, topics: Sequence[str], truth: str = "true_label", predicted: str = "sentiment_label",

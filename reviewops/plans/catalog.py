@@ -16,8 +16,8 @@ from reviewops.functions import dates, lexicon, numbers, text
 from reviewops.operators import (causes, cleaning, features, filters, impact, metrics, models, planning, profiles,
                                  sentiment, textstats, topics)
 from reviewops.plans import evaluation, reports
-from reviewops.session import kept
-from reviewops.sources import reviews, tables
+from reviewops.session import kept, new_path
+from reviewops.sources import report, reviews, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,6 +96,31 @@ def uploaded_reviews(spark, sf):
     return reviews.normalise_columns(upload)
 
 
+def _written(spark, sf, fmt):
+    """Reviews written as a file upload would bring them, and read again."""
+    path = new_path(spark, f"upload-{fmt}")
+    rows = raw(spark, sf)
+    writer = rows.write.format(fmt)
+    (writer.options(header=True, quote='"', escape='"', quoteAll=True, emptyValue="") if fmt == "csv" else writer).save(path)
+    return reviews.read_reviews(spark, path, fmt).select(
+        F.col("review_id").cast("bigint").alias("review_id"), "Hotel_Name", "Review_Date", "Reviewer_Score", "Negative_Review", "Positive_Review", "Hotel_Address")
+
+
+@query
+def uploaded_csv(spark, sf):
+    return _written(spark, sf, "csv")
+
+
+@query
+def uploaded_json(spark, sf):
+    return _written(spark, sf, "json")
+
+
+@query
+def uploaded_parquet(spark, sf):
+    return _written(spark, sf, "parquet")
+
+
 @query
 def one_hotel(spark, sf):
     return filters.for_hotel(raw(spark, sf), " NATION_7 ")
@@ -476,6 +501,16 @@ def hotel_report(spark, sf):
     return reports.hotel_report(tagged(spark, sf), 10, tables.hotel_rooms(spark, sf))
 
 
+@query
+def written_report(spark, sf):
+    """Topic shares written as a report section, one hotel's rewritten, and all read again."""
+    path = new_path(spark, "report")
+    stats = topics.topic_stats(tagged(spark, sf)).drop("topic_order")
+    folder, = report.write_report({"topic_stats": stats}, path)
+    report.write_report({"topic_stats": report.read_report(spark, folder, "NATION_7")}, path)
+    return report.read_report(spark, folder)
+
+
 @query
 def hotel_report_all(spark, sf):
     """All hotels, those without any complaint included."""
@@ -582,6 +617,14 @@ def train_test_split_unrated(spark, sf):
     return features.split_train_test(clean(spark, sf)).select("review_id", "stratum", "is_test")
 
 
+@query
+def split_overlap(spark, sf):
+    """Reviews of the training part whose id is in the test part too: none."""
+    split = kept(features.split_train_test(clean(spark, sf).filter(F.col("rating").isNotNull())).select("review_id", "is_test"), "split")
+    shared = split.filter("is_test").select("review_id").join(split.filter("NOT is_test").select("review_id"), "review_id", "left_semi")
+    return shared.agg(F.count(F.lit(1)).alias("shared"))
+
+
 @query
 def random_sample(spark, sf):
     return features.sample_rows(clean(spark, sf), 2000).select("review_id", "Hotel_Name", "rating")
