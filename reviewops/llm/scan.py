@@ -7,7 +7,6 @@ no byte of a longer character is taken for a space.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +31,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=16)
-def _powers_of(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+_LONGEST_KEPT = 1 << 20
+_kept_powers: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, size: int) -> np.ndarray:
-    """base**0 .. modulo 2**64, at least ``size`` of them; small lists are kept for the next call."""
-    rounded = 1 << max(12, int(size).bit_length())
-    if rounded > 1 << 22:
-        return _powers_of.__wrapped__(base, size)
-    return _powers_of(base, rounded)[:size]
+    """The first ``size`` powers of ``base`` modulo 2**64. One list a base is kept for the next call, unless it is long."""
+    known = _kept_powers.get(base)
+    if known is None or len(known) < size:
+        known = np.full(1 << max(12, (size - 1).bit_length()) if size <= _LONGEST_KEPT else size, base, dtype=np.uint64)
+        known[0] = 1
+        np.cumprod(known, out=known)
+        if size <= _LONGEST_KEPT:
+            _kept_powers[base] = known
+    return known[:size]
 
 
 def _inverse(base: int) -> int:
@@ -104,7 +104,7 @@ def texts(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray
     return (LOWER[data] if lower else data), ends - ends[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with about ``size`` bytes of text, at least one row each: bounds what numpy holds."""
     lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     totals, start = np.cumsum(lengths), 0

@@ -170,19 +170,20 @@ def _united(size: int, buckets: int, shared):
                 low, high, least = low[new], high[new], keys[text[new]]
                 bucket = (low >> np.uint64(32)) % np.uint64(buckets)
                 word = at - windows.words.first[text]
-                yield pa.record_batch([pa.array([unit], pa.int64()), pa.array([-1], pa.int32()), *(pa.array([None], pa.binary()) for _ in range(6)),
-                                       pa.array([part.column("key").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("mark").to_pylist()], pa.list_(pa.string()))],
-                                      names=_UNIT_NAMES)
-                for b in np.unique(bucket):
+                found = np.unique(bucket).tolist()
+                columns = ([], [], [], [], [], [])
+                for b in found:
                     mine = bucket == b
                     inside = mine[place]
                     number = np.cumsum(mine) - 1
-                    yield pa.record_batch([
-                        pa.array([unit], pa.int64()), pa.array([int(b)], pa.int32()),
-                        *(pa.array([x.tobytes()], pa.binary()) for x in (
-                            low[mine].astype("<u8"), high[mine].astype("<u8"), least[mine].astype("<i8"),
-                            text[inside].astype("<i4"), word[inside].astype("<i4"), number[place[inside]].astype("<i4"))),
-                        pa.array([None], pa.list_(pa.int64())), pa.array([None], pa.list_(pa.string()))], names=_UNIT_NAMES)
+                    for column, x in zip(columns, (low[mine].astype("<u8"), high[mine].astype("<u8"), least[mine].astype("<i8"),
+                                                   text[inside].astype("<i4"), word[inside].astype("<i4"), number[place[inside]].astype("<i4"))):
+                        column.append(x.tobytes())
+                n = len(found)
+                yield pa.record_batch([
+                    pa.array([unit] * (n + 1), pa.int64()), pa.array([*found, -1], pa.int32()), *(pa.array([*c, None], pa.binary()) for c in columns),
+                    pa.array([None] * n + [part.column("key").to_pylist()], pa.list_(pa.int64())),
+                    pa.array([None] * n + [part.column("mark").to_pylist()], pa.list_(pa.string()))], names=_UNIT_NAMES)
     return run
 
 
@@ -230,6 +231,7 @@ def _answered(batches) -> Iterator[pa.RecordBatch]:
 def _resolved(batches) -> Iterator[pa.RecordBatch]:
     """Unit rows with their answers to (unit, text, windows, smallest): the smallest document of each window of a text."""
     for batch in batches:
+        out = ([], [], [], [])
         for unit, least, text, at, key_of, places, smallest in zip(*(batch.column(i).to_pylist() for i in range(7))):
             text, at, key_of = (np.frombuffer(x, dtype="<i4") for x in (text, at, key_of))
             first = np.frombuffer(least, dtype="<i8").copy()
@@ -238,10 +240,12 @@ def _resolved(batches) -> Iterator[pa.RecordBatch]:
             order = np.argsort(text, kind="stable")
             found, begin = np.unique(text[order], return_index=True)
             at, first = at[order], first[key_of][order]
-            yield pa.record_batch([pa.array([unit] * len(found), pa.int64()), pa.array(found, pa.int32()),
-                                   pa.array([x.tobytes() for x in np.split(at.astype("<i4"), begin[1:])], pa.binary()),
-                                   pa.array([x.tobytes() for x in np.split(first.astype("<i8"), begin[1:])], pa.binary())],
-                                  names=["unit", "text", "windows", "smallest"])
+            out[0].extend([unit] * len(found))
+            out[1].extend(found.tolist())
+            out[2].extend(x.astype("<i4").tobytes() for x in np.split(at, begin[1:]))
+            out[3].extend(x.astype("<i8").tobytes() for x in np.split(first, begin[1:]))
+        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())],
+                              names=["unit", "text", "windows", "smallest"])
 
 
 def _later(key: pa.Array, windows: pa.Array, smallest: pa.Array) -> pa.Array:
