@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
         encode = tokens.encoder(path).encode
         end = np.array([tokens.END], dtype="<u4").tobytes()
         for batch in batches:
-            for part in scan.pieces(batch, batch.schema.names[1]):
+            for part in scan.pieces(batch, batch.schema.names[1], tokens.PIECE):
                 data, ends = scan.texts(part.column(1))
                 whole = data.tobytes()
                 rows, starts, lengths, totals, ids = [], [], [], [], []
@@ -73,7 +73,7 @@ def _knapsack(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float,
     return float(best[room]), pattern
 
 
-def patterns(sizes: np.ndarray, counts: np.ndarray, room: int, tolerance: float = 1e-3) -> list[tuple[np.ndarray, int]]:
+def patterns(sizes: np.ndarray, counts: np.ndarray, room: int, tolerance: float = 2e-3) -> list[tuple[np.ndarray, int]]:
     """Patterns (items of each size) and how often each is used; together they hold exactly ``counts`` items."""
     order = len(sizes)
     if not order:

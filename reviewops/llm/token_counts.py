@@ -43,7 +43,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
     def encode(batches):
         encoder = tokens.encoder(tokenizer, ">u2")
         for batch in batches:
-            for part in scan.pieces(batch, "text"):
+            for part in scan.pieces(batch, "text", tokens.PIECE):
                 data, ends = scan.texts(part.column(1))
                 whole = data.tobytes()
                 found = encoder.encode([whole[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])

@@ -2,19 +2,26 @@
 
 The tokenizer drops white space, and nothing it does reaches across it: the ids of a text
 are the ids of its words, one after the other. Words repeat, so each worker keeps the ids
-of the first ``MOST_KEPT`` it meets; all others are encoded anew.
+of the first ``MOST_KEPT`` it meets; all others are encoded anew. Of a word of letters with
+punctuation behind it, the letters are looked up and encoded by themselves, as the tokenizer parts
+them too.
 """
 
 from __future__ import annotations
 
 import os
+import string
 from functools import lru_cache
 
 import numpy as np
 
 END = 2
-MOST_KEPT = 300_000
+MOST_KEPT = 400_000
 LONGEST_KEPT = 48
+#: Bytes of text taken at once: the more, the fewer words are looked up again.
+PIECE = 1 << 22
+#: A run of these behind letters is a token run of its own; an apostrophe might belong to the letters.
+_STOPS = string.punctuation.replace("'", "")
 
 
 def default_path() -> str:
@@ -32,25 +39,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(kind)
-        self.kept: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        #: ids that end a run of letters
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of words of letters only: encoded as one text and cut behind the ids that end a word."""
+        if not stems:
+            return []
+        whole, = self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)
+        ids = np.array(whole.ids, dtype=np.int64)
+        cuts = np.flatnonzero(self.last[ids]) + 1
+        if len(cuts) != len(stems) or cuts[-1] != len(ids):
+            return self._one_by_one(stems)  # letters that turn into more than letters when lowered
+        data, width, cuts = ids.astype(self.kind).tobytes(), self.kind.itemsize, cuts.tolist()
+        return [data[width * a:width * b] for a, b in zip([0, *cuts], cuts)]
 
     def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, dtype=self.kind).tobytes() for w, e in zip(words, found)}
+        out, parted, others = {}, [], []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            stem = text.rstrip(_STOPS)
+            if stem.isalpha():
+                stops = text[len(stem):]
+                parted.append((word, stem.lower() if stem.isascii() else stem, stops))
+            else:
+                others.append((word, text))
+        stems = self.stems
+        missing = sorted({s for _, stem, stops in parted for s in (stem,) if s not in stems})
+        fresh = dict(zip(missing, self._stems(missing)))
+        stops = sorted({s for *_, s in parted if s and s not in stems})
+        stems.update(zip(stops, self._one_by_one(stops)) if len(stems) < 2 * MOST_KEPT else ())
+        for word, stem, end in parted:
+            ids = stems[stem] if stem in stems else fresh[stem]
+            out[word] = ids + (stems[end] if end in stems else self._one_by_one([end])[0]) if end else ids
+        for stem in missing[:max(0, MOST_KEPT - len(stems))]:
+            if len(stem) <= LONGEST_KEPT:
+                stems[stem] = fresh[stem]
+        out.update(zip((w for w, _ in others), self._one_by_one([t for _, t in others])))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of every text, without an end."""
         split = [t.split() for t in texts]  # at 0x20 and 0x09 to 0x0D
-        ids = self.kept
-        missing = set().union(*split).difference(ids)
-        if missing:
-            fresh = self._encoded(sorted(missing))
-            room = MOST_KEPT - len(ids)
-            if room > 0:
-                for word in sorted((w for w in fresh if len(w) <= LONGEST_KEPT), key=len)[:room]:
-                    ids[word] = fresh[word]
-            return [b"".join([ids[w] if w in ids else fresh[w] for w in words]) for words in split]
-        return [b"".join([ids[w] for w in words]) for words in split]
+        kept = self.words
+        here = {w: kept.get(w) for w in set().union(*split)}
+        fresh = self._encoded([w for w, ids in here.items() if ids is None])
+        here.update(fresh)
+        room = MOST_KEPT - len(kept)
+        if room > 0:
+            kept.update([(w, ids) for w, ids in fresh.items() if len(w) <= LONGEST_KEPT][:room])
+        return [b"".join(map(here.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
