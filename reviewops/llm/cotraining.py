@@ -93,7 +93,7 @@ class _Sample:
     def sums(self, weights: np.ndarray) -> np.ndarray:
         return _sum(weights, self.rows, self.slots, self.values, len(self.lengths))
 
-    def taught(self, labels: np.ndarray, weight: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> np.ndarray:
+    def taught(self, labels: np.ndarray, weight: np.ndarray, steps: int = 100, penalty: float = 1e-3) -> np.ndarray:
         """Weights of a logistic regression; rows of weight 0 take no part, classes weigh the same. Adaptive gradient steps."""
         weights, squares = np.zeros(WIDTH), np.full(WIDTH, 1e-8)
         weight = weight.copy()
@@ -101,9 +101,12 @@ class _Sample:
             total = weight[labels == c].sum()
             if total:
                 weight[labels == c] /= 2 * total
+        used = weight[self.rows] > 0
+        rows, slots, values = self.rows[used], self.slots[used], self.values[used]
         for _ in range(steps):
-            error = (1 / (1 + np.exp(-np.clip(self.sums(weights), -30, 30))) - labels) * weight
-            slope = np.bincount(self.slots, self.values * error[self.rows], minlength=WIDTH) + penalty * weights / max(1, len(labels))
+            sums = _sum(weights, rows, slots, values, len(labels))
+            error = (1 / (1 + np.exp(-np.clip(sums, -30, 30))) - labels) * weight
+            slope = np.bincount(slots, values * error[rows], minlength=WIDTH) + penalty * weights / max(1, len(labels))
             squares += slope ** 2
             weights -= 0.5 * slope / np.sqrt(squares)
         return weights

@@ -80,7 +80,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("key"), F.col("quality").alias("good"))
     judged = cotraining.scored(docs, cotraining.learn(docs, labels))
     return judged.select(F.col("key").alias("doc_id"), F.col("quality.text").alias("p_text"), F.col("quality.page").alias("p_page"),
-                         F.col("quality.score").alias("score"), (F.col("quality.score") >= 0.5).alias("good"))
+                         F.col("quality.score").alias("score"), (F.col("quality.score") >= 0.5).alias("kept"))
 
 
 _ALL = (op1_source_mix, op2_packing, op3_token_counts, op4_substring_dedup, op5_secret_scans, op6_ngram_jaccard, op7_embedding_neighbours,
@@ -123,7 +123,7 @@ edge as (select x, y from link union all select y, x from link),
 reach as (select doc_id as v, doc_id as c from sets union select edge.y, reach.c from reach join edge on edge.x = reach.v and reach.c < edge.y)
 select doc_id, cast(len(s) as bigint) as n_shingles, (select min(c) from reach where v = doc_id) as component_id from sets""",
     "op7_embedding_neighbours": """
-with recursive v as (select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings),
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
 ok as (select *, sqrt(list_dot_product(e, e)) as n from v where label is not null),
 link as (select a.vec_id as x, b.vec_id as y from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id
          where a.n > 0 and b.n > 0 and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -106,7 +106,7 @@ def texts(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray
 
 def pieces(batch: pa.RecordBatch, column: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with about ``size`` bytes of text, at least one row each: bounds what numpy holds."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     totals, start = np.cumsum(lengths), 0
     while start < len(lengths):
         before = totals[start - 1] if start else 0

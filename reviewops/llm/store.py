@@ -1,36 +1,17 @@
-"""Scratch tables in the folder that all executors share."""
+"""What the operators need of the session: scratch tables, this package in Python workers, the documents."""
 
 from __future__ import annotations
 
 import os
 import sys
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, one beside the warehouse's tables."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return folder.rstrip("/")
-
+from reviewops.session import kept, new_path
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["documents", "kept", "new_path", "ship"]
 
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write the frame as a Parquet table and go on from there: lineage ends, lost executors cost no upstream work.
-
-    Spark also knows the size of what it rereads, so small tables are broadcast by its own
-    check of ``spark.sql.autoBroadcastJoinThreshold`` and large ones are not.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ship(spark: SparkSession) -> None:

@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from reviewops import session
 from reviewops.llm import store
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -26,7 +27,7 @@ def words(text):
 def shared_folder(spark, tmp_path_factory):
     """The session names no shared folder: give the tests one of their own."""
     path = str(tmp_path_factory.mktemp("shared"))
-    store.shared_folder = lambda spark: path
+    session.shared_folder = lambda spark: path
     store.ship(spark)
 
 
