@@ -126,7 +126,7 @@ def test_hotel_filter_and_search(raw):
 
 def test_read_csv_fills_columns(spark, tmp_path):
     (tmp_path / "r.csv").write_text('Hotel_Name,Review_Date,Reviewer_Score,Negative_Review,Tags\nA,8/3/2017,x,"line one\nline ""two""",t\nB,,7.5,,u\n')
-    rows = reviews.read_reviews(spark, str(tmp_path / "r.csv")).orderBy("Hotel_Name").collect()
+    rows = reviews.read_reviews(spark, str(tmp_path / "r.csv"), multi_line=True).orderBy("Hotel_Name").collect()
     assert rows[0].Negative_Review == 'line one\nline "two"' and rows[0].Reviewer_Score is None and rows[0].Review_Date == dt.date(2017, 8, 3)
     assert (rows[1].Negative_Review, rows[1].Positive_Review, rows[1].Hotel_Address, rows[1].Reviewer_Score, rows[1].Tags) == ("", "", "", 7.5, "u")
 
