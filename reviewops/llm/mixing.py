@@ -84,22 +84,28 @@ def _placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     return inside.join(totals, ["sid", "_bucket"]).withColumn("begin", F.col("_base") + F.col("_inside")).drop("_base", "_inside", "_bucket")
 
 
-def _permuted(index: Column, sid: Column, n: Column) -> Column:
-    """A pseudorandom permutation of 0 .. n-1, another for each sid; n up to 2**43.
+def _permutation(sid: Column, n: Column) -> Column:
+    """What ``_permuted`` needs of a source, worked out once for it."""
+    bits = F.length(F.bin(n)) - 1
+    rounds = [F.struct(F.lit(factor).cast("bigint").alias("factor"), F.pmod(F.xxhash64(sid, F.lit(turn)), F.lit(1 << 20)).alias("add"),
+                       F.pmod(F.xxhash64(sid, F.lit(turn + 10)), n).alias("turn")) for turn, factor in enumerate(_FACTORS)]
+    return F.struct((F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1).alias("mask"),
+                    F.greatest(F.lit(1), F.floor((bits + 1) / 2).cast("int")).alias("half"), n.alias("n"), F.array(*rounds).alias("rounds"))
+
+
+def _permuted(index: Column, plan: Column) -> Column:
+    """A pseudorandom permutation of 0 .. n-1, another for each source; n up to 2**43.
 
     Each round multiplies and shifts what lies below the largest power of two in n, which
-    maps that range to itself, and then rotates the whole range.
+    maps that range to itself, and then rotates the whole range. The aggregate binds the
+    index, which a chain of expressions would work out anew at every use.
     """
-    bits = F.length(F.bin(n)) - 1
-    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
-    half = F.greatest(F.lit(1), F.floor((bits + 1) / 2).cast("int"))
-    at = index
-    for turn, factor in enumerate(_FACTORS):
-        turned = (at * factor + F.pmod(F.xxhash64(sid, F.lit(turn)), F.lit(1 << 20))).bitwiseAND(mask)
-        turned = turned.bitwiseXOR(F.call_function("shiftright", turned, half))
-        inner = F.when(at <= mask, turned).otherwise(at)
-        at = F.pmod(inner + F.pmod(F.xxhash64(sid, F.lit(turn + 10)), n), n)
-    return at
+    def turned(at: Column, r: Column) -> Column:
+        mixed = (at * r["factor"] + r["add"]).bitwiseAND(plan["mask"])
+        mixed = mixed.bitwiseXOR(F.call_function("shiftright", mixed, plan["half"]))
+        return F.pmod(F.when(at <= plan["mask"], mixed).otherwise(at) + r["turn"], plan["n"])
+
+    return F.aggregate(plan["rounds"], index, turned)
 
 
 def _draws(sources: DataFrame, seed: int, shard: int) -> DataFrame:
@@ -125,18 +131,19 @@ def _draws(sources: DataFrame, seed: int, shard: int) -> DataFrame:
     state = (sources.select("sid", "quota", "blocks").join(given, "sid", "left").fillna(0, ["given"])
              .withColumn("over", F.greatest(F.col("given") - F.col("quota"), F.lit(0))).withColumn("under", F.greatest(F.col("quota") - F.col("given"), F.lit(0)))
              .withColumn("over_before", _before("over", by=[], order=["sid"])).withColumn("under_before", _before("under", by=[], order=["sid"])))
-    state = store.kept(state, "mix-state")
+    state = store.kept(state.withColumn("plan", F.when(F.col("blocks") > 0, _permutation(F.col("sid"), F.col("blocks")))), "mix-state")
 
     numbered = (runs.withColumn("_in", _before("n", by=["sid", "_run"], order=["shard"])).join(begun, ["sid", "_run"])
-                .join(state, "sid").withColumn("begin", F.col("_base") + F.col("_in")).withColumn("end", F.col("begin") + F.col("n")))
-    own = (numbered.where("begin < quota").select("shard", "sid", "blocks", F.explode(F.sequence("begin", F.least("end", "quota") - 1)).alias("j")))
+                .join(state, "sid").withColumn("begin", F.col("_base") + F.col("_in")).withColumn("end", F.col("begin") + F.col("n"))
+                .repartition(slots // 250_000 + 1, "shard"))  # few rows, but each becomes many
+    own = (numbered.where("begin < quota").select("shard", "sid", "blocks", "plan", F.explode(F.sequence("begin", F.least("end", "quota") - 1)).alias("j")))
     # slots beyond a quota, numbered through all sources, go to the sources that have slots to come
     spare = (numbered.where("end > quota").select(
         "shard", F.explode(F.sequence(F.greatest("begin", "quota") - F.col("quota") + F.col("over_before"), F.col("end") - F.col("quota") + F.col("over_before") - 1)).alias("e")))
-    wanting = state.where("under > 0").select("sid", "blocks", "given", "under_before", F.explode(F.sequence("under_before", F.col("under_before") + F.col("under") - 1)).alias("e"))
-    moved = spare.join(wanting, "e").select("shard", "sid", "blocks", (F.col("given") + F.col("e") - F.col("under_before")).alias("j"))
+    wanting = state.where("under > 0").select("sid", "blocks", "plan", "given", "under_before", F.explode(F.sequence("under_before", F.col("under_before") + F.col("under") - 1)).alias("e"))
+    moved = spare.join(wanting, "e").select("shard", "sid", "blocks", "plan", (F.col("given") + F.col("e") - F.col("under_before")).alias("j"))
     return own.unionByName(moved).select("shard", "sid", (F.col("j") / F.col("blocks")).cast("bigint").alias("turn"),
-                                         _permuted(F.pmod("j", "blocks"), F.col("sid"), F.col("blocks")).alias("block"))
+                                         _permuted(F.pmod("j", "blocks"), F.col("plan")).alias("block"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, block: int = BLOCK, shard: int = SHARD) -> Mix:

@@ -5,7 +5,6 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -64,7 +63,7 @@ def test_targets_with_small_and_empty_sources(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
 def test_permutation(spark, n):
-    df = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(5), F.lit(n).cast("bigint")).alias("p"))
+    df = spark.range(n).select(mixing._permuted(F.col("id"), mixing._permutation(F.lit(5), F.lit(n).cast("bigint"))).alias("p"))
     assert sorted(r.p for r in df.collect()) == list(range(n))
 
 
