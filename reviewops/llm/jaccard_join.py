@@ -7,31 +7,34 @@ what remains of its longest set, or of the walking set, can't reach the overlap
 
 Who may be alike: the n-grams are dealt into classes by hash, more classes than the n-grams
 in which two linked sets can differ. Then some class holds the same n-grams in both, and its
-hash is a common signature: a link never lacks one. Classes that are empty say nothing, so
-there are some more of them; the few sets with still more empty classes sign these too.
+hash is a common signature: a link never lacks one. Classes that are empty, or hold only n-grams
+that many texts have, say little, so there are more classes than that, and these weak ones are
+left out; sets with more weak classes than were added sign them too. Which n-grams are taken for
+frequent is told by a sample; any choice gives the same links, a good one fewer candidates.
 
 Equal sets are joined as one. The result is the classes of linked texts, so of links in a
 cell only a spanning forest is reported. Clusters of signature sharers are dealt to cells of
-bounded size: first at random, each cell with the cluster's smallest member; then, where a
+bounded size: first at random, each cell with the cluster's first member; then, where a
 large cluster has fallen into several classes, all members against those outside its largest class,
 block by block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from reviewops.llm import scan, store
 from reviewops.llm.components import components
 
 CELL = 128
 _NODE = 32
-_BATCH_PAIRS = 1 << 16
-_BATCH_TOKENS = 1 << 20
+_BATCH_PAIRS = 1 << 15
+_BATCH_TOKENS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -54,8 +57,9 @@ class Rule:
 class Signer:
     """Signatures of sets. Sizes fall into bands; a link is found in the band of its smaller set."""
 
-    def __init__(self, rule: Rule):
-        self.rule = rule
+    def __init__(self, rule: Rule, frequent: np.ndarray = np.empty(0, dtype=np.uint64)):
+        """frequent: ascending."""
+        self.rule, self.frequent = rule, frequent
         self.bounds, self.schemes = [1], []
 
     def _bound(self, band: int) -> int:
@@ -66,17 +70,17 @@ class Signer:
         return self.bounds[band]
 
     def _scheme(self, band: int) -> tuple[int, int]:
-        """Number of classes, and the number of empty classes that a set may have without signing them."""
+        """Number of classes, and the number of weak classes that a set may have without signing them."""
         while len(self.schemes) <= band:
             low, most = self._bound(len(self.schemes)), self._bound(len(self.schemes) + 1) - 1
             other = self.rule.longest(most)
             differing = (most + other) * (self.rule.den - self.rule.num) // (self.rule.den + self.rule.num)
-            empty, classes = 0, differing + 1
+            weak, classes = 0, differing + 1
             if differing:
                 for _ in range(3):
-                    empty = int(np.ceil(2 * classes * np.exp(-low / classes))) + 3
-                    classes = differing + 1 + empty
-            self.schemes.append((classes if differing else 0, empty))
+                    weak = int(np.ceil(2 * classes * np.exp(-low / classes) + 0.15 * differing)) + 3
+                    classes = differing + 1 + weak
+            self.schemes.append((classes if differing else 0, weak))
         return self.schemes[band]
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
@@ -91,7 +95,7 @@ class Signer:
         return np.concatenate(out)
 
     def _of(self, grams: np.ndarray, band: int) -> np.ndarray:
-        classes, empty = self._scheme(band)
+        classes, spare = self._scheme(band)
         if not classes:
             return np.empty(0, dtype=np.uint64)  # only equal sets can be linked
         mixed = scan.mix(grams + np.uint64(0x632BE59BD9B4E019 + band))
@@ -100,7 +104,13 @@ class Signer:
         dealt = dealt[order]
         first = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]])) if len(dealt) else np.empty(0, np.int64)
         sums, used = np.add.reduceat(scan.mix(mixed[order]), first), dealt[first]
-        if classes - len(first) > empty:
+        strong = np.ones(len(first), dtype=bool)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
+            strong = np.logical_or.reduceat((self.frequent[at] != grams)[order], first)
+        if classes - int(strong.sum()) <= spare:
+            sums, used = sums[strong], used[strong]
+        else:
             missing = np.setdiff1d(np.arange(classes, dtype=np.uint64), used)
             sums, used = np.concatenate([sums, np.zeros(len(missing), dtype=np.uint64)]), np.concatenate([used, missing])
         return scan.mix(sums + scan.mix(used * np.uint64(1 << 20) + np.uint64(band)))
@@ -126,24 +136,118 @@ def _sets(batch: pa.RecordBatch, column: str, n: int):
         at_row += part.num_rows
 
 
-def _signed(rule: Rule):
+def _class(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash of a set; equal sets are one class."""
+    return (int(scan.mix(grams).sum(dtype=np.uint64).view(np.int64)), int(scan.mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
+
+
+def _described(rule: Rule):
+    def run(batches):
+        for batch in batches:
+            rows = [(len(grams), *(_class(grams) if len(grams) else (0, 0))) for _, grams in _sets(batch, "text", rule.n)]
+            sizes, one, two = zip(*rows) if rows else ((), (), ())
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
+                                  names=["key", "size", "h1", "h2"])
+    return run
+
+
+def _views(column: pa.Array) -> Iterator[np.ndarray]:
+    """The bytes of each value of a binary column, not copied."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32 if pa.types.is_binary(column.type) else np.int64)[column.offset:column.offset + len(column) + 1].tolist()
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
+    return (data[a:b] for a, b in zip(ends[:-1], ends[1:]))
+
+
+def _stars(signatures: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signatures, the smallest class of each, and edges from it to the others, as rows."""
+    order = np.lexsort((classes, signatures))
+    signatures, classes = signatures[order], classes[order]
+    new = np.ones(len(signatures), dtype=bool)
+    new[1:] = signatures[1:] != signatures[:-1]
+    smallest = classes[new][np.cumsum(new) - 1]
+    other = smallest != classes
+    edges = np.unique(np.stack([smallest[other], classes[other]], 1), axis=0) if other.any() else np.empty((0, 2), dtype=np.int64)
+    return signatures[new], classes[new], edges
+
+
+_BLOBS = ["bucket", "signatures", "classes", "edges"]
+_BLOB_ROWS = "bucket int, signatures binary, classes binary, edges binary"
+
+
+def _listed(rule: Rule):
     def run(batches):
-        signer = Signer(rule)
         for batch in batches:
-            sizes, one, two, signatures = [], [], [], []
             for _, grams in _sets(batch, "text", rule.n):
-                sizes.append(len(grams))
-                one.append(int(scan.mix(grams).sum(dtype=np.uint64).view(np.int64)))
-                two.append(int(scan.mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
-                signatures.append(signer.signatures(grams).view(np.int64) if len(grams) else np.empty(0, np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in signatures])]).astype(np.int32)
-            values = np.concatenate(signatures) if signatures else np.empty(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                                   pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
-                                  names=["key", "size", "h1", "h2", "signatures"])
+                yield pa.record_batch([pa.array(grams.view(np.int64))], names=["gram"])
     return run
 
 
+def _frequent(texts: DataFrame, rule: Rule, one_in: int = 16, least: int = 3, most: int = 500_000) -> np.ndarray:
+    """N-grams of ``least`` or more texts of a sample of one in ``one_in``, at most ``most``, ascending."""
+    sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0)
+    found = (sample.mapInArrow(_listed(rule), "gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+             .orderBy(F.desc("n"), "gram").limit(most).select("gram").toPandas())
+    return np.sort(found["gram"].to_numpy(np.int64).view(np.uint64))
+
+
+def _signed(rule: Rule, buckets: int, shared, unit: int = 500_000):
+    """Signatures by bucket of their hash, each with one class: a unit's other classes of a signature are edges already."""
+    def run(batches):
+        signer = Signer(rule, shared.value)
+        waiting, classes, held = [], [], 0
+
+        def out():
+            signatures, smallest, edges = _stars(np.concatenate(waiting), np.repeat(np.array(classes, dtype=np.int64), [len(w) for w in waiting]))
+            bucket = ((signatures >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            found, first = np.unique(bucket[order], return_index=True)
+            n = len(found)
+            return pa.record_batch([
+                pa.array(found, pa.int32()), pa.array([x.astype("<u8").tobytes() for x in np.split(signatures[order], first[1:])][:n], pa.binary()),
+                pa.array([x.astype("<i8").tobytes() for x in np.split(smallest[order], first[1:])][:n], pa.binary()),
+                pa.array([edges.astype("<i8").tobytes() if i == 0 else b"" for i in range(n)], pa.binary())], names=_BLOBS)
+
+        for batch in batches:
+            for _, grams in _sets(batch, "text", rule.n):
+                if len(grams):
+                    waiting.append(signer.signatures(grams))
+                    classes.append(_class(grams)[0])
+                    held += len(waiting[-1])
+                if held > unit:
+                    yield out()
+                    waiting, classes, held = [], [], 0
+        if held:
+            yield out()
+    return run
+
+
+def _shared(batches) -> Iterator[pa.RecordBatch]:
+    """Signatures of whole buckets, in their order, to edges between the classes that share one."""
+    name, parts = None, []
+
+    def edges(found: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.concatenate([np.empty((0, 2), dtype=np.int64), *found])
+        return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    def out():
+        return _stars(np.concatenate([s for s, _ in parts]), np.concatenate([c for _, c in parts]))[2]
+
+    for batch in batches:
+        found = []
+        columns = [_views(batch.column(i)) for i in (1, 2, 3)]
+        for bucket, signatures, classes, local in zip(batch.column(0).to_pylist(), *columns):
+            if bucket != name:
+                if parts:
+                    found.append(out())
+                name, parts = bucket, []
+            parts.append((signatures.view("<u8"), classes.view("<i8")))
+            found.append(local.view("<i8").reshape(-1, 2).copy())
+        yield edges(found)
+    if parts:
+        yield edges([out()])
+
+
 class Forest:
     """Disjoint sets of small numbers."""
 
@@ -268,7 +372,7 @@ def _joined(rule: Rule):
             return pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for *cell, key, grams in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for *cell, key, grams in zip(*(batch.column(i).to_pylist() for i in range(4)), _views(batch.column(4))):
                 if cell != name:
                     if cells:
                         pairs += len(cells[-1]) ** 2
@@ -277,9 +381,8 @@ def _joined(rule: Rule):
                         cells, pairs, tokens = [], 0, 0
                     cells.append([])
                     name = cell
-                grams = np.frombuffer(grams, dtype="<u8")
-                tokens += len(grams)
-                cells[-1].append((key, grams))
+                tokens += len(grams) // 8
+                cells[-1].append((key, grams.view("<u8").copy()))
         if cells:
             yield out()
     return run
@@ -307,19 +410,22 @@ def _block(key: str, blocks, seed: int):
     return F.pmod(F.xxhash64(key, F.lit(seed)), blocks).cast("int")
 
 
-def _linked(spark: SparkSession, texts: DataFrame, members: DataFrame, rule: Rule, cell: int) -> DataFrame:
-    """Edges that connect all sets linked with one another, unequal ones. members: (key, representative, signatures)."""
-    signed = members.where("key = representative").select("key", F.explode("signatures").alias("signature"))
-    shared = store.kept(signed.groupBy("signature").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub < last").drop("last"), "jaccard-shared")
-    likely = components(signed.join(shared, "signature").where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b"))).withColumnsRenamed(
-        {"vertex": "key", "component": "cluster"})
-    likely = store.kept(likely, "jaccard-clusters")
+def _linked(texts: DataFrame, sets: DataFrame, same: DataFrame, rule: Rule, cell: int) -> DataFrame:
+    """Edges that connect all sets linked with one another, unequal ones; same: (size, h1, h2, representative)."""
+    grams = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = max(64, grams // 1_000_000)
+    frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, rule))  # 4 MB at most
+    signed = texts.where("key is not null").mapInArrow(_signed(rule, buckets, frequent), _BLOB_ROWS)
+    shared = signed.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_shared, "a bigint, b bigint")
+    # clusters are made of classes, named by half of their hash; each class is then its smallest key
+    likely = components(shared).withColumnsRenamed({"vertex": "h1", "component": "cluster"})
+    likely = store.kept(same.join(likely, "h1").select(F.col("representative").alias("key"), "h1", "cluster"), "jaccard-clusters")
     sizes = store.kept(likely.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "jaccard-sizes")
 
     blocks = F.ceil(F.col("n") / cell).cast("int")
     in_cell = lambda a, b: F.struct(F.col("cluster"), a.cast("int").alias("a"), b.cast("int").alias("b"))
     first = likely.join(sizes, "cluster").select("key", F.when(
-        F.col("key") == F.col("cluster"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: in_cell(i, F.lit(-1))))
+        F.col("h1") == F.col("cluster"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: in_cell(i, F.lit(-1))))
         .otherwise(F.array(in_cell(_block("key", blocks, 1), F.lit(-1)))).alias("cells"))
     edges = _cell_edges(texts, first, rule)
 
@@ -352,14 +458,12 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule
     row without a key is linked with nothing and its component is null. Rows of one key are
     one vertex, whatever their texts; each gets a row of the result.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    sets = store.kept(texts.mapInArrow(_signed(rule), "key bigint, size bigint, h1 bigint, h2 bigint, signatures array<bigint>"), "jaccard-sets")
-    same = store.kept(sets.where("size > 0 and key is not null").groupBy("size", "h1", "h2").agg(F.min("key").alias("representative")), "jaccard-same")
-    members = sets.where("size > 0 and key is not null").join(same, ["size", "h1", "h2"]).select(
-        "key", "representative", F.when(F.col("key") == F.col("representative"), F.col("signatures")).alias("signatures"))
-    members = store.kept(members, "jaccard-members")
-    edges = _linked(spark, texts, members, rule, cell).unionAll(members.select(F.col("representative").alias("a"), F.col("key").alias("b")))
+    sets = store.kept(texts.mapInArrow(_described(rule), "key bigint, size bigint, h1 bigint, h2 bigint"), "jaccard-sets")
+    known = sets.where("size > 0 and key is not null")
+    same = store.kept(known.groupBy("size", "h1", "h2").agg(F.min("key").alias("representative")), "jaccard-same")
+    copies = known.join(same, ["size", "h1", "h2"]).select(F.col("representative").alias("a"), F.col("key").alias("b"))
+    edges = _linked(texts, sets, same, rule, cell).unionAll(copies)
     found = components(edges).withColumnRenamed("vertex", "key")
     return (sets.select("key", F.col("size").alias("n_shingles")).join(found, "key", "left")
             .select("key", "n_shingles", F.coalesce("component", "key").alias("component")))

@@ -158,8 +158,9 @@ def test_linked_sets_share_a_signature(seed, share, size):
     b = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, rng.integers(0, 2 + size // 20), dtype=np.uint64)]))
     o = len(np.intersect1d(a, b))
     if rule.den * o >= rule.num * (len(a) + len(b) - o) and not np.array_equal(a, b):
-        signer = jaccard_join.Signer(rule)
-        assert np.intersect1d(signer.signatures(a), signer.signatures(b)).size
+        for share_frequent in (0, 0.3, 1):
+            signer = jaccard_join.Signer(rule, np.sort(a[rng.random(len(a)) < share_frequent]))
+            assert np.intersect1d(signer.signatures(a), signer.signatures(b)).size
 
 
 def test_components(spark):
