@@ -32,9 +32,12 @@ from reviewops.llm import scan, store
 from reviewops.llm.components import components
 
 CELL = 128
+#: Members of a block when a cluster is joined block by block: a member goes to as many cells as there are blocks.
+BLOCK = 512
 _NODE = 32
 _BATCH_PAIRS = 1 << 15
 _BATCH_TOKENS = 1 << 19
+_STEP_TOKENS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -327,10 +330,16 @@ class Trie:
         frontier = [(np.full(b - a, root), np.arange(a, b), np.zeros(b - a, dtype=np.int64), self.sizes[a:b].copy()) for root, a, b in self.roots if b - a > 1]
         if not frontier:
             return found
-        node, walker, overlap, rest = (np.concatenate(x) for x in zip(*frontier))
-        while len(node):
+        todo = [tuple(np.concatenate(x) for x in zip(*frontier))]
+        while todo:
+            step = todo.pop()
+            node, walker, overlap, rest = step
             first, length, depth, low, high = self.node[node].T
             total = int(length.sum())
+            if total > _STEP_TOKENS and len(node) > 1:  # bounds what a step holds
+                half = len(node) // 2
+                todo += [tuple(x[half:] for x in step), tuple(x[:half] for x in step)]
+                continue
             if total:
                 owner = np.repeat(np.arange(len(node)), length)
                 within = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
@@ -350,7 +359,8 @@ class Trie:
             number = self.child_ends[node + 1] - self.child_ends[node]
             owner = np.repeat(np.arange(len(node)), number)
             within = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
-            node, walker, overlap, rest = self.child[self.child_ends[node][owner] + within], walker[owner], overlap[owner], rest[owner]
+            if len(owner):
+                todo.append((self.child[self.child_ends[node][owner] + within], walker[owner], overlap[owner], rest[owner]))
         return found
 
 
@@ -441,7 +451,7 @@ def _linked(texts: DataFrame, sets: DataFrame, same: DataFrame, rule: Rule, cell
     open_ = store.kept(classes.join(main, "cluster").where("c < n"), "jaccard-open")
     if open_.isEmpty():
         return edges
-    half = max(1, cell // 2)
+    half = max(1, min(BLOCK, 4 * cell) // 2)
     rows, columns = F.ceil((F.col("n") - F.col("c")) / half).cast("int"), F.ceil(F.col("n") / half).cast("int")
     outside = F.col("class") != F.col("main")
     across = F.transform(F.sequence(F.lit(0), rows - 1), lambda i: in_cell(i, _block("key", columns, 2)))
