@@ -34,9 +34,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, ("AKIA",)),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: What lies between the lines of a key: white space, escaped line breaks, quotes, marks of quotation or comment.
+_BETWEEN = r"""(?:\s|\\+[nrt]|["',>|#*])"""
+#: A key runs to its END line, whatever lies between but another block. Without one it takes the header
+#: fields and the runs of base64 that follow, and a last line that is shorter. No part is ever read twice.
+_KEY = (r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:"
+        r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+        rf"|(?:{_BETWEEN}*+[A-Za-z][A-Za-z0-9-]*+:\x20(?:[^\n\\-]|-(?!----))*+)*+(?:{_BETWEEN}*+[A-Za-z0-9+/=]{{16,}}+)++"
+        rf"(?:\x20*+(?:[\r\n]|\\+[nr])++[\x20\t>|#*]*+[A-Za-z0-9+/=]++(?=\s|\\|[\"']|\Z))?)?")
 #: Formats that vendors publish; they add to the base rules.
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", needs=("-----BEGIN",)),
+    Rule("private_key", _KEY, needs=("-----BEGIN",), version=2),
     Rule("code_host", r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20})", needs=("gh", "glpat-")),
     Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", needs=("eyJ",)),
     Rule("url_login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", needs=("://",)),

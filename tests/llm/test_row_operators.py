@@ -1,5 +1,6 @@
 """Operators that judge each text by itself: quality rules, secrets, languages."""
 
+import base64
 import hashlib
 import random
 import re
@@ -103,6 +104,31 @@ def test_redaction(spark):
     assert rows == [(1, "é <secret> x <secret>", 1), (2, None, 2), (3, "clean", 3)]
 
 
+def private_key(ending, *fields):
+    body = base64.b64encode(random.Random(7).randbytes(600)).decode()
+    lines = ["-----BEGIN RSA PRIVATE KEY-----", *fields, *(body[i:i + 64] for i in range(0, len(body), 64)), "QUJD"]
+    return lines + ["-----END RSA PRIVATE KEY-----"] * ending
+
+
+def test_redaction_leaves_no_line_of_a_private_key(spark):
+    fields = "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123ABCD", ""
+    cases = [(private_key(e, *f), x) for e in (True, False) for f in ((), fields) for x in ("\n", "\r\n", "\n    ", "\\n", "\n> ")]
+    texts = [f'one "{x.join(k)}"\nand two\n{x.join(k)}\n\nlast words of prose - and more' for k, x in cases]
+    left = secrets.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r.doc_id: r.text for r in left} == dict.fromkeys(range(len(cases)), 'one "<secret>"\nand two\n<secret>\n\nlast words of prose - and more')
+
+
+def test_private_key_rule_keeps_to_the_key():
+    rule = next(r for r in secrets.RULES if r.kind == "private_key")
+    ((_, pattern),) = secrets._compiled((rule,))
+    mark, certificate = "-----BEGIN PRIVATE KEY-----", "-----BEGIN CERTIFICATE-----\nMIIB\n-----END CERTIFICATE-----"
+    text = f"Files start with {mark} and then go on for long.\nNote: prose\n{certificate}\n-----END PRIVATE KEY-----"
+    assert [text[a:b] for a, b in secrets.find(text, rule, pattern)] == [mark]
+    many = f"{mark} - " * 50_000
+    assert len(secrets.find(many, rule, pattern)) == 50_000
+    assert rule.version == 2
+
+
 def test_languages(spark, small, nasty, empty):
     rows = QUERIES["op8_language_id"](spark, small).collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
