@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+import zstandard
 from hypothesis import given, settings, strategies as st
 
 from reviewops.llm import quality_rules, secrets
@@ -48,6 +49,33 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(spark):
     assert 3.5 > len(noise) / 1000 > 0
 
 
+def test_every_band_rejects_noise_and_keeps_prose():
+    draw = random.Random(1)
+    packer = zstandard.ZstdCompressor(level=3)
+
+    def stays(text):
+        _, bad, good = quality_rules._compression(text, packer, quality_rules.BANDS, 4096)
+        return good and bad <= 0.25
+
+    letters = [chr(c) for r in ((48, 58), (65, 91), (97, 123)) for c in range(*r)]
+    starts = [b.from_bytes for b in quality_rules.BANDS[1:]]
+    for size in sorted({*starts, *(x - 1 for x in starts[1:]), 9000, 70000}):
+        for _ in range(5):
+            body = base64.b64encode(draw.randbytes(size)).decode()
+            assert not stays("\n".join(body[i:i + 76] for i in range(0, len(body), 76)).encode()[:size]), size
+            if size >= 640:
+                assert not stays(" ".join("".join(draw.choices(letters, k=draw.randint(2, 10))) for _ in range(size // 3)).encode()[:size]), size
+            if size >= 1536:
+                ideographs = " ".join("".join(chr(draw.randint(0x4E00, 0x9FFF)) for _ in range(6)) for _ in range(size // 19 + 1))
+                assert not stays(ideographs.encode()[:size + 2].decode(errors="ignore").encode()), size
+    czech = ("Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu "
+             "bratrství. Každý má všechna práva a všechny svobody, stanovené touto deklarací, bez jakéhokoli rozlišování, zejména podle rasy, "
+             "barvy, pohlaví, jazyka, náboženství, politického nebo jiného smýšlení, národnostního nebo sociálního původu, majetku, rodu nebo "
+             "jiného postavení.").encode()
+    chinese = ("人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。人人有资格享有本宣言所载的一切权利和自由，"
+               "不分种族、肤色、性别、语言、宗教、政治或其他见解、国籍或社会出身、财产、出生或其他身份等任何区别。").encode()
+    assert all(stays(czech[:n]) for n in range(256, len(czech))) and all(stays(chinese[:n]) for n in range(256, len(chinese)))
+
 
 
 
