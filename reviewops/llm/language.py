@@ -6,8 +6,9 @@ language is the sum, over its bytes, of the bits that the longest known context
 that a context has never seen costs the context's escape (method C) and is then coded by the
 next shorter one, at last by 8 bits. The language with the shortest code wins.
 
-As statistics are frozen, the cost of every byte after every known context can be worked out
-beforehand: scoring a text is two table lookups a byte for all languages at once.
+As statistics are frozen, the cost of each byte seen after a context and of each context's escape
+can be worked out beforehand. They are kept in sorted tables, for each language by itself: no
+language takes room from another. Each run of four bytes is looked up once in a piece of text.
 """
 
 from __future__ import annotations
@@ -28,14 +29,17 @@ _PAD = 0x20
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, and how often each byte (the lowest of ``grams``) followed three others in each of them."""
+    """Languages, and how often each byte (the lowest of ``grams``) followed three others in each of them.
+
+    ``piece`` is how many bytes of text are scored at once.
+    """
 
     name: str
     languages: tuple[str, ...]
     grams: np.ndarray
     language: np.ndarray
     counts: np.ndarray
-    max_cells: int
+    piece: int
 
 
 def _padded(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +51,15 @@ def _padded(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, at
 
 
+def _grams(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each byte with the ORDER bytes before it, itself the lowest."""
+    wide = padded.astype(np.uint32)
+    grams = wide[at]
+    for back in range(1, ORDER + 1):
+        grams |= wide[at - back] << np.uint32(8 * back)
+    return grams
+
+
 def _count(batches):
     for batch in batches:
         langs = batch.column(0).to_pylist()
@@ -54,107 +67,93 @@ def _count(batches):
             texts = batch.column(1).filter(pa.array([x == lang for x in langs]))
             total: dict[int, int] = {}
             for piece in scan.pieces(pa.record_batch({"t": texts}), "t"):
-                padded, at = _padded(*scan.texts(piece.column(0), lower=True))
-                wide = padded.astype(np.uint32)
-                grams = wide[at]
-                for back in range(1, ORDER + 1):
-                    grams = grams | wide[at - back] << np.uint32(8 * back)
+                grams = _grams(*_padded(*scan.texts(piece.column(0), lower=True)))
                 for gram, n in zip(*(x.tolist() for x in np.unique(grams, return_counts=True))):
                     total[gram] = total.get(gram, 0) + n
-            yield pa.record_batch([pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.int64()),
-                                   pa.array(list(total.values()), pa.int64())], names=["lang", "gram", "n"])
+            yield pa.record_batch([pa.array([lang] * len(total), pa.int32()), pa.array(list(total), pa.int64()),
+                                   pa.array(list(total.values()), pa.int64())], names=["language", "gram", "n"])
 
 
-def learn(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang", rows_per_language: int = 400, max_languages: int = 64,
-          max_grams: int = 2_000_000, max_cells: int = 1 << 25) -> Model:
+def learn(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang", rows_per_language: int = 400, grams_per_language: int = 200_000,
+          piece: int = 1 << 19) -> Model:
     """Count contexts on about ``rows_per_language`` whole texts of each language, picked by a hash of ``key``.
 
-    Rows without text or language teach nothing. Bounds: the ``max_languages`` most frequent
-    languages, the ``max_grams`` most frequent runs of four bytes, and a cost table of at most
-    ``max_cells`` numbers, to which the rarest contexts give way.
+    Rows without text or language teach nothing; every other language is learned. The bounds hold
+    for each language by itself: its sampled texts, and about its ``grams_per_language`` most
+    frequent runs of four bytes (of those as frequent as the last, a part picked by hash).
     """
     spark = labelled.sparkSession
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"),
         (F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages)
-    sizes = store.kept(sizes, "language-sizes")
-    sample = known.join(F.broadcast(sizes), "lang").where(F.col("u") * F.col("rows") < rows_per_language).select("lang", "text")  # <= max_languages rows
-    grams = (sample.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas())
-    languages = tuple(sorted(grams["lang"].unique()))
-    index = {x: i for i, x in enumerate(languages)}
-    return Model(store.new_path(spark, "language-model"), languages, grams["gram"].to_numpy(np.int64),
-                 grams["lang"].map(index).to_numpy(np.int64), grams["n"].to_numpy(np.float64), max_cells)
+    sizes = sorted((r.lang, r.rows) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect())  # one row a language
+    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(sizes)], "language int, lang string, rows bigint")
+    sample = known.join(F.broadcast(numbered), "lang").where(F.col("u") * F.col("rows") < rows_per_language).select("language", "text")
+    grams = store.kept(sample.mapInArrow(_count, "language int, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n")), "language-grams")
+    room, limits = dict.fromkeys(range(len(sizes)), grams_per_language), {}
+    for r in grams.groupBy("language", "n").agg(F.count(F.lit(1)).alias("grams")).orderBy("language", F.desc("n")).collect():
+        if r.language not in limits:
+            if r.grams > room[r.language]:
+                limits[r.language] = (r.n, room[r.language] / r.grams)
+            room[r.language] -= r.grams
+    if limits:
+        limit = spark.createDataFrame([(i, *x) for i, x in limits.items()], "language int, least bigint, share double")
+        u = F.pmod(F.xxhash64("gram"), F.lit(1 << 30)) / float(1 << 30)
+        grams = grams.join(F.broadcast(limit), "language", "left").where(
+            F.col("least").isNull() | (F.col("n") > F.col("least")) | (F.col("n") == F.col("least")) & (u < F.col("share")))
+    found = grams.select("language", "gram", "n").toArrow()
+    language, gram, n = (found.column(i).to_numpy() for i in range(3))
+    taught = np.unique(language)  # texts may all be empty
+    return Model(store.new_path(spark, "language-model"), tuple(sizes[i][0] for i in taught), gram.astype(np.uint32),
+                 np.searchsorted(taught, language).astype(np.int32), n.astype(np.float64), piece)
+
+
+class _Table:
+    """Bits of what was seen in one order of one language: of each byte after its context, and of the context's escape."""
+
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray):
+        self.pairs, inverse = np.unique(pairs, return_inverse=True)
+        counts = np.bincount(inverse, counts)
+        self.contexts, inverse = np.unique(self.pairs >> np.uint32(8), return_inverse=True)
+        kinds = np.bincount(inverse)
+        total = np.bincount(inverse, counts) + kinds
+        self.seen = np.log2(total[inverse] / counts).astype(np.float32)
+        self.escape = np.log2(total / kinds).astype(np.float32)
+
+    def longer(self, pairs: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Bits of the last bytes of ``pairs``, where the next shorter contexts need ``bits``."""
+        contexts = pairs >> np.uint32(8)
+        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        bits = bits + np.where(self.contexts[at] == contexts, self.escape[at], np.float32(0))
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.seen[at], bits)
 
 
 class Costs:
-    """Bits of every byte class after every known context, for all languages."""
+    """The tables of all orders, for each language by itself."""
 
     def __init__(self, model: Model):
-        languages = len(model.languages)
-        parts = [(model.grams >> (8 * k)) & 255 for k in range(ORDER + 1)]  # the byte itself, then backwards
-        used = np.unique(np.concatenate([*parts, [_PAD]]))
-        #: bytes never seen share the last class
-        self.classes = classes = np.full(256, len(used), dtype=np.int64)
-        classes[used] = np.arange(len(used))
-        self.size = size = len(used) + 1
-        parts = [classes[p] for p in parts]
-        chances = np.full((1, size, languages), 1 / 256)
-        known = np.zeros(1, dtype=np.int64)  # contexts of the order before, as keys
-        rows = np.zeros(1, dtype=np.int64)  # where each of them is in the table
-        tables = []
-        budget = model.max_cells // (size * languages) - 1
-        #: longest known context of every three classes
-        self.context = np.zeros(size ** ORDER, dtype=np.int32)
-        every = np.arange(size ** ORDER, dtype=np.int64)
-        first = 0
-        for order in range(ORDER + 1):
-            key = np.zeros(len(model.grams), dtype=np.int64)
-            for k in range(order, 0, -1):
-                key = key * size + parts[k]
-            found, inverse = np.unique(key, return_inverse=True)
-            if len(found) > max(1, budget):
-                weight = np.bincount(inverse, model.counts)
-                chosen = np.sort(np.argsort(-weight, kind="stable")[:max(1, budget)])
-                taken = np.isin(inverse, chosen)
-                key, lang, counts, byte = key[taken], model.language[taken], model.counts[taken], parts[0][taken]
-                found, inverse = np.unique(key, return_inverse=True)
-            else:
-                lang, counts, byte = model.language, model.counts, parts[0]
-            budget -= len(found)
-            seen = np.zeros((len(found), size, languages))
-            np.add.at(seen, (inverse, byte, lang), counts)
-            total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-            shorter = found % size ** max(0, order - 1)  # without the byte furthest back
-            at = np.searchsorted(known, shorter)
-            at = np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == shorter), at, 0)
-            lower = chances[at] if order else chances[np.zeros(len(found), dtype=np.int64)]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                here = np.where(seen > 0, seen / (total + kinds), kinds / (total + kinds) * lower)
-            chances = np.where(total > 0, here, lower)
-            known = found
-            rows = first + np.arange(len(found))
-            first += len(found)
-            tables.append(-np.log2(chances).astype(np.float32))
-            position = np.searchsorted(known, every % size ** order)
-            position = np.minimum(position, len(known) - 1)
-            match = known[position] == every % size ** order
-            self.context[match] = rows[position[match]]
-        self.bits = np.concatenate(tables).reshape(-1, languages)
+        order = np.argsort(model.language, kind="stable")
+        ends = np.searchsorted(model.language[order], np.arange(len(model.languages) + 1))
+        self.tables = []
+        for a, b in zip(ends[:-1], ends[1:]):
+            grams, counts = model.grams[order[a:b]].astype(np.uint32), model.counts[order[a:b]]
+            self.tables.append([_Table(grams & np.uint32((1 << (8 * k + 8)) - 1), counts) for k in range(ORDER + 1)])
 
     def lengths(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Code length in bits of each text (rows) under each language (columns)."""
-        out = np.zeros((len(ends) - 1, self.bits.shape[1]))
+        out = np.zeros((len(ends) - 1, len(self.tables)))
         if len(data):
-            padded, at = _padded(data, ends)
-            coded = self.classes[padded]
-            key = np.zeros(len(at), dtype=np.int64)
-            for back in range(ORDER, 0, -1):
-                key = key * self.size + coded[at - back]
-            cost = self.bits[self.context[key].astype(np.int64) * self.size + coded[at]]
+            grams, inverse = np.unique(_grams(*_padded(data, ends)), return_inverse=True)
+            pairs = [np.unique(grams & np.uint32((1 << (8 * k + 8)) - 1), return_inverse=True) for k in range(ORDER + 1)]
             filled = np.flatnonzero(np.diff(ends))
-            out[filled] = np.add.reduceat(cost, ends[:-1][filled], axis=0, dtype=np.float64)
+            for i, tables in enumerate(self.tables):
+                cost = np.full(len(grams), 8, dtype=np.float32)
+                for (found, place), table in zip(pairs, tables):
+                    bits = np.full(len(found), 8, dtype=np.float32)
+                    bits[place] = cost
+                    cost = table.longer(found, bits)[place]
+                out[filled, i] = np.add.reduceat(cost[inverse], ends[:-1][filled], dtype=np.float64)
         return out
 
 
@@ -172,7 +171,7 @@ def _costs(model: Model) -> Costs:
 def _predict(column: pa.Array, model: Model) -> pa.Array:
     langs, scores = [], []
     costs = _costs(model) if model.languages else None
-    for piece in scan.pieces(pa.record_batch({"t": column}), "t", 1 << 19):
+    for piece in scan.pieces(pa.record_batch({"t": column}), "t", model.piece):
         values = scan.strings(piece.column(0))
         lengths = costs.lengths(*scan.texts(piece.column(0), lower=True)) if costs else np.zeros((len(values), 1))
         best = lengths.argmin(axis=1)

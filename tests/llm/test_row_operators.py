@@ -9,6 +9,7 @@ import zlib
 import pytest
 import zstandard
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from reviewops.llm import quality_rules, secrets
 from reviewops.llm.queries import QUERIES
@@ -170,6 +171,31 @@ def test_languages(spark, small, nasty, empty):
     assert QUERIES["op8_language_id"](spark, empty).count() == 0
 
 
+def test_every_language_is_learned_by_itself(spark):
+    from reviewops.llm import language, scan
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(2)
+    rows, later = [], []
+    for i in range(90):
+        syllables = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyzäöüßéèçñ", k=3)) for _ in range(6)]
+        texts = [" ".join("".join(draw.choices(syllables, k=2)) for _ in range(30)) for _ in range(5 if i < 89 else 2)]
+        rows += [(len(rows) + k, t, f"l{i:02}") for k, t in enumerate(texts[1:])]
+        later.append((i, texts[0], f"l{i:02}"))
+    schema = "doc_id int, text string, lang string"
+    model = language.learn(spark.createDataFrame(rows, schema), "doc_id")
+    held = spark.createDataFrame(later, schema)
+    assert [(r.lang, r.p.lang) for r in held.select("lang", language.predicted(F.col("text"), model).alias("p")).collect()] == [(x, x) for *_, x in later]
+    # all orders stay: a language alone needs the same bits
+    alone = language.learn(spark.createDataFrame([r for r in rows if r[2] == "l89"], schema), "doc_id")
+    texts = scan.texts(pa.array([t for _, t, _ in later]), lower=True)
+    assert np.array_equal(language.Costs(model).lengths(*texts)[:, [89]], language.Costs(alone).lengths(*texts))
+    # the bound holds for each language by itself, and none disappears
+    few = language.learn(spark.createDataFrame(rows, schema), "doc_id", grams_per_language=20)
+    assert len(few.languages) == 90 and 1 <= np.bincount(few.language).min() and np.bincount(few.language).max() <= 40
+
+
 def test_code_lengths_are_those_of_the_definition(spark):
     """Costs.lengths against a plain recursive coder on the same counts."""
     import math
