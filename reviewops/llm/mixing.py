@@ -4,8 +4,9 @@ The words of each source, document after document, are packed into blocks of fix
 The mix is a row of output shards with as many slots each; a slot takes one block. For each
 shard, source counts are drawn from the multinomial distribution given by the targets. A
 source's slots, numbered through all shards, are mapped through a pseudorandom permutation
-of its blocks: none is taken again before all have been taken. Slots and blocks of documents
-are joined by block index.
+of its blocks: none is taken again before all have been taken. The last block of a source may be
+short; its place in the order is fixed beforehand, so that the words of any number of slots are
+known. Slots and blocks of documents are joined by block index.
 
 Draws scatter around the targets. What a source is given beyond its target goes, slot by slot,
 to sources below theirs, so that totals meet the targets within a block.
@@ -47,13 +48,14 @@ def _before(value: str, *, by: list[str], order: list) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """Rows (sid, source, source_size, weight, target, blocks, quota), one for each source.
+    """Rows (sid, source, source_size, weight, target, blocks, short_at, quota), one for each source.
 
     Sources in the order of their code points, null last, take the weights in turn and share
     the size of all of them. A target stops at ``most`` times the source's size and the excess
     goes to the others by weight, until none is above: the sources with the least room for
     their weight fill up first, and the level of the others follows from what these leave.
-    One row a source is all that meets in a task here.
+    One row a source is all that meets in a task here. The quota is the number of slots whose
+    words, the short block counted as it is, come nearest to the target: half a block away at most.
     """
     numbered = (sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
                 .withColumn("sid", F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))))
@@ -69,9 +71,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     target = F.when(F.col("final").isNull() | (F.col("place") < F.col("final.place")), F.col("cap").cast("double")).otherwise(
         F.least(F.col("weight") * F.col("final.level"), F.col("cap").cast("double")))
     blocks = F.ceil(F.col("source_size") / block).cast("bigint")
-    return (levelled.withColumn("target", target)
-            .select("sid", "source", "source_size", "weight", "target", blocks.alias("blocks"),
-                    F.least(F.round(F.col("target") / block).cast("bigint"), blocks * most).alias("quota")))
+    return (levelled.withColumn("target", target).withColumn("blocks", blocks)
+            .withColumn("short_at", F.pmod(F.xxhash64("sid", F.lit(block)), F.greatest("blocks", F.lit(1))))
+            .select("sid", "source", "source_size", "weight", "target", "blocks", "short_at",
+                    F.when(F.col("blocks") > 0, _quota(block)).otherwise(F.lit(0).cast("bigint")).alias("quota")))
+
+
+def _quota(block: int) -> Column:
+    """Full turns, and of the next turn as many slots as come nearest to the rest: without the short block, or with it."""
+    turns = F.floor(F.col("target") / F.col("source_size")).cast("bigint")
+    rest = F.col("target") - turns * F.col("source_size")
+    lacks = F.col("blocks") * block - F.col("source_size")
+    without = F.least(F.round(rest / block).cast("bigint"), F.col("short_at"))
+    within = F.greatest(F.round((rest + lacks) / block).cast("bigint"), F.col("short_at") + 1)
+    nearer = F.abs(without * block - rest) <= F.abs(within * block - lacks - rest)
+    return turns * F.col("blocks") + F.when(nearer, without).otherwise(within)
 
 
 def _placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -128,22 +142,25 @@ def _draws(sources: DataFrame, seed: int, shard: int) -> DataFrame:
     totals = store.kept(runs.groupBy("sid", "_run").agg(F.sum("n").alias("_n")), "mix-runs")
     begun = totals.select("sid", "_run", _before("_n", by=["sid"], order=["_run"]).alias("_base"))
     given = totals.groupBy("sid").agg(F.sum("_n").alias("given"))
-    state = (sources.select("sid", "quota", "blocks").join(given, "sid", "left").fillna(0, ["given"])
+    state = (sources.select("sid", "quota", "blocks", "short_at").join(given, "sid", "left").fillna(0, ["given"])
              .withColumn("over", F.greatest(F.col("given") - F.col("quota"), F.lit(0))).withColumn("under", F.greatest(F.col("quota") - F.col("given"), F.lit(0)))
              .withColumn("over_before", _before("over", by=[], order=["sid"])).withColumn("under_before", _before("under", by=[], order=["sid"])))
-    state = store.kept(state.withColumn("plan", F.when(F.col("blocks") > 0, _permutation(F.col("sid"), F.col("blocks")))), "mix-state")
+    state = store.kept(state.withColumn("plan", F.when(F.col("blocks") > 0, _permutation(F.col("sid"), F.greatest(F.col("blocks") - 1, F.lit(1))))), "mix-state")
 
     numbered = (runs.withColumn("_in", _before("n", by=["sid", "_run"], order=["shard"])).join(begun, ["sid", "_run"])
                 .join(state, "sid").withColumn("begin", F.col("_base") + F.col("_in")).withColumn("end", F.col("begin") + F.col("n"))
                 .repartition(slots // 250_000 + 1, "shard"))  # few rows, but each becomes many
-    own = (numbered.where("begin < quota").select("shard", "sid", "blocks", "plan", F.explode(F.sequence("begin", F.least("end", "quota") - 1)).alias("j")))
+    own = (numbered.where("begin < quota").select("shard", "sid", "blocks", "short_at", "plan", F.explode(F.sequence("begin", F.least("end", "quota") - 1)).alias("j")))
     # slots beyond a quota, numbered through all sources, go to the sources that have slots to come
     spare = (numbered.where("end > quota").select(
         "shard", F.explode(F.sequence(F.greatest("begin", "quota") - F.col("quota") + F.col("over_before"), F.col("end") - F.col("quota") + F.col("over_before") - 1)).alias("e")))
-    wanting = state.where("under > 0").select("sid", "blocks", "plan", "given", "under_before", F.explode(F.sequence("under_before", F.col("under_before") + F.col("under") - 1)).alias("e"))
-    moved = spare.join(wanting, "e").select("shard", "sid", "blocks", "plan", (F.col("given") + F.col("e") - F.col("under_before")).alias("j"))
-    return own.unionByName(moved).select("shard", "sid", (F.col("j") / F.col("blocks")).cast("bigint").alias("turn"),
-                                         _permuted(F.pmod("j", "blocks"), F.col("plan")).alias("block"))
+    wanting = state.where("under > 0").select("sid", "blocks", "short_at", "plan", "given", "under_before", F.explode(F.sequence("under_before", F.col("under_before") + F.col("under") - 1)).alias("e"))
+    moved = spare.join(wanting, "e").select("shard", "sid", "blocks", "short_at", "plan", (F.col("given") + F.col("e") - F.col("under_before")).alias("j"))
+    # the whole blocks are permuted around the place of the short one
+    slots = own.unionByName(moved).withColumn("at", F.pmod("j", "blocks"))
+    whole = F.col("at") - F.when(F.col("at") > F.col("short_at"), F.lit(1)).otherwise(F.lit(0))
+    return slots.select("shard", "sid", (F.col("j") / F.col("blocks")).cast("bigint").alias("turn"),
+                        F.when(F.col("at") == F.col("short_at"), F.col("blocks") - 1).otherwise(_permuted(whole, F.col("plan"))).alias("block"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, block: int = BLOCK, shard: int = SHARD) -> Mix:

@@ -61,6 +61,23 @@ def test_targets_with_small_and_empty_sources(spark):
         assert abs(r.target - expected[r.source]) < 1e-6, r
 
 
+def test_small_sources_beside_a_large_one_get_their_words(spark):
+    sizes = {"hot": 40_000, **{f"s{n}": n for n in (1, 5, 10, 16, 31, 32, 33, 40, 64, 100, 333)}}
+    docs = [(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())]
+    target = targets_by_hand(sizes)
+    rows = mixing.taken(mixing.mix(spark.createDataFrame(docs, "doc_id bigint, text string, source string"))).collect()
+    assert {r.source for r in rows} == set(sizes)
+    for r in rows:
+        assert abs(r.taken - target[r.source]) <= mixing.BLOCK / 2, r
+        if target[r.source] == 3 * r.size:
+            assert r.taken == 3 * r.size, r
+    # targets between full turns: as near as the blocks allow
+    some = [(s, n) for s, n in zip("abcdefghij", (900, 10, 70, 45, 333, 20, 61, 100, 7, 250))]
+    rows = mixing.taken(mixing.mix(spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(some)], "doc_id bigint, text string, source string"))).collect()
+    target = targets_by_hand(dict(some))
+    assert all(abs(r.taken - target[r.source]) <= mixing.BLOCK / 2 and r.taken <= 3 * r.size for r in rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
 def test_permutation(spark, n):
     df = spark.range(n).select(mixing._permuted(F.col("id"), mixing._permutation(F.lit(5), F.lit(n).cast("bigint"))).alias("p"))
