@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewops.llm import cotraining, embedding_join, jaccard_join, language, mixing, packing, quality_rules, secrets, store, substring_dedup, token_counts
+from reviewops.llm import cotraining, embedding_join, jaccard_join, language, merkle, mixing, packing, quality_rules, secrets, store, substring_dedup, token_counts
 
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -83,8 +83,18 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
                          F.col("quality.score").alias("score"), (F.col("quality.score") >= 0.5).alias("kept"))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    altered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    changed = merkle.leaf([F.replace("text", F.lit("\n"), F.lit("")) if f == "text" else F.col(f) for f in fields])
+    found = merkle.manifest(store.documents(spark, folder), fields=fields, carried={"tampered": F.when(altered, changed)})
+    return (found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+            .select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
 _ALL = (op1_source_mix, op2_packing, op3_token_counts, op4_substring_dedup, op5_secret_scans, op6_ngram_jaccard, op7_embedding_neighbours,
-        op8_language_id, op9_quality_rules, op10_quality_classifier)
+        op8_language_id, op9_quality_rules, op10_quality_classifier, op13_merkle_manifest)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
