@@ -61,13 +61,18 @@ def _spans(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: int)
     return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
 
 
+def hashes_of(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans."""
+    return _spans(data.astype(np.uint64), starts, stops, _BASES[0])
+
+
 class Words:
     """The words of a run of texts: byte spans, and the text that each is in."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray):
-        """data: bytes of all texts; ends: where each text starts, and at last the end."""
+    def __init__(self, data: np.ndarray, ends: np.ndarray, gaps: np.ndarray = SPACE):
+        """data: bytes of all texts; ends: where each text starts, and at last the end; gaps: which bytes are in no word."""
         self.data, self.ends = data, ends
-        space = SPACE[data]
+        space = gaps[data]
         before, after = np.empty(len(data), dtype=bool), np.empty(len(data), dtype=bool)
         if len(data):
             before[1:], before[0] = space[:-1], True
