@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewops.llm import collocations, cotraining, embedding_join, jaccard_join, language, merkle, mixing, packing, quality_rules, secrets, store, substring_dedup, token_counts
+from reviewops.llm import collocations, cotraining, embedding_join, jaccard_join, language, merkle, mixing, packing, projection_search, quality_rules, secrets, store, substring_dedup, token_counts
 
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -87,6 +87,11 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(store.documents(spark, folder))
 
 
+def op12_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    found = projection_search.nearest_rows(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("key") % 20 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     fields = ("doc_id", "source", "lang", "n_chars", "text")
     altered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
@@ -99,7 +104,7 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 _ALL = (op1_source_mix, op2_packing, op3_token_counts, op4_substring_dedup, op5_secret_scans, op6_ngram_jaccard, op7_embedding_neighbours,
         op8_language_id, op9_quality_rules, op10_quality_classifier, op11_phrase_collocations,
-        op13_merkle_manifest)
+        op12_nearest_vectors, op13_merkle_manifest)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
