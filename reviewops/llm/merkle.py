@@ -153,8 +153,7 @@ def manifest(rows: DataFrame, key: str = "doc_id", group: str = "source", fields
     upper = _tree(subroots, ["name"], ["name"], fanout)
     top = upper.tops.first()
     root = F.lit(top.top if top else None).cast("string")
-    spark = rows.sparkSession
-    start = spark.range(1).select(F.lit("").alias("g"), F.array().cast(_PATH).alias("path"))
+    start = store.kept(rows.sparkSession.range(1).select(F.lit("").alias("g"), F.array().cast(_PATH).alias("path")), "merkle-start")
     above = _paths(upper, start, ["name"], fanout).select(F.col("name").alias("g"), "path", F.col("digest").alias("subroot"))
     found = _paths(tree, store.kept(above, "merkle-above"), own, fanout)
     return found.select("key", F.col("digest").alias("leaf"), "subroot", root.alias("root"), "path", *(F.col(x).alias(n) for n, x in zip(carried, extra)))

@@ -120,6 +120,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _shi
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+
+
+def _leaf(text: str) -> str:
+    values = ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+#: Whether the CRC-32 of doc_id's digits is odd, bit by bit; null counts as odd, it isn't altered.
+_crc_odd = """coalesce((xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, 8 * strlen(cast(doc_id as varchar))),
+    lambda k: ((ascii(cast(doc_id as varchar)[k // 8 + 1]) >> (k % 8)) & 1)::bigint)), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) & 1) = 1, true)"""
+
 #: DuckDB SQL of the operators that SQL can express.
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": f"""
@@ -152,4 +163,44 @@ least_of as (select v, min(c) as c from reach group by v),
 n as (select x, count(*) as n from link group by x)
 select vec_id, cast(coalesce(n, 0) as bigint) as n_links, c as component_id, vec_id = c as kept
 from v join least_of on v.vec_id = least_of.v left join n on n.x = v.vec_id""",
+    "op11_phrase_collocations": r"""
+with docs as (select row_number() over () as d, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+              from documents),
+piece as (select d, lang, row_number() over () as p, w from (
+    select d, lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from docs) where len(w) > 0),
+total as (select lang, sum(len(w)) as n from piece group by lang),
+gram as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+         from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from piece cross join (values (1), (2), (3), (4)) v(k))),
+f as materialized (select lang, phrase, k, count(*) as a from gram group by all having count(*) >= 30),
+cut as (select lang, phrase, a, k, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') as x, array_to_string(string_split(phrase, ' ')[c + 1:], ' ') as y
+        from (select *, unnest(range(1, k)) as c from f where k > 1)),
+weak as (select lang, cut.phrase, any_value(cut.a) as a, min(row(2000000::hugeint * cut.a // (l.a + r.a), c, l.a, r.a)) as m
+         from cut join f l using (lang) join f r using (lang) where l.phrase = x and r.phrase = y group by lang, cut.phrase),
+inside as (select lang, array_to_string(string_split(phrase, ' ')[o:o + s - 1], ' ') as phrase, max(a) as longer from (
+    select *, unnest(range(1, k - s + 2)) as o from (select *, unnest(range(2, k)) as s from f where k > 2)) group by all),
+kept as (select lang, phrase, a, m[3] as l, m[4] as r, m[1] as score from weak left join inside using (lang, phrase) where longer is null or 100 * longer < 80 * a),
+placed as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score from placed join total using (lang) where rank <= 2000""",
+    "op13_merkle_manifest": f"""
+with recursive leaf as (select row_number() over () as id, *, {_crc_odd} as odd, {_leaf('text')} as h, {_leaf("replace(text, chr(10), '')")} as changed from documents),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, h) - 1 as i, count(*) over (partition by source) as m from leaf),
+node as (select 0 as level, coalesce('=' || source, '') as g, i, m, h from placed
+         union all select level + 1, g, i // 3, (m + 2) // 3, sha256(string_agg(h, '' order by i)) from node where m > 1 group by level, g, i // 3, m),
+sub as (select g, h, row_number() over (order by g) - 1 as i, count(*) over () as m from node where m = 1),
+upper as (select 0 as level, i, m, h from sub union all select level + 1, i // 3, (m + 2) // 3, sha256(string_agg(h, '' order by i)) from upper where m > 1 group by level, i // 3, m),
+every as materialized (select level, g, i, m, h from node union all select level, null, i, m, h from upper),
+run as materialized (select level, g, i // 3 as up, list(h order by i) as hs from every where m > 1 group by level, g, i // 3),
+height as (select coalesce(g, '-') as g, max(level) as top from every group by g),
+climb as (select id, coalesce('=' || source, '') as g, false as high, 0 as level, i, m, case when odd then h else changed end as x, '' as p from placed
+          union all
+          select c.id, c.g, c.high or c.m = 1, case when c.m = 1 then 0 else c.level + 1 end, case when c.m = 1 then s.i else c.i // 3 end,
+                 case when c.m = 1 then s.m else (c.m + 2) // 3 end,
+                 case when c.m = 1 then c.x else sha256(array_to_string(list_concat(r.hs[1:c.i % 3], [c.x], r.hs[c.i % 3 + 2:]), '')) end,
+                 case when c.m = 1 then c.p else c.p || array_to_string(list_concat(r.hs[1:c.i % 3], r.hs[c.i % 3 + 2:]), '') end
+          from climb c join sub s on s.g = c.g
+          left join run r on r.level = c.level and r.up = c.i // 3 and r.g is not distinct from (case when c.high then null else c.g end) and c.m > 1
+          where c.m > 1 or not c.high),
+root as (select h from upper where m = 1)
+select doc_id, placed.h as leaf, sub.h as subroot, root.h as root, sha256(p) as proof_sha256, x as folded_root, x = root.h as verified
+from placed join climb using (id) join sub on sub.g = coalesce('=' || source, '') cross join root where climb.high and climb.m = 1""",
 }
