@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewops.llm import scan, store
@@ -104,28 +105,33 @@ def _blobs(lang, words: pa.Array, rows: np.ndarray, counts: np.ndarray, depth: i
     order = np.argsort(route, kind="stable")
     rows, counts, route = rows[order], counts[order], route[order]
     cuts = np.flatnonzero(np.concatenate(([True], route[1:] != route[:-1], [True])))
+    packer = zstandard.ZstdCompressor(level=1)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        here, ids = np.unique(rows[a:b], return_inverse=True)
-        ends_too = here[0] == -1
-        ids = ids.reshape(b - a, -1) + (0 if ends_too else 1)  # 0 is the end
-        used = here[1:] if ends_too else here
+        here = rows[a:b].T + 1  # 0 is the end
+        used = np.zeros(len(words) + 1, dtype=bool)
+        used[here], used[0] = True, True
+        ids = (np.cumsum(used, dtype=np.int32) - 1)[here]
+        used = np.flatnonzero(used)[1:] - 1
         kind = np.uint16 if len(used) < 1 << 16 else np.uint32
         ones = counts[a:b].max() == 1
-        yield (lang, f"{above}{int(route[a])}/", b - a, int(counts[a:b].sum()), b"\n".join(words.take(pa.array(used)).to_pylist()),
-               np.ascontiguousarray(ids.astype(kind).T).tobytes(), b"" if ones else counts[a:b].astype(np.int64).tobytes())
+        # rows are in order, so the leading words' column is runs
+        yield (lang, f"{above}{int(route[a])}/", b - a, int(counts[a:b].sum()), packer.compress(b"\n".join(words.take(pa.array(used)).to_pylist())),
+               packer.compress(ids.astype(kind).tobytes()), b"" if ones else packer.compress(counts[a:b].astype(np.int64).tobytes()))
 
 
 def _gathered(blobs: list[tuple]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words, rows and counts of several blobs (suffixes, words, ids, counts), numbered alike."""
-    lists = [b[1].split(b"\n") for b in blobs]
+    unpack = zstandard.ZstdDecompressor().decompress
+    lists = [unpack(b[1]).split(b"\n") for b in blobs]
     coded = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
     numbers, at, rows, counts = coded.indices.to_numpy(), 0, [], []
     for (n, _, ids, several), ws in zip(blobs, lists):
         local = np.append(np.int32(-1), numbers[at:at + len(ws)]).astype(np.int32)
         at += len(ws)
+        ids = unpack(ids)
         kind = np.uint16 if len(ids) == 2 * LONGEST * n else np.uint32
         rows.append(local[np.frombuffer(ids, dtype=kind).reshape(LONGEST, n).T])
-        counts.append(np.frombuffer(several, dtype=np.int64) if several else np.ones(n, dtype=np.int64))
+        counts.append(np.frombuffer(unpack(several), dtype=np.int64) if several else np.ones(n, dtype=np.int64))
     return coded.dictionary, np.concatenate(rows), np.concatenate(counts)
 
 
@@ -256,7 +262,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     routes = min(MOST_ROUTES, max(1, size // ROUTE_BYTES))
     sent = store.kept(rows.where("text is not null").mapInArrow(_sent(routes), _SCHEMA), "phrase-suffixes")
-    totals = sent.groupBy("lang").agg(F.sum("total").alias("n"))
+    totals, routed = sent.groupBy("lang").agg(F.sum("total").alias("n")), []
     for _ in range(1, LONGEST):
         large = store.kept(sent.groupBy("lang", "route").agg(F.sum("suffixes").alias("s")).where(F.col("s") > LARGEST)
                            .select("lang", "route", F.least(F.ceil(F.col("s") / ROUTE), F.lit(MOST_ROUTES)).cast("int").alias("parts")), "phrase-routes")
@@ -264,8 +270,10 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
             break
         again = sent.join(large, ["lang", "route"]).withColumn("_turn", F.pmod(F.xxhash64("ids"), F.ceil(F.col("parts") / 16)))
         again = again.repartition("lang", "route", "_turn").sortWithinPartitions("lang", "route").drop("_turn").select(*sent.columns, "parts")
-        parted = again.mapInArrow(_rerouted, _SCHEMA)
-        sent = store.kept(sent.join(large, ["lang", "route"], "left_anti").select(*sent.columns).unionByName(parted), "phrase-suffixes")
+        routed.append(sent.join(large, ["lang", "route"], "left_anti").select(*sent.columns))
+        sent = store.kept(again.mapInArrow(_rerouted, _SCHEMA), "phrase-suffixes")
+    for rest in routed:
+        sent = sent.unionAll(rest)
     counted = sent.repartition("lang", "route").sortWithinPartitions("lang", "route").mapInArrow(
         _counted(least), "lang string, phrase string, words int, f bigint")
     whole = counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
