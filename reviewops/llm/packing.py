@@ -35,12 +35,11 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
         end = np.array([tokens.END], dtype="<u4").tobytes()
         for batch in batches:
             for part in scan.pieces(batch, batch.schema.names[1], tokens.PIECE):
-                data, ends = scan.texts(part.column(1))
-                whole = data.tobytes()
+                flat, begins = encode(part.column(1))
                 rows, starts, lengths, totals, ids = [], [], [], [], []
-                for row, found in enumerate(encode([whole[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])):
-                    found += end
-                    total = len(found) // 4
+                for row, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
+                    found = flat[a:b].tobytes() + end
+                    total = b - a + 1
                     for start in range(0, total, capacity):
                         chunk = found[4 * start:4 * (start + capacity)]
                         rows.append(row), starts.append(start), lengths.append(len(chunk) // 4), totals.append(total), ids.append(chunk)

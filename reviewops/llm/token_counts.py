@@ -44,9 +44,8 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
         encoder = tokens.encoder(tokenizer, ">u2")
         for batch in batches:
             for part in scan.pieces(batch, "text", tokens.PIECE):
-                data, ends = scan.texts(part.column(1))
-                whole = data.tobytes()
-                found = encoder.encode([whole[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
+                flat, begins = encoder.encode(part.column(1))
+                found = [flat[a:b].tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
                 yield pa.record_batch([pa.array([_number(k) + ids for k, ids in zip(part.column(0).to_pylist(), found)], pa.binary())], names=["value"])
 
     (docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(encode, "value binary")
