@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
     path = tokenizer or tokens.default_path()
 
     def cut(batches):
-        encode = tokens.encoder(path).encode
+        encode = tokens.encoder(path).ids
         end = np.array([tokens.END], dtype="<u4").tobytes()
         for batch in batches:
             for part in scan.pieces(batch, batch.schema.names[1], tokens.PIECE):

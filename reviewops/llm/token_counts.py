@@ -44,7 +44,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
         encoder = tokens.encoder(tokenizer, ">u2")
         for batch in batches:
             for part in scan.pieces(batch, "text", tokens.PIECE):
-                flat, begins = encoder.encode(part.column(1))
+                flat, begins = encoder.ids(part.column(1))
                 found = [flat[a:b].tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
                 yield pa.record_batch([pa.array([_number(k) + ids for k, ids in zip(part.column(0).to_pylist(), found)], pa.binary())], names=["value"])
 

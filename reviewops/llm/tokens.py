@@ -146,7 +146,12 @@ class Encoder:
                              np.concatenate([self.kept.sizes, more_sizes]))
         return _Ids(units, flat, sizes)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of every text, without an end."""
+        flat, begins = self.ids(pa.array(texts, pa.binary()))
+        return [flat[a:b].tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, without ends, and where each text begins, with the end of the last behind."""
         data, ends = scan.texts(texts)
         words = scan.Words(data, ends)
