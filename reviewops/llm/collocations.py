@@ -42,8 +42,8 @@ GAP[[0x20, 0x09]] = True
 
 #: Text that is numbered at once, and suffixes that a route should have and may have.
 BLOCK = 1 << 23
-ROUTE = 1_500_000
-LARGEST = 3_000_000
+ROUTE = 750_000
+LARGEST = 1_500_000
 #: Text bytes to a route; at first no more than MOST_ROUTES are made, the rest by routing again.
 ROUTE_BYTES = 1 << 23
 MOST_ROUTES = 4096
@@ -62,7 +62,7 @@ def _numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     np.cumsum(words.stops - words.starts, out=spans[1:])
     coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(spans), pa.py_buffer(np.ascontiguousarray(data[~GAP[data]]))]).dictionary_encode()
     ids = coded.indices.to_numpy()
-    stops = np.cumsum(STOP[data])[words.starts]
+    stops = np.searchsorted(np.flatnonzero(STOP[data]), words.starts)
     piece = np.zeros(n, dtype=np.int64)
     np.cumsum((np.diff(stops) != 0) | (np.diff(words.text) != 0), out=piece[1:])
     rows = np.full((n, LONGEST), -1, dtype=np.int32)
@@ -187,29 +187,28 @@ def quicksorted(rows: np.ndarray, counts: np.ndarray, least: int, routed: int =
     """
     width = rows.shape[1]
     flat = np.ascontiguousarray(rows).ravel()
-    pointers = np.arange(len(rows))
+    pointers = np.arange(len(rows), dtype=np.int32)
     starts, sizes, depth = np.array([0]), np.array([len(rows)]), np.array([0])
     found: list[tuple] = []
     turn = 0
     while len(pointers):
         turn += 1
-        of = np.repeat(np.arange(len(starts)), sizes)
-        keys = flat[pointers * width + depth[of]]
+        of = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
+        keys = flat[pointers * np.int64(width) + depth[of]]
         # any pointer of a segment may be the pivot; where it stands is drawn anew each turn
         drawn = scan.mix(starts.astype(np.uint64) + np.uint64(turn << 32)) % sizes.astype(np.uint64)
         pivots = keys[starts + drawn.astype(np.int64)]
         against = pivots[of]
         part = (keys > against).astype(np.int8) + (keys >= against)  # 0 smaller, 1 equal, 2 greater
-        base = starts[of]
-        place = np.empty(len(pointers), dtype=np.int64)
+        place = np.empty(len(pointers), dtype=np.int32)
         children = np.zeros((len(starts), 3), dtype=np.int64)
         for p in range(3):
             mine = part == p
-            running = np.cumsum(mine)
+            running = np.cumsum(mine, dtype=np.int32)
             before = np.where(starts > 0, running[starts - 1], 0)
             children[:, p] = running[starts + sizes - 1] - before
             at = np.flatnonzero(mine)
-            place[at] = base[at] + children[of[at], :p].sum(axis=1) + running[at] - 1 - before[of[at]]
+            place[at] = (starts + children[:, :p].sum(axis=1) - 1 - before)[of[at]] + running[at]
         moved = np.empty_like(pointers)
         moved[place] = pointers
         child_sizes = children.ravel()
