@@ -168,6 +168,10 @@ add("issue_samples", TAGS, """SELECT Hotel_Name, topic, review_id, rating, subst
 # --- topics -----------------------------------------------------------------
 add("topic_tags", TAGS, f"""SELECT review_id, {joined_topics()} AS topics, {', '.join(f'bool_or(has_{t}) AS has_{t}' for t in V.TOPICS)}
   FROM lng GROUP BY review_id""")
+add("dictionary_topics", DOC_TAGS, "SELECT review_id, coalesce(string_agg(topic, ' | ' ORDER BY topic) FILTER (WHERE flag), '') AS topics FROM lng GROUP BY review_id")
+add("dictionary_matches", r"""items AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
+runs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 2], ' ') AS keyword FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM items))""",
+    "SELECT doc_id AS review_id, item_id, count(*) AS runs FROM documents JOIN runs ON contains(lower(text), keyword) GROUP BY ALL")
 add("document_topics", DOC_TAGS, f"SELECT review_id, {joined_topics()} AS topics FROM lng GROUP BY review_id")
 add("document_topics_whole_words", DOCS, "SELECT review_id, array_to_string([t FOR t IN [" + ", ".join(
     f"CASE WHEN {whole_hits('review_text', w)} THEN {q(t)} END" for t, w in V.TOPIC_KEYWORDS.items()) +
@@ -596,10 +600,10 @@ add("document_label_accuracy", _LABELLED, f"SELECT {r('avg((y = p)::INT)', 4)} A
 ORACLES["document_label_report"] = ORACLES["classification_report"].replace(JUDGED, _LABELLED)
 
 #: The same questions over documents that orders date and score.
-TEXTS = f"""texts AS (SELECT doc_id AS review_id, n_name AS Hotel_Name, CAST(o_orderdate AS DATE) AS date,
+TEXTS = f"""texts AS (SELECT doc_id AS review_id, coalesce(n_name, source) AS Hotel_Name, CAST(o_orderdate AS DATE) AS date,
   CAST(40 + (o_orderkey*37) % 61 - 5*((o_orderkey*7 + o_custkey) % 4) AS DOUBLE) / 10 AS Reviewer_Score, text AS review_text
-  FROM documents JOIN orders ON doc_id = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-clean AS MATERIALIZED (SELECT *, least(5e0, greatest(1e0, Reviewer_Score / 2)) AS rating FROM (SELECT DISTINCT * FROM texts)
+  FROM documents LEFT JOIN (orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) ON doc_id = o_orderkey),
+clean AS MATERIALIZED (SELECT *, CASE WHEN Reviewer_Score IS NOT NULL THEN least(5e0, greatest(1e0, Reviewer_Score / 2)) END AS rating FROM (SELECT DISTINCT * FROM texts)
   WHERE regexp_replace(review_text, '^{SP}+|{SP}+$', '', 'g') <> '')"""
 for _name in OVER_TEXTS:
     assert CLEAN in ORACLES[_name], _name

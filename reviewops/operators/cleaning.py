@@ -45,13 +45,33 @@ def drop_empty(df: DataFrame) -> DataFrame:
     return df.filter(~text.is_blank(F.col("review_text")))
 
 
-def clean_reviews(df: DataFrame) -> DataFrame:
-    """Deduplicate, combine the review fields, drop empty reviews, parse dates, add length, words and rating.
+#: Bits that mark hashes of rows that may have a copy: a table of at most BITS / 64 words of 16 bytes, sent to every task.
+BITS = 1 << 25
+
+
+def distinct_rows(df: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows without exact copies; nulls are equal, as in ``dropDuplicates``.
 
-    Exact copies collapse inside each map task before the shuffle, so a large set of
-    copies travels as one row per task.
+    Texts stay where they are. Hashes of rows are counted first, eight bytes each, and those
+    that occur again are marked in a bit table of fixed size. A row whose bit isn't set has no copy
+    and stays in place. The others meet and are compared whole: copies collapse inside each
+    map task, and rows that only share a bit are told apart there. The more copies
+    there are, the fuller the table and the more rows meet, up to all of them; the answer is the same.
     """
-    return (df.dropDuplicates()
+    names = [F.col(f"`{c}`") for c in df.columns]
+    hashed = df.withColumn("_hash", F.xxhash64(*names)) if names else df.withColumn("_hash", F.lit(0).cast("bigint"))
+    place = F.pmod(F.col("_hash"), F.lit(bits))
+    again = hashed.select("_hash").groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    marks = again.groupBy(F.shiftright(place, 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))).alias("_mask"))
+    marked = hashed.withColumns({"_word": F.shiftright(place, 6), "_bit": (place % 64).cast("int")}).join(F.broadcast(marks), "_word", "left")
+    seen = F.coalesce(F.getbit("_mask", F.col("_bit")) == 1, F.lit(False))
+    alone, several = marked.where(~seen).select(*names), marked.where(seen).select(*names)
+    return alone.unionAll(several.dropDuplicates())
+
+
+def clean_reviews(df: DataFrame) -> DataFrame:
+    """Deduplicate, combine the review fields, drop empty reviews, parse dates, add length, words and rating."""
+    return (df.transform(distinct_rows)
             .transform(with_review_id)
             .transform(with_review_text)
             .transform(drop_empty)

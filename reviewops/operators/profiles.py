@@ -16,6 +16,7 @@ from reviewops.functions import dates, lexicon, numbers, text
 from reviewops.functions.numbers import exact_mean, half_even, percent, share
 from reviewops.operators.groups import rows_of_top
 from reviewops.operators.topics import flag, unpivot_topics
+from reviewops.session import kept
 
 LABELS = ["positive", "neutral", "negative"]
 
@@ -145,33 +146,66 @@ def column_profile(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*cells)))
 
 
-def describe(df: DataFrame, columns: Mapping[str, int]) -> DataFrame:
+#: Distinct values of one part of a column in ``order_statistics``.
+VALUES_A_PART = 500_000
+
+
+def order_statistics(counted: DataFrame, ranks: DataFrame, values_a_part: int = VALUES_A_PART) -> DataFrame:
+    """Rows (column, rank, found): the value at each rank, counted from 0, among the sorted values of its column.
+
+    ``counted``: distinct rows (column, value, n); ``ranks``: a few rows (column, rank). Values are dealt to parts by ranges and
+    the parts counted; running totals tell which part holds a rank, and only there values are
+    added up one by one. No task sees more values than one part has, and the longest running total
+    is as long as there are parts.
+    """
+    parts = max(1, -(-counted.count() // values_a_part))
+    dealt = kept(counted.select("column", "value", "n").repartitionByRange(parts, "column", "value").withColumn("_part", F.spark_partition_id()), "quantile-parts")
+    by_column = Window.partitionBy("column")
+    totals = dealt.groupBy("column", "_part").agg(F.sum("n").alias("_in"))
+    totals = totals.withColumn("_before", F.sum("_in").over(by_column.orderBy("_part")) - F.col("_in"))
+    where = totals.join(ranks, "column").where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_in")))
+    # one row a rank asked for; the parts it names are all that is read again
+    near = dealt.join(F.broadcast(where.select("column", "_part", "rank", "_before")), ["column", "_part"])
+    upto = F.col("_before") + F.sum("n").over(Window.partitionBy("column", "rank").orderBy("value"))
+    return near.withColumn("_upto", upto).where(F.col("_upto") > F.col("rank")).groupBy("column", "rank").agg(F.min("value").alias("found"))
+
+
+def describe(df: DataFrame, columns: Mapping[str, int], values_a_part: int = VALUES_A_PART) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum of numeric columns.
 
     ``columns`` maps each column to the digits kept. Quartiles interpolate linearly
-    and are exact: values are first reduced to (value, count). The distinct values of a column meet in
-    one task, so give columns of few: ratings, counts, scores of four digits.
+    and are exact: values are first reduced to (value, count), which are stored, and the six values
+    that the quartiles lie between are found by ``order_statistics``. Any number of distinct values will do.
     """
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(d).alias("digits"), F.col(c).cast("double").alias("value"))
                         for c, d in columns.items()])
-    counted = (df.select(F.inline(entries)).filter(F.col("value").isNotNull())
-               .groupBy("column", "digits", "value").agg(F.count(F.lit(1)).alias("n")))
+    counted = kept(df.select(F.inline(entries)).filter(F.col("value").isNotNull())
+                   .groupBy("column", "digits", "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
     total = F.sum("n")
-    means = counted.groupBy("column").agg((F.sum(F.col("value") * F.col("n")) / total).alias("mean"))
+    means = counted.groupBy("column").agg((F.sum(F.col("value") * F.col("n")) / total).alias("mean"), (total - 1).alias("last"))
     # One row a column asked for. Distances are taken from the mean, so that large values don't cancel.
     centred = counted.join(F.broadcast(means), "column")
     spread = F.sqrt(F.try_divide(F.sum(F.pow(F.col("value") - F.col("mean"), 2) * F.col("n")), total - 1))
+    quartiles = [0.25, 0.5, 0.75]
+    places = F.transform(F.array(*(F.lit(q) for q in quartiles)), lambda q: q * F.col("last"))
+    ranks = means.select("column", F.explode(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(F.floor(p), F.ceil(p)))))).alias("rank"))
+    found = order_statistics(counted, ranks, values_a_part).groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("rank", "found"))).alias("at"))
+
+    def quartile(q: float) -> Column:
+        place = F.col("last") * q
+        low, high = F.element_at("at", F.floor(place)), F.element_at("at", F.ceil(place))
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
     stats = centred.groupBy("column", "digits").agg(
-        total.alias("count"), F.first("mean").alias("mean"), spread.alias("std"), F.min("value").alias("min"),
-        F.percentile("value", [0.25, 0.5, 0.75], F.col("n")).alias("q"), F.max("value").alias("max"))
+        total.alias("count"), F.first("mean").alias("mean"), F.first("last").alias("last"), spread.alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     scale = F.pow(F.lit(10.0), F.col("digits"))
 
-    def kept(c: Column, name: str) -> Column:
+    def rounded(c: Column, name: str) -> Column:
         return (F.rint(c * scale) / scale + 0.0).alias(name)
 
-    return stats.select("column", "count", kept(F.col("mean"), "mean"), kept(F.col("std"), "std"), kept(F.col("min"), "min"),
-                        kept(F.col("q")[0], "p25"), kept(F.col("q")[1], "p50"), kept(F.col("q")[2], "p75"),
-                        kept(F.col("max"), "max"))
+    return stats.join(F.broadcast(found), "column").select(
+        "column", "count", rounded(F.col("mean"), "mean"), rounded(F.col("std"), "std"), rounded(F.col("min"), "min"),
+        *(rounded(quartile(q), f"p{int(q * 100)}") for q in quartiles), rounded(F.col("max"), "max"))
 
 
 def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:

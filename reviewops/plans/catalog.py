@@ -11,9 +11,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from reviewops.fixed_values import TOPICS
+from reviewops.fixed_values import TOPIC_KEYWORDS, TOPICS
 from reviewops.functions import dates, lexicon, numbers, text
-from reviewops.operators import (causes, cleaning, features, filters, impact, metrics, models, planning, profiles,
+from reviewops.operators import (causes, cleaning, features, filters, impact, keywords, metrics, models, planning, profiles,
                                  sentiment, textstats, topics)
 from reviewops.plans import evaluation, reports
 from reviewops.session import kept, new_path
@@ -135,7 +135,7 @@ def dataset_check(spark, sf):
 
 @query
 def deduplicated(spark, sf):
-    return raw(spark, sf).dropDuplicates()
+    return cleaning.distinct_rows(raw(spark, sf))
 
 
 @query
@@ -145,7 +145,7 @@ def clean_reviews(spark, sf):
 
 @query
 def placeholder_flags(spark, sf):
-    return raw(spark, sf).dropDuplicates().select(
+    return cleaning.distinct_rows(raw(spark, sf)).select(
         "review_id", text.is_placeholder(F.col("Negative_Review")).alias("no_negative"),
         text.is_placeholder(F.col("Positive_Review")).alias("no_positive"))
 
@@ -262,6 +262,24 @@ def document_topics_whole_words(spark, sf):
     return topics.add_topics(documents(spark, sf), word_boundary=True).select("review_id", "topics")
 
 
+@query
+def dictionary_topics(spark, sf):
+    """The topics of ``document_topics``, by a keyword table instead of fixed lists."""
+    table = keywords.keyword_table(TOPIC_KEYWORDS, spark)
+    return keywords.dictionary_topics(documents(spark, sf), table)
+
+
+@query
+def dictionary_matches(spark, sf):
+    """Documents that quote a benchmark text: of each item, how many of its runs of three words they hold."""
+    words = F.filter(F.split(F.lower("text"), r"[\s]+"), lambda w: w != "")
+    three = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))
+    items = tables.table(spark, sf, "benchmark").select("item_id", words.alias("w")).where(F.size("w") > 2)
+    table = items.select("item_id", F.explode(F.array_distinct(three)).alias("keyword"))
+    found = keywords.keyword_matches(documents(spark, sf), table)
+    return found.groupBy("review_id", "item_id").agg(F.count(F.lit(1)).alias("runs"))
+
+
 @query
 def topic_stats(spark, sf):
     return topics.topic_stats(tagged(spark, sf)).drop("topic_order")

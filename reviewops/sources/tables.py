@@ -34,6 +34,7 @@ SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "labels": "doc_id bigint, quality int, toxic int",
     "supplier": "s_suppkey bigint, s_nationkey int",
+    "benchmark": "item_id bigint, text string",
     "documents": "doc_id bigint, text string, source string",
 }
 
@@ -73,14 +74,15 @@ def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as dated and scored reviews: document i is what the guest of order i wrote.
 
-    Hotel, date and score come from the order as in ``order_reviews``; documents without an order are left out.
+    Hotel, date and score come from the order as in ``order_reviews``. A document without an order is a review
+    of its source, without date and score.
     """
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").join(
         table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
     score = (40 + (F.col("o_orderkey") * 37) % 61 - 5 * ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 4)).cast("double") / 10.0
     ordered = orders.select(F.col("o_orderkey").alias("doc_id"), "n_name", "o_orderdate", score.alias("Reviewer_Score"))
-    return table(spark, sf_dir, "documents").join(ordered, "doc_id").select(
-        F.col("doc_id").alias("review_id"), F.col("n_name").alias("Hotel_Name"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Review_Date"),
+    return table(spark, sf_dir, "documents").join(ordered, "doc_id", "left").select(
+        F.col("doc_id").alias("review_id"), F.coalesce("n_name", "source").alias("Hotel_Name"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Review_Date"),
         "Reviewer_Score", F.col("text").alias("review_text"))
 
 
