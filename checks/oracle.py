@@ -581,12 +581,10 @@ jt AS (SELECT * FROM jud WHERE review_id IN (SELECT review_id FROM held)), tt AS
 
 
 _MODEL = TAGS + ", rated AS (SELECT * FROM clean WHERE rating IS NOT NULL), drawn AS (" + _split("rated", "round_even(rating, 0)::BIGINT") + ")"
-for _name in ("forest_report", "boosted_report"):
-    add(_name, _MODEL, """SELECT topic, count(*) FILTER (WHERE is_test AND flag) AS support, count(*) FILTER (WHERE is_test) AS scored,
-  coalesce(bool_or(flag) FILTER (WHERE NOT is_test), false) AND NOT coalesce(bool_and(flag) FILTER (WHERE NOT is_test), true) AS trained,
-  true AS probable, true AS fits_training, true AS fits_test FROM lng JOIN drawn USING (review_id) GROUP BY topic""")
-add("boosted_feature_importance", TAGS, """SELECT topic, true AS has_terms, true AS known, true AS ranked FROM lng GROUP BY topic HAVING bool_or(flag) AND NOT bool_and(flag)""")
-add("model_labels", TAGS, f"SELECT review_id, {joined_topics()} AS topics, true AS known_labels, true AS probable, true AS holds_keywords FROM lng GROUP BY review_id")
+add("stored_model", _MODEL, """SELECT topic, coalesce(bool_or(flag) FILTER (WHERE NOT is_test), false) AND NOT coalesce(bool_and(flag) FILTER (WHERE NOT is_test), true) AS trained,
+  count(*) FILTER (WHERE is_test) AS scored, 0::BIGINT AS changed FROM lng JOIN drawn USING (review_id) GROUP BY topic""")
+add("separable_topic", _MODEL, """SELECT review_id, CASE WHEN flag THEN topic ELSE 'none' END AS predicted_topics, flag::INT::DOUBLE AS p_wifi, flag::INT::DOUBLE AS confidence
+  FROM lng JOIN drawn USING (review_id) WHERE is_test AND topic = 'wifi'""")
 
 for _name in ("uploaded_csv", "uploaded_json", "uploaded_parquet"):
     ORACLES[_name] = ORACLES["loaded_reviews"]

@@ -1,19 +1,27 @@
-"""Topic models: one classifier per topic on shared term features."""
+"""Topic models: one classifier per topic on shared term features.
+
+Words, their frequencies and the topics that can be trained are taken from all rows. Only the
+classifiers, whose trees grow on one copy of their rows, are fitted on a bounded number of labelled rows: a bound for each topic
+and each of its two classes, so that a topic of twenty examples among a million rows keeps all twenty.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, RandomForestClassificationModel,
                                        RandomForestClassifier)
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewops.fixed_values import TOPICS
@@ -24,7 +32,7 @@ from reviewops.session import kept
 
 _LOADERS = {"forest": RandomForestClassificationModel, "boosted": GBTClassificationModel}
 
-#: The documented bound on the labelled reviews that a model is fitted on; counts and predictions cover all.
+#: The documented bound on the labelled reviews that one topic's trees grow on, half of it for each class.
 MAX_TRAINING_ROWS = 50_000
 
 
@@ -44,19 +52,24 @@ def word_pipeline(column: str = "review_text", max_terms: int = 10_000, min_df:
 def weighted(df: DataFrame, words: PipelineModel) -> DataFrame:
     """Add ``features``: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), brought to length 1.
 
-    The built-in weighting has neither the logarithm of tf nor the smoothing, so a small function does
-    both on each vector's few entries.
+    The built-in weighting has neither the logarithm of tf nor the smoothing; both are done here for
+    a batch of vectors at once, on the list of all their entries.
     """
     model = words.stages[5]
     idf = np.log((1.0 + model.numDocs) / (1.0 + np.asarray(model.docFreq))) + 1.0
 
-    @F.udf(VectorUDT())
-    def weigh(counts):
-        values = (1.0 + np.log(counts.values)) * idf[counts.indices]
-        length = np.sqrt((values ** 2).sum())
-        return Vectors.sparse(counts.size, counts.indices, values / length if length else values)
+    @F.arrow_udf(VectorUDT())
+    def weigh(size: pa.Array, indices: pa.Array, values: pa.Array) -> pa.Array:
+        raw = (1.0 + np.log(values.flatten().to_numpy())) * idf[indices.flatten().to_numpy()]
+        lengths = np.concatenate(([0], np.cumsum(indices.value_lengths().to_numpy()))).astype(np.int32)
+        sparse = [pa.array(np.zeros(len(size), dtype=np.int8)), size, pa.ListArray.from_arrays(pa.array(lengths), indices.flatten()),
+                  pa.ListArray.from_arrays(pa.array(lengths), pa.array(raw))]
+        return pa.StructArray.from_arrays(sparse, names=["type", "size", "indices", "values"])
 
-    return words.transform(df).withColumn("features", weigh("_counts")).drop("_plain", "_words", "_pairs", "_terms", "_counts", "_weights")
+    entries = words.transform(df).withColumn("_entries", F.unwrap_udt("_counts"))
+    raw = entries.withColumn("_raw", weigh("_entries.size", "_entries.indices", "_entries.values"))
+    scaled = Normalizer(inputCol="_raw", outputCol="features").transform(raw)
+    return scaled.drop("_plain", "_words", "_pairs", "_terms", "_counts", "_weights", "_entries", "_raw")
 
 
 @dataclass
@@ -66,7 +79,7 @@ class TopicModel:
     kind: str
     features: PipelineModel
     classifiers: dict[str, object] = field(default_factory=dict)
-    training: dict[str, float] = field(default_factory=dict)  # accuracy of each topic on the rows it was fitted on
+    training: dict[str, float] = field(default_factory=dict)  # accuracy of each topic on all rows, estimated from those it was fitted on
 
     @property
     def vocabulary(self) -> list[str]:
@@ -99,48 +112,80 @@ class TopicModel:
                                      "topic string, rank int, term string, importance double")
 
     def save(self, path: str) -> None:
-        self.features.write().overwrite().save(f"{path}/features")
-        for topic, model in self.classifiers.items():
-            model.write().overwrite().save(f"{path}/{self.kind}/{topic}")
+        """Store the model below ``path``. Each version has a folder of its own, and the line that names it is added last:
+        a reader finds the last complete version, whatever becomes of a later one."""
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(self.kind, t) for t in self.classifiers], "kind string, topic string").coalesce(1).write.mode(
-            "overwrite").json(f"{path}/topics")
+        version = uuid.uuid4().hex
+        self.features.write().save(f"{path}/{version}/features")
+        for topic, model in self.classifiers.items():
+            model.write().save(f"{path}/{version}/{topic}")
+        earlier = _versions(spark, path)
+        row = (len(earlier) + 1, version, self.kind, list(self.classifiers), json.dumps(self.training))
+        spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TopicModel:
-        saved = [(r.kind, r.topic) for r in spark.read.schema("kind string, topic string").json(f"{path}/topics").collect()]
-        kind = saved[0][0]
-        topics = [t for t in TOPICS if (kind, t) in saved]
-        return cls(kind, PipelineModel.load(f"{path}/features"), {t: _LOADERS[kind].load(f"{path}/{kind}/{t}") for t in topics})
+        """The last version stored; it may have no trained topic."""
+        versions = _versions(spark, path)
+        if not versions:
+            raise FileNotFoundError(f"no model is stored in {path}")
+        last = max(versions, key=lambda r: (r.number, r.version))
+        folder = f"{path}/{last.version}"
+        return cls(last.kind, PipelineModel.load(f"{folder}/features"), {t: _LOADERS[last.kind].load(f"{folder}/{t}") for t in last.topics},
+                   json.loads(last.training))
+
+
+_MANIFEST = "number int, version string, kind string, topics array<string>, training string"
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    """The lines of a model store, one for each version saved."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
+        return []
+    return spark.read.schema(_MANIFEST).json(f"{path}/manifest").collect()
+
+
+def training_shares(counts, topics: Sequence[str], max_rows: int) -> dict[str, tuple[float, float]]:
+    """For each topic that has both examples and others: the share of each (examples, others) that a bound of ``max_rows`` lets in."""
+    half, n = max_rows / 2, counts["n"]
+    return {t: (min(1.0, half / counts[t]), min(1.0, half / (n - counts[t]))) for t in topics if 0 < counts[t] < n}
 
 
 def _train(df: DataFrame, kind: str, classifier, topics: Sequence[str], max_terms: int, min_df: float, max_rows: int) -> TopicModel:
     # Fitting reads the texts several times: they are cleaned and tagged once, and written.
-    draw = F.xxhash64("review_id" if "review_id" in df.columns else "review_text", F.lit(7)).alias("_draw")
-    texts = kept(df.select("review_text", *[flag(t) for t in topics], draw), "training-texts")
+    draw = F.pmod(F.xxhash64("review_id" if "review_id" in df.columns else "review_text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    texts = kept(df.select("review_text", *[flag(t) for t in topics], draw.alias("_draw")), "training-texts")
     counts = texts.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(flag(t)).alias(t) for t in topics]).first()
-    if counts["n"] > max_rows:
-        texts = kept(texts.where(F.pmod("_draw", F.lit(1 << 30)) * F.lit(float(counts["n"])) < F.lit(float(max_rows) * (1 << 30))), "training-sample")
-        counts = texts.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(flag(t)).alias(t) for t in topics]).first()
     words = word_pipeline(max_terms=max_terms, min_df=min_df).fit(texts)
-    usable = [t for t in topics if 0 < counts[t] < counts["n"]]
+    shares = training_shares(counts, topics, max_rows)
+
+    def share(t: str) -> Column:
+        return F.when(F.col(flag(t)), shares[t][0]).otherwise(shares[t][1])
 
-    def balanced(t: str) -> Column:
+    def balance(t: str) -> Column:
+        """Half of all weight for each class, as if no row were missing."""
         return F.when(F.col(flag(t)), counts["n"] / (2.0 * counts[t])).otherwise(counts["n"] / (2.0 * (counts["n"] - counts[t])))
 
+    drawn = F.lit(False)
+    for t in shares:
+        drawn = drawn | (F.col("_draw") < share(t))
     # All classifiers read the same vectors, so these are written once and the lineage ends there.
-    ready = kept(weighted(texts, words).select("features", *[flag(t) for t in usable]), "training-vectors")
-    ready = ready.repartition(max(1, min(ready.sparkSession.sparkContext.defaultParallelism, counts["n"] // 10_000))).cache()
+    ready = kept(weighted(texts.where(drawn), words).select("features", "_draw", *[flag(t) for t in shares]), "training-vectors")
+    most = min(counts["n"], len(shares) * max_rows)
+    ready = ready.repartition(max(1, min(ready.sparkSession.sparkContext.defaultParallelism, most // 10_000))).cache()
 
     def fit(t: str) -> tuple[object, float]:
-        rows = ready.select("features", F.col(flag(t)).cast("double").alias("label"), balanced(t).alias("weight"))
+        weight = (balance(t) if kind == "forest" else F.lit(1.0)) / share(t)
+        rows = ready.where(F.col("_draw") < share(t)).select(
+            "features", F.col(flag(t)).cast("double").alias("label"), weight.alias("weight"), (1 / share(t)).alias("stands_for"))
         model = classifier.copy().fit(rows)
-        right = model.transform(rows).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-        return model, right
+        right = F.sum(F.when(F.col("prediction") == F.col("label"), F.col("stands_for")).otherwise(0.0)) / F.sum("stands_for")
+        return model, model.transform(rows).agg(right).first()[0]
 
     model = TopicModel(kind, words)
-    with ThreadPoolExecutor(max(1, len(usable))) as pool:  # one thread a topic waits for Spark's jobs
-        for t, (fitted, right) in zip(usable, pool.map(inheritable_thread_target(df.sparkSession)(fit), usable)):
+    with ThreadPoolExecutor(max(1, len(shares))) as pool:  # one thread a topic waits for Spark's jobs
+        for t, (fitted, right) in zip(shares, pool.map(inheritable_thread_target(df.sparkSession)(fit), shares)):
             model.classifiers[t], model.training[t] = fitted, right
     ready.unpersist()
     return model
@@ -150,7 +195,8 @@ def train_forest(df: DataFrame, trees: int = 200, depth: int = 30, seed: int = 4
                  min_df: float = 2, topics: Sequence[str] = TOPICS, max_rows: int = MAX_TRAINING_ROWS) -> TopicModel:
     """Random forests with balanced class weights on the topic flags of ``df``.
 
-    Trees grow to depth 30, the deepest the library allows. They are fitted on about ``max_rows`` reviews, picked by a hash of their id.
+    Trees grow to depth 30, the deepest the library allows. Those of a topic are fitted on about ``max_rows`` reviews at most, half of them
+    its examples, picked by a hash of their id and weighted by the inverse of the share picked.
     """
     return _train(df, "forest", RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight"),
                   topics, max_terms, min_df, max_rows)
@@ -158,8 +204,8 @@ def train_forest(df: DataFrame, trees: int = 200, depth: int = 30, seed: int = 4
 
 def train_boosted(df: DataFrame, rounds: int = 100, depth: int = 6, rate: float = 0.1, subsample: float = 0.8, seed: int = 42,
                   max_terms: int = 10_000, min_df: float = 2, topics: Sequence[str] = TOPICS, max_rows: int = MAX_TRAINING_ROWS) -> TopicModel:
-    """Boosted trees on the topic flags of ``df``; topics without examples are skipped. Fitted on about ``max_rows`` reviews."""
-    return _train(df, "boosted", GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed),
+    """Boosted trees on the topic flags of ``df``; topics without examples are skipped. Fitted and weighted as ``train_forest`` says, without balancing."""
+    return _train(df, "boosted", GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed, weightCol="weight"),
                   topics, max_terms, min_df, max_rows)
 
 

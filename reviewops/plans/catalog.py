@@ -7,7 +7,6 @@ themselves (``tables.document_reviews``); all queries run over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -729,20 +728,19 @@ QUERIES.update({f"text_{name}": _over_texts(name) for name in OVER_TEXTS})
 
 
 # --- trained models ---------------------------------------------------------
-# Trees are drawn at random, so the rows here hold what must be true of every good model: which
-# topics can be trained, how many rows are scored, that probabilities and labels are what they should be.
+
+def _split_rows(spark, sf):
+    return kept(features.split_train_test(tagged(spark, sf).filter(F.col("rating").isNotNull())), "model-split")
+
 
 def _model_report(spark, sf, kind):
-    rows = tagged(spark, sf).filter(F.col("rating").isNotNull())
-    split = kept(features.split_train_test(rows), "model-split")
+    """Topics of a model fitted on the training part: its accuracy there, and its quality on the test part."""
+    split = _split_rows(spark, sf)
     model = (models.train_forest if kind == "forest" else models.train_boosted)(split.filter(~F.col("is_test")))
     scored = model.with_probabilities(split.filter("is_test"))
-    cells = [F.struct(F.lit(t).alias("topic"), F.col(f"n_{t}").alias("support"), F.col("scored"), F.lit(t in model.classifiers).alias("trained"),
-                      F.col(f"ok_{t}").alias("probable"), F.lit(model.training.get(t, 1.0) >= 0.8).alias("fits_training"),
-                      (F.col(f"right_{t}") >= 0.8).alias("fits_test")) for t in TOPICS]
-    facts = [c for t in TOPICS for c in (F.count_if(topics.flag(t)).alias(f"n_{t}"), F.bool_and(F.col(f"p_{t}").between(0, 1)).alias(f"ok_{t}"),
-                                         F.avg((F.col(f"pred_{t}") == F.col(topics.flag(t))).cast("double")).alias(f"right_{t}"))]
-    return scored.agg(F.count(F.lit(1)).alias("scored"), *facts).select(F.inline(F.array(*cells)))
+    held_out = metrics.topic_report(scored, TOPICS)
+    known = spark.createDataFrame([(t, t in model.classifiers, model.training.get(t)) for t in TOPICS], "topic string, trained boolean, train_accuracy double")
+    return held_out.join(F.broadcast(known), "topic", "left").withColumn("train_accuracy", numbers.half_even(F.col("train_accuracy"), 4))
 
 
 @query
@@ -755,31 +753,46 @@ def boosted_report(spark, sf):
     return _model_report(spark, sf, "boosted")
 
 
-@lru_cache(maxsize=2)
-def _boosted(spark, sf):
-    """The boosted model of all reviews; the two queries that ask for it train it once."""
-    rows = kept(tagged(spark, sf), "model-rows")
-    return rows, models.train_boosted(rows)
-
-
 @query
 def boosted_feature_importance(spark, sf):
-    """Topics with a model; its ten leading terms are ranked and come from the vocabulary."""
-    _, model = _boosted(spark, sf)
-    terms = set(model.vocabulary)
-    ranked = {t: [(r.term, r.importance) for r in model.feature_importance(spark, t, 10).collect()] for t in model.classifiers}  # 80 rows at most
-    return spark.createDataFrame([(t, 0 < len(r) <= 10, all(w in terms for w, _ in r), [i for _, i in r] == sorted((i for _, i in r), reverse=True))
-                                  for t, r in ranked.items()], "topic string, has_terms boolean, known boolean, ranked boolean")
+    """The ten leading terms of every trained topic."""
+    model = models.train_boosted(tagged(spark, sf))
+    out = spark.createDataFrame([], "topic string, rank int, term string, importance double")
+    for t in model.classifiers:
+        out = out.unionAll(model.feature_importance(spark, t, 10))
+    return out
 
 
 @query
 def model_labels(spark, sf):
-    """Labels of the boosted model and their union with the keyword labels."""
-    rows, model = _boosted(spark, sf)
-    confidence = models.prediction_confidence()
-    found = model.with_labels(rows.select("review_id", "review_text", "topics"))
-    labels = topics.union_labels(F.col("topics"), F.col("predicted_topics"))
-    known = F.array(*(F.lit(t) for t in TOPICS))
-    either = (F.col("predicted_topics") == F.array(F.lit("none"))) | (F.size(F.array_except("predicted_topics", known)) == 0)
-    return found.select("review_id", "topics", either.alias("known_labels"), confidence.between(0, 1).alias("probable"),
-                        (F.size(F.array_except("topics", labels)) == 0).alias("holds_keywords"))
+    """Labels of the boosted model with their confidence, each topic's probability, and the union with the keyword labels."""
+    rows = tagged(spark, sf)
+    found = models.train_boosted(rows).with_labels(rows.select("review_id", "review_text", "topics"))
+    return found.select("review_id", "topics", "predicted_topics", models.prediction_confidence().alias("confidence"),
+                        topics.union_labels(F.col("topics"), F.col("predicted_topics")).alias("labels"),
+                        *[numbers.half_even(F.col(f"p_{t}"), 4).alias(f"p_{t}") for t in TOPICS])
+
+
+@query
+def separable_topic(spark, sf):
+    """One split of one tree tells complaints about the connection from all others, as they share a word: what it predicts for the test part."""
+    split = _split_rows(spark, sf)
+    model = models.train_forest(split.filter(~F.col("is_test")), trees=1, depth=1, topics=["wifi"])
+    found = model.with_labels(split.filter("is_test"))
+    return found.select("review_id", "predicted_topics", "p_wifi", models.prediction_confidence().alias("confidence"))
+
+
+@query
+def stored_model(spark, sf):
+    """What a model predicts before and after it is stored and loaded again: rows scored and rows that differ, by topic."""
+    split = _split_rows(spark, sf)
+    model = models.train_forest(split.filter(~F.col("is_test")), trees=5, depth=4)
+    path = new_path(spark, "model")
+    model.save(path)
+    again = models.TopicModel.load(spark, path)
+    rows = split.filter("is_test").select("review_id", "review_text")
+    before, after = model.with_probabilities(rows), again.with_probabilities(rows)
+    after = after.select("review_id", *[F.col(f"p_{t}").alias(f"q_{t}") for t in TOPICS])
+    both = before.join(after, "review_id")
+    cells = [F.struct(F.lit(t).alias("topic"), F.lit(t in again.classifiers).alias("trained"), F.col("scored"), F.col(f"n_{t}").alias("changed")) for t in TOPICS]
+    return both.agg(F.count(F.lit(1)).alias("scored"), *[F.count_if(F.col(f"p_{t}") != F.col(f"q_{t}")).alias(f"n_{t}") for t in TOPICS]).select(F.inline(F.array(*cells)))

@@ -142,3 +142,20 @@ def test_upload_mapping_scales_stars(spark, scores, expected):
 def test_validate_reviews(raw):
     rows = {r.column: r for r in reviews.validate_reviews(raw.drop("Positive_Review")).collect()}
     assert not rows["Positive_Review"].present and rows["Positive_Review"].missing == 3 and rows["Hotel_Name"].missing == 0
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 64, 1 << 12])
+def test_distinct_rows(spark, bits):
+    """As ``dropDuplicates``, however many rows share a bit; only rows with a marked bit are exchanged."""
+    rows = [(i % 700, None if i % 5 == 0 else f"text {i % 700}", float("nan") if i % 7 == 0 else i % 3 / 2) for i in range(1000)] + [(None, None, None)] * 3 + [(1, "a", -0.0), (1, "a", 0.0)]
+    df = spark.createDataFrame(rows, "a int, b string, c double")
+    got, want = (sorted(str(tuple(r)) for r in d.collect()) for d in (cleaning.distinct_rows(df, bits), df.dropDuplicates()))
+    assert got == want
+    assert cleaning.distinct_rows(df.limit(0), bits).count() == 0
+
+
+def test_distinct_rows_leaves_texts_in_place(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "repeat(cast(id as string), 50) as body").write.parquet(str(tmp_path / "t"))
+    plan = cleaning.distinct_rows(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().sparkPlan().toString()
+    alone = plan.split("HashAggregate(keys=[id", 1)[0]  # what comes before is the branch of rows without a copy
+    assert "Union" in plan and "BroadcastHashJoin" in alone and "hashpartitioning(body" not in plan and alone.count("SortMergeJoin") == 0

@@ -120,6 +120,65 @@ def test_model_round_trip(spark, tmp_path):
     assert model.feature_importance(spark, "wifi", 3).first().importance > 0
 
 
+def test_model_store_keeps_the_last_version(spark, tmp_path):
+    """A model without any trained topic is stored and loaded too, and a version that was never finished isn't seen."""
+    df = topics.add_topics(spark.createDataFrame([(i, t) for i, t in enumerate(["lovely quiet room", "great view and bed"] * 5)], "review_id long, review_text string"))
+    path = str(tmp_path / "m")
+    with pytest.raises(FileNotFoundError):
+        models.TopicModel.load(spark, path)
+    none = models.train_forest(df, trees=2, depth=2)
+    none.save(path)
+    assert models.TopicModel.load(spark, path).classifiers == {}
+    assert {tuple(r.predicted_topics) for r in models.TopicModel.load(spark, path).with_labels(df).collect()} == {("none",)}
+    more = topics.add_topics(spark.createDataFrame([(i, t) for i, t in enumerate(["the wifi was slow", "great view"] * 5)], "review_id long, review_text string"))
+    second = models.train_forest(more, trees=2, depth=2, topics=["wifi"])
+    second.save(path)
+    again = models.TopicModel.load(spark, path)
+    assert set(again.classifiers) == {"wifi"} and again.training == second.training == {"wifi": 1.0}
+    (tmp_path / "m" / "unfinished").mkdir()
+    assert set(models.TopicModel.load(spark, path).classifiers) == {"wifi"}
+
+
+def test_rare_topic_among_many_rows(spark):
+    """Twenty examples in a hundred thousand rows, a bound of two thousand: all twenty are used, none of the words is lost."""
+    n = 100_000
+    texts = F.when(F.col("id") % (n // 20) == 7, "the wifi was slow").when(F.col("id") % 2 == 0, "rude staff at the desk").otherwise("lovely view of a harbour")
+    df = topics.add_topics(spark.range(n).select(F.col("id").alias("review_id"), texts.alias("review_text")))
+    model = models.train_boosted(df, rounds=3, depth=2, max_rows=2000)
+    assert set(model.classifiers) == {"wifi", "staff"} and model.training["wifi"] > 0.999
+    assert {"wifi", "slow", "harbour"} <= set(model.vocabulary)
+    marked = model.with_probabilities(df.select("review_id", "review_text"))
+    assert marked.filter("pred_wifi").count() == 20 and marked.filter("pred_staff").count() == df.filter("has_staff").count()
+    shares = models.training_shares({"n": n, "wifi": 20, "staff": 50_000, "noise": 0}, ["wifi", "staff", "noise"], 2000)
+    assert shares == {"wifi": (1.0, 1000 / (n - 20)), "staff": (0.02, 0.02)}
+
+
+def test_training_vectors_by_hand(spark):
+    """(1 + ln tf) * idf, scaled to length 1, without a row-at-a-time function in the plan."""
+    df = spark.createDataFrame([(0, "red red blue"), (1, "red green"), (2, ""), (3, None)], "id int, review_text string")
+    words = models.word_pipeline(min_df=1, max_df=0.99).fit(df)
+    out = models.weighted(df, words)
+    assert "ArrowEvalPython" in out._jdf.queryExecution().toString() and "BatchEvalPython" not in out._jdf.queryExecution().toString()
+    got = {r.id: dict(zip((words.stages[4].vocabulary[i] for i in r.features.indices), r.features.values)) for r in out.collect()}
+    idf = {t: math.log(5 / (1 + d)) + 1 for t, d in {"red": 2, "blue": 1, "green": 1, "red red": 1, "red blue": 1, "red green": 1}.items()}
+    raw = {"red": (1 + math.log(2)) * idf["red"], "blue": idf["blue"], "red red": idf["red red"], "red blue": idf["red blue"]}
+    norm = math.sqrt(sum(v * v for v in raw.values()))
+    assert got[2] == got[3] == {} and got[0].keys() == raw.keys() and all(math.isclose(got[0][k], raw[k] / norm) for k in raw)
+
+
+def test_quality_of_models_on_the_test_part(spark, sf_dir):
+    """Labels are keyword rules, so trees must find them again: macro F1 over topics with examples."""
+    rows = entry.queries()["forest_report"](spark, sf_dir).collect()
+    judged = [r for r in rows if r.trained and r.support]
+    assert len(judged) == 8 and sum(r.f1 for r in judged) / len(judged) > 0.8 and min(r.train_accuracy for r in judged) > 0.9
+    labels = entry.queries()["model_labels"](spark, sf_dir).collect()
+    same = sum(r.predicted_topics == (r.topics or "none") for r in labels)
+    assert same / len(labels) > 0.9 and all(0 <= r.confidence <= 1 for r in labels)
+    terms = entry.queries()["boosted_feature_importance"](spark, sf_dir).collect()
+    first = {r.topic: r for r in terms if r["rank"] == 1}
+    assert len(first) == 8 and all(r.importance > 0.05 for r in first.values()) and "wifi" in {r.term for r in terms if r.topic == "wifi"}
+
+
 def test_checkpoint_goes_to_a_folder(spark):
     assert kept(spark.range(5), "test").count() == 5
 

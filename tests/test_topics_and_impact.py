@@ -1,11 +1,12 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from reviewops.fixed_values import TOPIC_KEYWORDS, TOPICS
 from reviewops.functions import numbers, text
-from reviewops.operators import groups, impact, profiles, topics
+from reviewops.operators import groups, impact, keywords, profiles, topics
 
 
 def topics_of(spark, *texts):
@@ -142,3 +143,48 @@ def test_profiles(spark):
 def test_health_bands(spark):
     df = spark.createDataFrame([(4.0,), (3.0,), (2.99,), (5.0,)], "r double").select(numbers.health_score(F.col("r")).alias("h"))
     assert [(r.h, r.b) for r in df.withColumn("b", numbers.health_band(F.col("h"))).collect()] == [(80, "good"), (60, "fair"), (59, "poor"), (100, "good")]
+
+
+def test_order_statistics_of_ten_million_values(spark):
+    """Distinct doubles: each part holds a fraction of them, and the values are exact."""
+    n = 10_000_000
+    counted = spark.range(n).select(F.lit("x").alias("column"), (F.col("id") * 7919 % n / 3).cast("double").alias("value"), F.lit(1).cast("bigint").alias("n"))
+    ranks = [0, 1, n // 4, n // 2, n - 2, n - 1]
+    got = profiles.order_statistics(counted, spark.createDataFrame([("x", r) for r in ranks], "column string, rank bigint")).collect()
+    assert {r["rank"]: r.found for r in got} == {r: r / 3 for r in ranks}
+
+
+def test_describe_over_many_parts(spark):
+    values = [None, 2.5, 2.5, 2.5, -1.0, 0.0, 1e300, 7.25, 3.0, 1e-9]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, w int")
+    got = {r["column"]: r for r in profiles.describe(df, {"v": 3, "w": 2}, values_a_part=2).collect()}
+    assert [got["v"][c] for c in ("count", "min", "p25", "p50", "p75", "max")] == [9, -1.0, 0.0, 2.5, 3.0, 1e300]
+    assert [got["w"][c] for c in ("count", "mean", "p25", "p50", "p75")] == [10, 4.5, 2.25, 4.5, 6.75]
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_keyword_tables(spark, whole):
+    """Against a search of every text for every keyword: short and long ones, signs, capitals, overlaps at the end of a slice."""
+    texts = ["The WIFI is slow, c++ too", None, "", "a", "ab", "éclair Éclair", "x" * (1 << 16) + "needle in hay", "y" * ((1 << 16) - 3) + "needle", "wifi" * 3, "no match at all", "a.b (c) [d]"] + ["common words here"] * 30
+    words = ["wifi", "slow", "a", "ab", "ÉCLAIR", "needle", "needle in hay", "common words", "c++", "(c) [d]", "", None, "absent keyword", "words here", "is", "i"]
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id bigint, review_text string").withColumn("run", F.lit(1))
+    table = spark.createDataFrame([(w, f"t{i % 4}") for i, w in enumerate(words)] + [("wifi", "t9")], "keyword string, topic string")
+    got = sorted((r.review_id, r.keyword, r.topic) for r in keywords.keyword_matches(df, table, word_boundary=whole).collect())
+
+    def holds(text, word):
+        return re.search(rf"\b{re.escape(word.lower())}\b", text.lower()) if whole else word.lower() in text.lower()
+
+    want = sorted((i, w, t) for i, x in enumerate(texts) if x for w, t in [tuple(r) for r in table.collect()] if w and holds(x, w))
+    assert got == want and len(want) > 40
+    plan = keywords.keyword_matches(df, table)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_dictionary_topics_equal_fixed_lists(spark):
+    texts = ["The wifi was slow", "Rude staff and dirty room", "lovely", None, "WiFi, noise; price"]
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id bigint, review_text string")
+    fixed = {r.review_id: sorted(r.topics) for r in topics.add_topics(df).collect()}
+    table = keywords.keyword_table(TOPIC_KEYWORDS, spark)
+    assert {r.review_id: r.topics for r in keywords.dictionary_topics(df, table).collect()} == fixed
+    none = keywords.dictionary_topics(df, table.limit(0))
+    assert {tuple(r.topics) for r in none.collect()} == {()}
