@@ -589,6 +589,7 @@ add("separable_topic", _MODEL, """SELECT review_id, CASE WHEN flag THEN topic EL
 for _name in ("uploaded_csv", "uploaded_json", "uploaded_parquet"):
     ORACLES[_name] = ORACLES["loaded_reviews"]
 ORACLES["written_report"] = ORACLES["topic_stats"]
+ORACLES["stored_evaluation"] = ORACLES["evaluation_report"]
 add("split_overlap", _MODEL, "SELECT count(*) AS shared FROM drawn a JOIN drawn b USING (review_id) WHERE a.is_test AND NOT b.is_test")
 
 _LABELLED = DOCS + ",\n" + sentiment_ctes("docs") + """,

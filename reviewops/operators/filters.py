@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewops.functions import dates, text
 from reviewops.operators.groups import first_n
+from reviewops.operators.topics import add_topics
+from reviewops.session import kept
 
 
 def for_hotel(df: DataFrame, name: str) -> DataFrame:
@@ -17,16 +19,33 @@ def for_hotel(df: DataFrame, name: str) -> DataFrame:
     return df.filter(text.strip(F.col("Hotel_Name")) == name.strip())
 
 
+#: Groups whose bounds are sent to every task; more of them are met by group and day.
+MOST_GROUPS = 200_000
+
+
+def _within(df: DataFrame, bounds: DataFrame, by: Sequence[str], date: str, stays: Column) -> DataFrame:
+    """Rows for which ``stays`` holds of their date and the bounds of their group.
+
+    Bounds are one row a group; they are stored and counted. Few are broadcast, and rows stay where they
+    are. Of more, it is worked out by (group, day) which days stay, and rows are matched by group
+    and day: a group with a third of all rows is spread over its days.
+    """
+    bounds = kept(bounds, "group-bounds")
+    if bounds.count() <= MOST_GROUPS:
+        return df.join(F.broadcast(bounds), list(by)).filter(stays).select(*df.columns)
+    day = F.coalesce(F.col(date), F.lit("0001-01-01").cast("date")).alias("_day")
+    days = df.select(*by, date).distinct().join(bounds, list(by)).filter(stays).select(*by, day)
+    return df.withColumn("_day", day).join(days, [*by, "_day"], "left_semi").select(*df.columns)
+
+
 def filter_recent(df: DataFrame, date: str = "date", months: int = 12, by: Sequence[str] = ("Hotel_Name",)) -> DataFrame:
     """Rows within ``months`` calendar months of the group's latest date, inclusive.
 
-    A group without any date is kept whole. The latest dates are one row per group;
-    Spark broadcasts them when they are small enough and otherwise splits hot groups
-    of the join by its skew handling.
+    A group without any date is kept whole.
     """
     latest = df.groupBy(*by).agg(F.max(date).alias("_latest"))
     recent = F.col("_latest").isNull() | (F.col(date) >= dates.months_before(F.col("_latest"), months))
-    return df.join(latest, list(by)).filter(recent).drop("_latest")
+    return _within(df, latest, by, date, recent)
 
 
 def date_between(df: DataFrame, first=None, last=None, date: str = "date", default_days: int = 365,
@@ -40,7 +59,7 @@ def date_between(df: DataFrame, first=None, last=None, date: str = "date", defau
     span = df.groupBy(*by).agg(F.min(date).alias("_min"), F.max(date).alias("_max"))
     start = F.greatest(F.col("_min"), F.date_sub("_max", default_days)) if first is None else F.lit(first).cast("date")
     end = F.col("_max") if last is None else F.lit(last).cast("date")
-    return df.join(span, list(by)).filter(F.col(date).between(start, end)).drop("_min", "_max")
+    return _within(df, span, by, date, F.col(date).between(start, end))
 
 
 def rating_between(df: DataFrame, low: float = 1.0, high: float = 5.0) -> DataFrame:
@@ -54,9 +73,11 @@ def with_any_topic(df: DataFrame, topics: Sequence[str] = ()) -> DataFrame:
 
 def apply_filters(df: DataFrame, first=None, last=None, low: float = 1.0, high: float = 5.0,
                   topics: Sequence[str] = ()) -> DataFrame:
-    return (df.transform(date_between, first, last)
-            .transform(rating_between, low, high)
-            .transform(with_any_topic, topics))
+    """All filters. Reviews without topic flags are tagged here, once dates and ratings have thinned them out."""
+    rows = df.transform(date_between, first, last).transform(rating_between, low, high)
+    if topics and f"has_{topics[0]}" not in rows.columns:
+        rows = add_topics(rows)
+    return rows.transform(with_any_topic, topics)
 
 
 def search_hotels(df: DataFrame, query: str = "") -> DataFrame:

@@ -28,7 +28,7 @@ from reviewops.fixed_values import TOPICS
 from reviewops.functions import text
 from reviewops.functions.numbers import half_even
 from reviewops.operators.topics import flag
-from reviewops.session import kept
+from reviewops.session import add_line, kept, stored_lines
 
 _LOADERS = {"forest": RandomForestClassificationModel, "boosted": GBTClassificationModel}
 
@@ -119,14 +119,13 @@ class TopicModel:
         self.features.write().save(f"{path}/{version}/features")
         for topic, model in self.classifiers.items():
             model.write().save(f"{path}/{version}/{topic}")
-        earlier = _versions(spark, path)
-        row = (len(earlier) + 1, version, self.kind, list(self.classifiers), json.dumps(self.training))
-        spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
+        earlier = stored_lines(spark, f"{path}/manifest", _MANIFEST)
+        add_line(spark, f"{path}/manifest", _MANIFEST, (len(earlier) + 1, version, self.kind, list(self.classifiers), json.dumps(self.training)))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TopicModel:
         """The last version stored; it may have no trained topic."""
-        versions = _versions(spark, path)
+        versions = stored_lines(spark, f"{path}/manifest", _MANIFEST)
         if not versions:
             raise FileNotFoundError(f"no model is stored in {path}")
         last = max(versions, key=lambda r: (r.number, r.version))
@@ -138,14 +137,6 @@ class TopicModel:
 _MANIFEST = "number int, version string, kind string, topics array<string>, training string"
 
 
-def _versions(spark: SparkSession, path: str) -> list:
-    """The lines of a model store, one for each version saved."""
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    if not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
-        return []
-    return spark.read.schema(_MANIFEST).json(f"{path}/manifest").collect()
-
-
 def training_shares(counts, topics: Sequence[str], max_rows: int) -> dict[str, tuple[float, float]]:
     """For each topic that has both examples and others: the share of each (examples, others) that a bound of ``max_rows`` lets in."""
     half, n = max_rows / 2, counts["n"]

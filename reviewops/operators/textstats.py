@@ -68,13 +68,8 @@ def keywords(df: DataFrame, keys: Sequence[str], n: int = 15, column: str = "rev
 
 def collocations(df: DataFrame, keys: Sequence[str] = ("Hotel_Name",), n: int = 10, column: str = "review_text") -> DataFrame:
     """The most frequent pairs of neighbouring words, both of them content words."""
-    prepared = df.select(*keys, text.adjacent_pairs(text.alphabetic_words(F.col(column))).alias("_pairs"))
-
-    def both_content(pair: Column) -> Column:
-        first, second = F.substring_index(pair, " ", 1), F.substring_index(pair, " ", -1)
-        return ~first.isin(STOP_WORDS) & ~second.isin(STOP_WORDS)
-
-    pairs = prepared.select(*keys, F.explode(F.filter("_pairs", both_content)).alias("pair"))
+    words = F.transform(text.alphabetic_words(F.col(column)), lambda w: F.when(~w.isin(STOP_WORDS), w))  # stop words leave a gap
+    pairs = df.select(*keys, F.explode(F.array_compact(text.adjacent_pairs(words))).alias("pair"))
     return _top_counts(pairs, keys, "pair", n)
 
 

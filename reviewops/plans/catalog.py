@@ -214,7 +214,7 @@ def recent_reviews(spark, sf):
 
 @query
 def filtered_reviews(spark, sf):
-    return filters.apply_filters(tagged(spark, sf), low=2.0, high=4.0, topics=["staff", "wifi"]).select(
+    return filters.apply_filters(clean(spark, sf), low=2.0, high=4.0, topics=["staff", "wifi"]).select(
         "review_id", "Hotel_Name", "date", "rating", "topics")
 
 
@@ -697,6 +697,14 @@ def evaluation_report(spark, sf):
     return evaluation.evaluation_report(tagged(spark, sf))
 
 
+@query
+def stored_evaluation(spark, sf):
+    """The evaluation, written as a JSON file and read again."""
+    found, path = evaluation.evaluation_report(tagged(spark, sf)), new_path(spark, "evaluation")
+    report.write_metrics(found, path)
+    return spark.read.schema(found.schema).json(path)
+
+
 @query
 def document_label_report(spark, sf):
     """Toxic documents, by their labels, told by negative sentiment."""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from reviewops.functions import numbers
 from reviewops.operators import causes, impact, planning, profiles, sentiment, topics
 from reviewops.operators.groups import rows_of_top
+from reviewops.session import kept
 
 
 def leading_topics(df: DataFrame) -> DataFrame:
@@ -46,9 +47,9 @@ def plan_returns(df: DataFrame, rooms: DataFrame | None = None, **options) -> Da
 def report_tables(df: DataFrame, top: int | None = None, rooms: DataFrame | None = None) -> dict[str, DataFrame]:
     """Report sections by name. ``top`` limits them to the hotels with the most reviews.
 
-    All sections read the compact form of the reviews.
+    The compact form of the reviews is stored, and all sections read it from there.
     """
-    chosen = compact(rows_of_top(df, "Hotel_Name", top) if top else df)
+    chosen = kept(compact(rows_of_top(df, "Hotel_Name", top) if top else df), "report-facts")
     plan = hotel_plans(chosen, rooms)
     return {
         "summary": profiles.hotel_summary(chosen),

@@ -45,3 +45,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_lines(spark: SparkSession, path: str, schema: str) -> list:
+    """The lines of a small JSON table, such as a list of versions; none if there is no such folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    return spark.read.schema(schema).json(path).collect()
+
+
+def add_line(spark: SparkSession, path: str, schema: str, line: tuple) -> None:
+    """Add a line to such a table: it is there as a whole or not at all."""
+    spark.createDataFrame([line], schema).coalesce(1).write.mode("append").json(path)
