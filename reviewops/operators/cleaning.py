@@ -47,17 +47,28 @@ def drop_empty(df: DataFrame) -> DataFrame:
 
 #: Bits that mark hashes of rows that may have a copy: a table of at most BITS / 64 words of 16 bytes, sent to every task.
 BITS = 1 << 25
+#: Bytes of input whose rows are simply moved to meet their copies: below, reading them twice more costs more than moving them.
+MOVED_BYTES = 1 << 30
 
 
-def distinct_rows(df: DataFrame, bits: int = BITS) -> DataFrame:
+def input_bytes(df: DataFrame) -> int:
+    """What Spark knows of the size of the tables that a frame is made of."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def distinct_rows(df: DataFrame, bits: int = BITS, moved_bytes: int = MOVED_BYTES) -> DataFrame:
     """The rows without exact copies; nulls are equal, as in ``dropDuplicates``.
 
-    Texts stay where they are. Hashes of rows are counted first, eight bytes each, and those
+    Of large inputs the texts stay where they are. Hashes of rows are counted first, eight bytes each, and those
     that occur again are marked in a bit table of fixed size. A row whose bit isn't set has no copy
     and stays in place. The others meet and are compared whole: copies collapse inside each
     map task, and rows that only share a bit are told apart there. The more copies
-    there are, the fuller the table and the more rows meet, up to all of them; the answer is the same.
+    there are, the fuller the table and the more rows meet, up to all of them; the answer is the same, and so it is
+    for inputs of up to ``moved_bytes``, whose rows all meet.
     """
+    if input_bytes(df) <= moved_bytes:
+        return df.dropDuplicates()
     names = [F.col(f"`{c}`") for c in df.columns]
     hashed = df.withColumn("_hash", F.xxhash64(*names)) if names else df.withColumn("_hash", F.lit(0).cast("bigint"))
     place = F.pmod(F.col("_hash"), F.lit(bits))

@@ -125,3 +125,25 @@ def test_report_is_written_per_hotel(spark, tmp_path):
     assert [tuple(r) for r in report.read_report(spark, folder, "A/B").collect()] == [("A/B", 1)]
     report.write_metrics(table, str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 2
+
+
+def test_report_update_leaves_other_buckets_alone(spark, tmp_path):
+    """Files of other hotels stay, an unfinished version isn't seen, and old versions can be cleared."""
+    table = spark.createDataFrame([(f"hotel {i}", i) for i in range(60)] + [(None, -1)], "Hotel_Name string, n int")
+    folder, = report.write_report({"summary": table}, str(tmp_path))
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    report.write_report({"summary": table.filter("n = 5").withColumn("n", F.lit(500))}, str(tmp_path))
+    report.write_report({"summary": table.filter("n = -1").withColumn("n", F.lit(-2))}, str(tmp_path))
+    after = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert before.items() <= after.items() and len(after) == len(before) + 2
+    want = {(f"hotel {i}", 500 if i == 5 else i) for i in range(60)} | {(None, -2)}
+    assert {tuple(r) for r in report.read_report(spark, folder).collect()} == want
+    unfinished = tmp_path / "summary" / "version=x" / f"bucket={'h00'}"
+    unfinished.mkdir(parents=True)
+    assert report.clear_report(spark, folder) == 3
+    assert {tuple(r) for r in report.read_report(spark, folder).collect()} == want
+    assert not list(p for p in tmp_path.rglob("version=x/bucket=*"))
+    empty, = report.write_report({"none": table.limit(0)}, str(tmp_path), fmt="csv")
+    assert report.read_report(spark, empty, fmt="csv").columns == ["Hotel_Name", "n"] and report.read_report(spark, empty, fmt="csv").count() == 0
+    with pytest.raises(FileNotFoundError):
+        report.read_report(spark, str(tmp_path / "nowhere"))

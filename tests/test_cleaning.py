@@ -149,13 +149,34 @@ def test_distinct_rows(spark, bits):
     """As ``dropDuplicates``, however many rows share a bit; only rows with a marked bit are exchanged."""
     rows = [(i % 700, None if i % 5 == 0 else f"text {i % 700}", float("nan") if i % 7 == 0 else i % 3 / 2) for i in range(1000)] + [(None, None, None)] * 3 + [(1, "a", -0.0), (1, "a", 0.0)]
     df = spark.createDataFrame(rows, "a int, b string, c double")
-    got, want = (sorted(str(tuple(r)) for r in d.collect()) for d in (cleaning.distinct_rows(df, bits), df.dropDuplicates()))
+    got, want = (sorted(str(tuple(r)) for r in d.collect()) for d in (cleaning.distinct_rows(df, bits, 0), df.dropDuplicates()))
     assert got == want
-    assert cleaning.distinct_rows(df.limit(0), bits).count() == 0
+    assert cleaning.distinct_rows(df.limit(0), bits, 0).count() == 0
 
 
 def test_distinct_rows_leaves_texts_in_place(spark, tmp_path):
     spark.range(1000).selectExpr("id", "repeat(cast(id as string), 50) as body").write.parquet(str(tmp_path / "t"))
-    plan = cleaning.distinct_rows(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().sparkPlan().toString()
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert 0 < cleaning.input_bytes(table) < cleaning.MOVED_BYTES
+    plan = cleaning.distinct_rows(table, moved_bytes=0)._jdf.queryExecution().sparkPlan().toString()
     alone = plan.split("HashAggregate(keys=[id", 1)[0]  # what comes before is the branch of rows without a copy
     assert "Union" in plan and "BroadcastHashJoin" in alone and "hashpartitioning(body" not in plan and alone.count("SortMergeJoin") == 0
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_date_filters_with_few_and_many_groups(spark, monkeypatch, most):
+    """Bounds broadcast, or matched by group and day: the same rows; a group without dates stays whole."""
+    monkeypatch.setattr(filters, "MOST_GROUPS", most)
+    rows = [(i, f"h{i % 7}", dt.date(2017, 1, 1) + dt.timedelta(days=i % 900) if i % 11 else None) for i in range(3000)] + [(9999, "undated", None), (9998, "undated", None)]
+    df = spark.createDataFrame(rows, "review_id int, Hotel_Name string, date date")
+    last = {h: max((d for _, x, d in rows if x == h and d), default=None) for h in {r[1] for r in rows}}
+    first = {h: min((d for _, x, d in rows if x == h and d), default=None) for h in last}
+    recent = filters.filter_recent(df, months=3)
+    plan = recent._jdf.queryExecution().sparkPlan().toString()
+    assert ("BroadcastHashJoin [Hotel_Name" in plan and "LeftSemi" not in plan) if most else "LeftSemi" in plan
+    start = {h: dt.date(d.year + (d.month - 4) // 12, (d.month - 4) % 12 + 1, min(d.day, 28)) if d else None for h, d in last.items()}
+    got = {r.review_id for r in recent.collect()}
+    certain = {i for i, h, d in rows if last[h] is None or (d and d >= start[h] + dt.timedelta(days=3))}
+    assert certain <= got <= {i for i, h, d in rows if last[h] is None or (d and d >= start[h])}
+    year = {i for i, h, d in rows if d and max(first[h], last[h] - dt.timedelta(days=365)) <= d <= last[h]}
+    assert {r.review_id for r in filters.date_between(df).collect()} == year
