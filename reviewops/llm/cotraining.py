@@ -2,9 +2,15 @@
 
 One view is the text: its words and their shapes. The other is what is known of the page
 without reading it: source, language, length. Each has a classifier of its own, first taught by the
-labelled documents. In every round either classifier hands the unlabelled documents it is
-surest of, with its verdict, to the other one, and both are taught again. At the end both are
+labelled documents. In every round both classifiers judge all other documents, and either hands those it is
+surest of, with its verdict, to the other one; both are taught again. At the end both are
 calibrated on labelled documents that neither was taught, and their log-odds are added.
+
+Only the labelled documents are a bounded sample. All others are judged in each round, in one pass over
+their texts: each task adds up the features of the documents of every grade of sureness and counts
+them. The counts are the histogram that says which grades are handed over; the sums, one mean a grade, are
+what the other view is taught by. So a round sends a few megabytes a task, whatever the
+texts, and sources or words that no labelled document has are learnt from wherever they occur.
 """
 
 from __future__ import annotations
@@ -14,11 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from reviewops.llm import scan, store
 
 WIDTH = 1 << 15
+#: Grades of sureness that each class is parted into, and slots that are added up together.
+GRADES = 12
+_CHUNK = 1 << 12
 
 _SHAPE = np.full(256, ord("a"), dtype=np.uint8)  # letters, those beyond ASCII included
 _SHAPE[:128] = np.arange(128)
@@ -145,15 +155,94 @@ def _sampled(batches) -> Iterator[pa.RecordBatch]:
                               names=["key", "good", "slots", "values", "page"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_unlabelled: int = 4000, rounds: int = 5, share: float = 0.05,
-          sure: float = 0.9) -> Model | None:
-    """Co-train on about ``most_labelled`` labelled and ``most_unlabelled`` other documents, picked by a hash of their key.
+def _grades(sums: np.ndarray, calibration: tuple[float, float], sure: float) -> np.ndarray:
+    """1 to GRADES for good documents from just sure enough to surest, below 0 for bad ones, 0 for neither."""
+    odds = calibration[0] * sums + calibration[1]
+    least = np.log(sure / (1 - sure))
+    grade = np.minimum(GRADES, 1 + np.floor((np.abs(odds) - least) / 0.5)).astype(np.int64)
+    return np.where(np.abs(odds) >= least, np.sign(odds).astype(np.int64) * grade, 0)
+
+
+def _judged(weights: list[np.ndarray], calibrations: list[tuple[float, float]], taught: frozenset, sure: float):
+    """Documents to what either view would hand over: for each grade the documents and the sums of the other view's features, in chunks of slots."""
+    def run(batches):
+        kinds = 2 * GRADES + 1
+        sums, counts = np.zeros((2, kinds * WIDTH)), np.zeros((2, kinds), dtype=np.int64)
+        for batch in batches:
+            page_rows, page_slots, page_values = _page_features(*(batch.column(c).to_pylist() for c in ("source", "lang", "length")))
+            by_page = _grades(_sum(weights[1], page_rows, page_slots, page_values, batch.num_rows), calibrations[1], sure)
+            free = np.array([k not in taught for k in batch.column("key").to_pylist()], dtype=bool)
+            by_text, at = [], 0
+            for rows, slots, values, n in _text_features(batch.column("text")):
+                by_text.append(_grades(_sum(weights[0], rows, slots, values, n), calibrations[0], sure))
+                used = ((by_page[at:at + n] != 0) & free[at:at + n])[rows]
+                sums[0] += np.bincount((by_page[at:at + n][rows[used]] + GRADES) * WIDTH + slots[used], values[used], minlength=kinds * WIDTH)
+                at += n
+            by_text = np.concatenate(by_text) if by_text else np.empty(0, dtype=np.int64)
+            used = ((by_text != 0) & free)[page_rows]
+            sums[1] += np.bincount((by_text[page_rows[used]] + GRADES) * WIDTH + page_slots[used], page_values[used], minlength=kinds * WIDTH)
+            for view, grades in enumerate((by_page, by_text)):
+                counts[view] += np.bincount(grades[free] + GRADES, minlength=kinds)
+        task = TaskContext.get().partitionId()
+        out = [(view, grade - GRADES, chunk, task, int(counts[view, grade]), part.tobytes())
+               for view in (0, 1) for grade in range(kinds) if counts[view, grade]
+               for chunk, part in enumerate(sums[view].reshape(kinds, -1, _CHUNK)[grade]) if chunk == 0 or part.any()]
+        columns = zip(*out) if out else [[]] * 6
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
+                              names=["view", "grade", "chunk", "task", "n", "sums"])
+    return run
+
+
+def _added(batches) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (view, grade, chunk, task) to one row for each chunk."""
+    where, n, total = None, 0, np.zeros(_CHUNK)
+
+    def row():
+        return pa.record_batch([pa.array([where[i]], pa.int32()) for i in range(3)] + [pa.array([n]), pa.array([total.tobytes()], pa.binary())],
+                               names=["view", "grade", "chunk", "n", "sums"])
 
-    docs: (key, text, source, lang, length); labels: (key, good), good 0 or 1. Several labels of
+    for batch in batches:
+        for view, grade, chunk, _, count, part in zip(*(c.to_pylist() for c in batch.columns)):
+            if (view, grade, chunk) != where:
+                if where is not None:
+                    yield row()
+                where, n, total = (view, grade, chunk), 0, np.zeros(_CHUNK)
+            n, total = n + count, total + np.frombuffer(part)
+    if where is not None:
+        yield row()
+
+
+def _gifts(docs: DataFrame, weights: list[np.ndarray], calibrations: list[tuple[float, float]], taught: frozenset, sure: float,
+           share: float) -> list[list[tuple[float, int, np.ndarray]]]:
+    """For each view (class, documents, mean features) of the grades that the other view hands to it: the surest, until ``share`` of all documents are."""
+    parts = docs.mapInArrow(_judged(weights, calibrations, taught, sure), "view int, grade int, chunk int, task int, n bigint, sums binary")
+    added = parts.repartition("view", "grade", "chunk").sortWithinPartitions("view", "grade", "chunk", "task").mapInArrow(
+        _added, "view int, grade int, chunk int, n bigint, sums binary")
+    counts, sums = np.zeros((2, 2 * GRADES + 1), dtype=np.int64), np.zeros((2, 2 * GRADES + 1, WIDTH))
+    for r in added.collect():  # at most two views, 25 grades and 8 chunks of 32 kB
+        counts[r.view, r.grade + GRADES] = max(r.n, counts[r.view, r.grade + GRADES])
+        sums[r.view, r.grade + GRADES, r.chunk * _CHUNK:(r.chunk + 1) * _CHUNK] = np.frombuffer(r.sums)
+    out = []
+    for view in (0, 1):
+        given = []
+        for good, grades in ((1.0, range(2 * GRADES, GRADES, -1)), (0.0, range(0, GRADES))):
+            had = 0
+            for g in grades:
+                if had < max(1, share * counts[view].sum()) and counts[view, g]:
+                    given.append((good, int(counts[view, g]), sums[view, g] / counts[view, g]))
+                    had += counts[view, g]
+        out.append(given)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, rounds: int = 5, share: float = 0.05, sure: float = 0.9) -> Model | None:
+    """Co-train on all documents, with the labels of about ``most_labelled`` of them, picked by a hash of their key.
+
+    docs: (key, text, source, lang, length); labels: (key, good), good 0 or 1; keys are whole numbers. Several labels of
     a document are averaged; null labels and keys teach nothing. A quarter of the labelled
-    documents is kept for calibration. Each round a view gives away at most ``share`` of the
-    unlabelled sample in each class, only documents it is at least ``sure`` of. None if there isn't a
-    labelled document of either kind.
+    documents is kept for calibration. Each round a view hands over, in each class, its surest grades until they hold
+    ``share`` of the documents, only those it is at least ``sure`` of; documents of the labelled sample are never
+    handed over. Together they weigh half as much as the labels. None if there isn't a labelled document of either kind.
     """
     def below(name, limit, total):
         return F.pmod(F.xxhash64(name, F.lit(99)), F.lit(1 << 30)) * F.lit(float(total)) < F.lit(float(limit) * (1 << 30))
@@ -163,46 +252,45 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_un
     if both < 2:
         return None
     taught = store.kept(given.where(below("key", most_labelled, n)), "labels-sample")
-    total = docs.count()
     known = docs.join(taught, "key").select("key", "good", "text", "source", "lang", "length")
-    pool = docs.where("key is not null").where(below("key", most_unlabelled, total)).withColumn("good", F.lit(None).cast("double")).select(
-        "key", "good", "text", "source", "lang", "length").join(given.select("key"), "key", "left_anti")
-    rows = known.unionByName(pool).mapInArrow(_sampled, "key bigint, good double, slots binary, values binary, page binary").toPandas()  # a bounded sample
+    rows = known.mapInArrow(_sampled, "key bigint, good double, slots binary, values binary, page binary").toPandas()  # the bounded sample
     rows = rows.sort_values(["key", "slots", "page"], ignore_index=True)
     good = rows["good"].to_numpy(np.float64)
-    if len(np.unique(good[~np.isnan(good)])) < 2:
+    if len(np.unique(good)) < 2:
         return None
-    text = _Sample([np.frombuffer(x, "<i4") for x in rows["slots"]], [np.frombuffer(x, "<f4") for x in rows["values"]])
-    page = _Sample([np.frombuffer(x, "<i4") for x in rows["page"]], [np.full(3, 3 ** -0.5)] * len(rows))
-
-    labelled = ~np.isnan(good)
-    held = labelled & (rows["key"].to_numpy() % 4 == 3)
-    if len(np.unique(good[held])) < 2 or len(np.unique(good[labelled & ~held])) < 2:
+    slots = ([np.frombuffer(x, "<i4") for x in rows["slots"]], [np.frombuffer(x, "<i4") for x in rows["page"]])
+    values = ([np.frombuffer(x, "<f4") for x in rows["values"]], [np.full(3, 3 ** -0.5)] * len(rows))
+    held = rows["key"].to_numpy() % 4 == 3
+    if len(np.unique(good[held])) < 2 or len(np.unique(good[~held])) < 2:
         held = np.zeros(len(rows), dtype=bool)  # too few to keep any back
-    learnt = {v: np.where(labelled & ~held, good, np.nan) for v in (0, 1)}
-    views = (text, page)
-    limit = max(1, int(share * (~labelled).sum()))
-    weights = [v.taught(np.nan_to_num(learnt[i]), (~np.isnan(learnt[i])).astype(float)) for i, v in enumerate(views)]
+    views = [_Sample(s, v) for s, v in zip(slots, values)]
+
+    def fitted(gifts: list[list[tuple[float, int, np.ndarray]]]) -> tuple[list[np.ndarray], list[tuple[float, float]]]:
+        weights, calibrations = [], []
+        for view in (0, 1):
+            means = [m for *_, m in gifts[view]]
+            used = [np.flatnonzero(m) for m in means]
+            sample = _Sample([*slots[view], *used], [*values[view], *(m[u] for m, u in zip(means, used))])
+            truth = np.concatenate([good, [c for c, *_ in gifts[view]]])
+            weight = np.concatenate([(~held).astype(float), np.zeros(len(means))])
+            for c in (0.0, 1.0):
+                sizes = np.array([k if g == c else 0 for g, k, _ in gifts[view]], dtype=float)
+                if sizes.sum():
+                    weight[len(good):] += 0.5 * (good[~held] == c).sum() * sizes / sizes.sum()
+            weights.append(sample.taught(truth, weight))
+            judges = held if held.any() else np.ones(len(good), dtype=bool)
+            calibrations.append(_calibrated(views[view].sums(weights[-1])[judges], good[judges]))
+        return weights, calibrations
+
+    weights, calibrations = fitted([[], []])
+    everyone, known_keys = docs.select("key", "text", "source", "lang", "length"), frozenset(rows["key"].tolist())
     for _ in range(rounds):
-        gifts = []
-        for i, view in enumerate(views):
-            slope, shift = _calibrated(view.sums(weights[i])[labelled], good[labelled])
-            chance = 1 / (1 + np.exp(-(slope * view.sums(weights[i]) + shift)))
-            free = np.flatnonzero(~labelled & np.isnan(learnt[1 - i]))
-            best = free[np.argsort(-chance[free], kind="stable")][:limit]
-            worst = free[np.argsort(chance[free], kind="stable")][:limit]
-            gifts.append([(x, 1.0) for x in best if chance[x] >= sure] + [(x, 0.0) for x in worst if chance[x] <= 1 - sure])
+        gifts = _gifts(everyone, weights, calibrations, known_keys, sure, share)
         if not any(gifts):
             break
-        for i, found in enumerate(gifts):
-            for x, c in found:
-                learnt[1 - i][x] = c
-        # a verdict of the other view counts half as much as a label
-        weights = [v.taught(np.nan_to_num(learnt[i]), np.where(np.isnan(learnt[i]), 0.0, np.where(labelled, 1.0, 0.5))) for i, v in enumerate(views)]
-    judges = held if held.any() else labelled
-    fitted = [View(w.astype(np.float32), *_calibrated(v.sums(w)[judges], good[judges])) for v, w in zip(views, weights)]
-    share_good = good[labelled].sum()
-    return Model(*fitted, float(np.log((share_good + 1) / (labelled.sum() - share_good + 1))))
+        weights, calibrations = fitted(gifts)
+    made = [View(w.astype(np.float32), *c) for w, c in zip(weights, calibrations)]
+    return Model(*made, float(np.log((good.sum() + 1) / (len(good) - good.sum() + 1))))
 
 
 def scored(docs: DataFrame, model: Model | None, into: str = "quality") -> DataFrame:

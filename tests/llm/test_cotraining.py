@@ -44,3 +44,21 @@ def test_odd_tables(spark, nasty, empty):
     for given in (labels, labels.limit(0), labels.where("good = 1")):
         rows = cotraining.scored(docs, cotraining.learn(docs, given)).collect()
         assert len(rows) == docs.count() and all(0 <= r.quality.score <= 1 for r in rows)
+
+
+def test_rare_source_is_learned_from_unlabelled_documents(spark):
+    """One document in five thousand comes from a source without any label; its text view teaches what the source is worth."""
+    random.seed(3)
+    docs, labels = [], []
+    for i in range(15_000):
+        good, rare, labelled = i % 2, i % 5000 in (2, 3), i < 80
+        source = ("gem" if good else "dump") if rare and not labelled else f"{'fine' if good else 'poor'}{i % 4}" if labelled else f"new{i % 3}"
+        text = " ".join(f"{'good' if good else 'bad'}x{random.randint(0, 6)}" for _ in range(12)) + " common words here"
+        docs.append((i, text, source, "en", len(text)))
+        if labelled:
+            labels.append((i, good))
+    df = spark.createDataFrame(docs, "key bigint, text string, source string, lang string, length bigint").repartition(5)
+    model = cotraining.learn(df, spark.createDataFrame(labels, "key bigint, good int"), rounds=2, share=0.5)
+    pages = spark.createDataFrame([(1, None, "gem", "en", 80), (2, None, "dump", "en", 80), (3, None, "never seen", "en", 80)], df.schema)
+    chances = {r.key: r.quality.page for r in cotraining.scored(pages, model).collect()}
+    assert chances[1] > chances[3] + 0.002 and chances[3] > chances[2] + 0.002, chances
