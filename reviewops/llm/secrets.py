@@ -148,6 +148,18 @@ def findings(versions: DataFrame, ledger: DataFrame, text: str = "text", rules:
                     .alias(into)))
 
 
+def masked(text: str | None, starts: list[int], stops: list[int], mark: str) -> str | None:
+    """The text with each run of overlapping spans, given by start, replaced by one mark; it is walked over once."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for start, stop in zip(starts, stops):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, stop)
+    return "".join([*out, text[at:]])
+
+
 def redacted(docs: DataFrame, path: str = "doc_id", text: str = "text", mark: str = "<secret>", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with every secret replaced by ``mark``; overlapping ones by one mark. Null stays null."""
     ledger = store.kept(scan(docs, path, text, rules), "secrets-ledger")
@@ -156,12 +168,10 @@ def redacted(docs: DataFrame, path: str = "doc_id", text: str = "text", mark: st
         into += "_"
     found = findings(docs, ledger, text, rules, into)
     whole = F.col(text)
-    # walk over the spans: what lies before each is kept, the end reached so far carries over
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    walked = F.aggregate(into, start, lambda acc, s: F.when(
-        s["start"] >= acc["at"],
-        F.struct(F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"), s["stop"].alias("at")))
-        .otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))))
-    clean = F.when(F.size(into) == 0, whole).otherwise(
-        F.transform(F.array(walked), lambda w: F.concat(w["out"], F.substring(whole, w["at"] + 1, F.lit(2147483647))))[0])
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+        return pa.array([masked(t, a, b, mark) for t, a, b in zip(texts.to_pylist(), starts.to_pylist(), stops.to_pylist())], pa.string())
+
+    clean = F.when(F.size(into) == 0, whole).otherwise(cut(F.when(F.size(into) > 0, whole), F.col(into)["start"], F.col(into)["stop"]))
     return found.withColumn(text, clean).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -234,3 +234,12 @@ def test_code_lengths_are_those_of_the_definition(spark):
         p = "   " + t
         for i, lang in enumerate("ab"):
             assert math.isclose(row[i], sum(-math.log2(chance(lang, p[k - 3:k], p[k])) for k in range(3, len(p))), rel_tol=1e-5, abs_tol=1e-9)
+
+
+def test_redaction_of_very_many_secrets(spark):
+    """Fifty thousand secrets in one text of megabytes, overlapping ones among them, take a walk over it."""
+    text = " ".join(f"password=abcdef{i:06d} AKIAABCDEFGHIJKLMN{i:06d} é" for i in range(25_000))
+    made = secrets.redacted(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")).collect()
+    left = {r.doc_id: r.text for r in made}
+    assert left[1].count("<secret>") >= 50_000 and "AKIA" not in left[1] and "abcdef" not in left[1] and left[1].count("é") == 25_000
+    assert left[2] is None and left[3] == ""
