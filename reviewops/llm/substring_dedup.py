@@ -27,8 +27,11 @@ from reviewops.llm import scan, store
 
 WINDOW = 50
 _GRAM = 25
-#: Cells of each of the sketch's two rows; two bits are all that a cell needs, one of them once merged.
-WIDTH = 1 << 26
+#: Cells of each of the sketch's two rows for each anchor expected, and their bounds. Two bits are all that a cell needs,
+#: one of them once merged, and that is what every task is sent: 128 MB at most.
+CELLS = 8
+LEAST_WIDTH, MOST_WIDTH = 1 << 20, 1 << 29
+_WORD_BYTES = 6
 _CHUNK = 1 << 16
 _NO_KEY = np.iinfo(np.int64).max
 
@@ -130,7 +133,13 @@ class Sketch:
         return out
 
 
-def sketch(texts: DataFrame, size: int = WINDOW, width: int = WIDTH) -> Sketch:
+def width_for(text_bytes: int, size: int = WINDOW) -> int:
+    """Cells of a row for texts of so many bytes: windows change their anchor about twice in ``size - 24`` words."""
+    anchors = text_bytes / _WORD_BYTES * 2 / max(2, size - min(_GRAM, size) + 1)
+    return min(MOST_WIDTH, max(LEAST_WIDTH, 1 << int(np.ceil(np.log2(max(2.0, CELLS * anchors))))))
+
+
+def sketch(texts: DataFrame, size: int, width: int) -> Sketch:
     """Merge the partitions' sketches of a frame (key, text, ...). The driver gets 2 * width bits, whatever the corpus."""
     parts = texts.select("text").mapInArrow(_sketched(size, width), "chunk bigint, kind int, cells binary")
     merged = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merged, "chunk bigint, bits binary")
@@ -257,141 +266,17 @@ def _later(key: pa.Array, windows: pa.Array, smallest: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int32()))
 
 
-def repeated(self, anchors: np.ndarray) -> np.ndarray:
-        """False only for anchors that occur once."""
-        out = np.ones(len(anchors), dtype=bool)
-        for cells in _cells(anchors, self.width):
-            out &= (self.bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
-        return out
-
-
-def sketch(texts: DataFrame, size: int = WINDOW, width: int = WIDTH) -> Sketch:
-    """Merge the partitions' sketches of a frame (key, text, ...). The driver gets 2 * width bits, whatever the corpus."""
-    parts = texts.select("text").mapInArrow(_sketched(size, width), "chunk bigint, kind int, cells binary")
-    merged = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merged, "chunk bigint, bits binary")
-    bits = np.zeros(2 * width // 8 + _CHUNK // 8, dtype=np.uint8)
-    for row in merged.toLocalIterator():
-        part = np.frombuffer(row.bits, dtype=np.uint8)
-        bits[row.chunk * (_CHUNK // 8):][:len(part)] = part
-    return Sketch(bits, width)
-
-
-def _united(size: int, buckets: int, shared):
-    """Candidate windows of each unit: a row for each bucket of hashes, and one, of bucket -1, that names its texts.
-
-    low, high: the distinct windows' hashes, ascending; least: the smallest document of each;
-    text, at, key_of: the windows themselves, by text of the unit, first word, and place among the distinct ones.
-    """
-    def run(batches):
-        filter_ = shared.value
-        partition, piece = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for part in scan.pieces(batch, "text"):
-                unit = (partition << 32) + piece
-                piece += 1
-                windows = _Windows(part.column("text"), size)
-                chosen = np.flatnonzero(filter_.repeated(windows.anchors))
-                if not len(chosen):
-                    continue
-                at, text = windows.at[chosen], windows.text[chosen]
-                low = scan._spans(windows.hashes, at, at + size, scan._STEP_BASES[0])
-                high = scan._spans(windows.words.hashes(1), at, at + size, scan._STEP_BASES[1])
-                keys = part.column("key").fill_null(_NO_KEY).to_numpy(zero_copy_only=False)
-                order = np.lexsort((keys[text], high, low))
-                low, high, at, text = low[order], high[order], at[order], text[order]
-                new = np.ones(len(low), dtype=bool)
-                new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-                place = np.cumsum(new) - 1
-                low, high, least = low[new], high[new], keys[text[new]]
-                bucket = (low >> np.uint64(32)) % np.uint64(buckets)
-                word = at - windows.words.first[text]
-                yield pa.record_batch([pa.array([unit], pa.int64()), pa.array([-1], pa.int32()), *(pa.array([None], pa.binary()) for _ in range(6)),
-                                       pa.array([part.column("key").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("mark").to_pylist()], pa.list_(pa.string()))],
-                                      names=_UNIT_NAMES)
-                for b in np.unique(bucket):
-                    mine = bucket == b
-                    inside = mine[place]
-                    number = np.cumsum(mine) - 1
-                    yield pa.record_batch([
-                        pa.array([unit], pa.int64()), pa.array([int(b)], pa.int32()),
-                        *(pa.array([x.tobytes()], pa.binary()) for x in (
-                            low[mine].astype("<u8"), high[mine].astype("<u8"), least[mine].astype("<i8"),
-                            text[inside].astype("<i4"), word[inside].astype("<i4"), number[place[inside]].astype("<i4"))),
-                        pa.array([None], pa.list_(pa.int64())), pa.array([None], pa.list_(pa.string()))], names=_UNIT_NAMES)
-    return run
-
-
-_UNIT_NAMES = ["unit", "bucket", "low", "high", "least", "text", "at", "key_of", "keys", "marks"]
-_UNIT_ROWS = "unit bigint, bucket int, low binary, high binary, least binary, text binary, at binary, key_of binary, keys array<bigint>, marks array<string>"
-
-
-def _answered(batches) -> Iterator[pa.RecordBatch]:
-    """Parts (bucket, unit, low, high, least) of whole buckets, in their order, to answers (unit, bucket, places, least)."""
-    name, parts = None, []
-
-    def out():
-        low, high, least = (np.concatenate([np.frombuffer(p[i], dtype=k) for p in parts]) for i, k in ((1, "<u8"), (2, "<u8"), (3, "<i8")))
-        lengths = [len(p[1]) // 8 for p in parts]
-        order = np.lexsort((least, high, low))
-        new = np.ones(len(order), dtype=bool)
-        a, b = low[order], high[order]
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        smallest = np.empty(len(order), dtype=np.int64)
-        smallest[order] = least[order][new][np.cumsum(new) - 1]
-        group = np.cumsum(new) - 1
-        known = np.empty(len(order), dtype=bool)
-        known[order] = (np.bincount(group) > 1)[group]
-        answers, start = ([], [], []), 0
-        for (unit, *_), length in zip(parts, lengths):
-            places = np.flatnonzero(known[start:start + length])
-            if len(places):
-                for column, value in zip(answers, (unit, places.astype("<i4").tobytes(), smallest[start:start + length][places].astype("<i8").tobytes())):
-                    column.append(value)
-            start += length
-        return pa.record_batch([pa.array(answers[0], pa.int64()), pa.array([name] * len(answers[0]), pa.int32()),
-                                pa.array(answers[1], pa.binary()), pa.array(answers[2], pa.binary())], names=["unit", "bucket", "places", "smallest"])
-
-    for batch in batches:
-        for bucket, *part in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if bucket != name:
-                if parts:
-                    yield out()
-                name, parts = bucket, []
-            parts.append(part)
-    if parts:
-        yield out()
-
-
-def _spans_of(size: int):
-    """Unit rows with their answers to (key, mark, starts): windows that also begin in a document of a smaller key."""
-    def run(batches):
-        for batch in batches:
-            for least, text, at, key_of, keys, marks, places, smallest in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                text, at, key_of = (np.frombuffer(x, dtype="<i4") for x in (text, at, key_of))
-                first = np.frombuffer(least, dtype="<i8").copy()
-                if places is not None:
-                    first[np.frombuffer(places, dtype="<i4")] = np.frombuffer(smallest, dtype="<i8")
-                own = np.array([_NO_KEY if k is None else k for k in keys], dtype=np.int64)
-                goes = first[key_of] < own[text]
-                text, at = text[goes], at[goes]
-                order = np.lexsort((at, text))
-                text, at = text[order], at[order]
-                found, begin = np.unique(text, return_index=True)
-                yield pa.record_batch([pa.array([keys[i] for i in found], pa.int64()), pa.array([marks[i] for i in found], pa.string()),
-                                       pa.array([p.tolist() for p in np.split(at, begin[1:])][:len(found)], pa.list_(pa.int32()))], names=["key", "mark", "starts"])
-    return run
-
-
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, width: int = WIDTH, bucket_windows: int = 1_000_000) -> DataFrame:
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, width: int | None = None, bucket_windows: int = 1_000_000) -> DataFrame:
     """Rows (key, mark, starts): the windows, by first word, of each text that also begin in a document of a smaller key.
 
-    ``mark`` is the text's MD5. Rows of one key and text count as one. A null key is larger than all others.
+    ``mark`` is the text's MD5. Rows of one key and text count as one. A null key is larger than all others; keys are whole numbers.
+    The sketch has ``width`` cells a row, else as many as the size of the texts asks for.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.md5(F.col(text).cast("binary")).alias("mark")).where("text is not null")
-    filter_ = sketch(texts, size, width)
-    words = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(64, words // 6 // bucket_windows)
+    text_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    filter_ = sketch(texts, size, width or width_for(text_bytes, size))
+    buckets = max(64, text_bytes // _WORD_BYTES // bucket_windows)
     shared = spark.sparkContext.broadcast(filter_)  # 2 * width bits
     units = store.kept(texts.mapInArrow(_united(size, buckets, shared), _UNIT_ROWS), "repeat-units")
     windows = units.where("bucket >= 0")
@@ -420,7 +305,7 @@ def _kept(texts: pa.Array, starts: pa.Array, size: pa.Array) -> pa.Array:
     return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str = "dedup", size: int = WINDOW, width: int = WIDTH) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str = "dedup", size: int = WINDOW, width: int | None = None) -> DataFrame:
     """The documents, all their columns, with a struct ``into``: n_words, n_removed, and kept, the words that stay, joined by one space.
 
     A null text has no words. Repeated rows, of one key, don't remove each other's words.

@@ -33,10 +33,16 @@ def _number(value: int | None) -> bytes:
     return np.array([FIRST_DIGIT + value // DIGIT_BASE ** k % DIGIT_BASE for k in range(DIGITS - 1, -1, -1)], dtype=">u2").tobytes()
 
 
-def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, most: int = 20_000) -> None:
-    """Write flat token files of up to ``most`` documents each. Null text is empty, a null number is left out.
+#: Bytes that a text may have, and how many texts of up to that size share a file: two bytes an id, an id a byte at most,
+#: make 64 MB. Only a single text of more than 32 MB makes a larger file.
+FILES = ((1 << 12, 8192), (1 << 16, 512), (1 << 20, 32), (1 << 31, 1))
 
-    Spark's text writer puts the end id after each document: written as bytes, it is the line's end.
+
+def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, most: int = 20_000,
+          files: tuple[tuple[int, int], ...] = FILES) -> None:
+    """Write flat token files of up to ``most`` documents each, and of bounded size: long texts share files with fewer others.
+
+    Null text is empty, a null number is left out. Spark's text writer puts the end id after each document: written as bytes, it is the line's end.
     """
     tokenizer = tokenizer or tokens.default_path()
 
@@ -48,12 +54,17 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
                 found = [flat[a:b].tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
                 yield pa.record_batch([pa.array([_number(k) + ids for k, ids in zip(part.column(0).to_pylist(), found)], pa.binary())], names=["value"])
 
-    (docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(encode, "value binary")
-     .select(F.col("value").cast("string")).write.option("lineSep", END_TEXT).option("maxRecordsPerFile", most).text(path))
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    grade = F.coalesce(*(F.when(size <= limit, i) for i, (limit, _) in enumerate(files)))
+    grades = sorted(r[0] for r in rows.select(grade.alias("grade")).distinct().collect()) or [0]  # no more than there are sizes of files
+    for i in grades:
+        encoded = rows.where(grade == i).mapInArrow(encode, "value binary").select(F.col("value").cast("string"))
+        encoded.write.mode("append").option("lineSep", END_TEXT).option("maxRecordsPerFile", min(most, files[i][1])).text(path)
 
 
 def blocks(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """Rows (file, block, data) of ``size`` bytes, the last of a file shorter. A file may have up to 2 GB."""
+    """Rows (file, block, data) of ``size`` bytes, the last of a file shorter. A task holds a file at a time: see ``FILES``."""
     starts = F.when(F.col("length") > 0, F.sequence(F.lit(0), ((F.col("length") - 1) / size).cast("int")))
     parts = F.transform(starts, lambda i: F.struct(i.alias("block"), F.expr("content").substr(i * size + 1, F.lit(size)).alias("data")))
     return (spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.explode(parts).alias("b"))

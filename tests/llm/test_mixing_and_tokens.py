@@ -193,3 +193,17 @@ def test_documents_across_blocks(spark, nasty, size):
     rows = token_counts.counts(spark, path, size).collect()
     assert sorted_rows(r[:2] for r in rows) == sorted_rows((i, len(ids_by_hand(t, x)) - 1) for i, x in docs_of(spark, nasty) if i not in (5, 12))
     assert sorted(r.position for r in rows) == list(range(len(rows)))
+
+
+def test_long_texts_get_files_of_their_own(spark, tmp_path):
+    """No file holds more than its size allows, and nothing is lost when most texts are long."""
+    texts = ["a b c " * n for n in (0, 1, 5, 40, 400, 4000, 40_000)] * 4 + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    path = str(tmp_path / "tokens")
+    token_counts.write(docs, path, files=((64, 8), (4096, 4), (1 << 31, 1)))
+    got = {r.doc_id: r.n_tokens for r in token_counts.counts(spark, path, size=1024).collect()}
+    assert got == {i: 3 * (len(t or "") // 6) for i, t in enumerate(texts)}
+    sizes = [p.stat().st_size for p in (tmp_path / "tokens").glob("part-*")]
+    assert max(sizes) <= 2 * (3 * 40_000 + 6) and len(sizes) >= 8 + 8 // 4 + 2
+    token_counts.write(docs.limit(0), str(tmp_path / "none"))
+    assert token_counts.counts(spark, str(tmp_path / "none")).count() == 0
