@@ -31,7 +31,7 @@ STOP = 0.97
 NEAREST = 20
 LEAF = 128
 #: Rows that a cell should have; queries that meet a block of rows in one task.
-CELL = 16_384
+CELL = 4096
 QUERIES = 50_000
 #: Bounds of the sample that the cells are cut by, and of the cells of one vector length. Every row is indexed.
 SAMPLE = 65_536
