@@ -24,7 +24,9 @@ from reviewops.llm import store
 from reviewops.llm.components import components
 from reviewops.llm.jaccard_join import Forest
 
-PIVOTS = 8
+#: A pivot for so many vectors of one length, within bounds: the most are sent to all tasks.
+VECTORS_A_PIVOT = 4096
+LEAST_PIVOTS, MOST_PIVOTS = 8, 1024
 PART = 1024
 _SLACK = 1e-9
 
@@ -65,6 +67,18 @@ def _distances(pivots: dict[int, np.ndarray]):
     return run
 
 
+def _groups(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column of a matrix of links, the first row of its connected group; their number for those without a link."""
+    n = len(near)
+    rows, columns = np.where(near.any(axis=1), np.arange(n), n), np.full(near.shape[1], n)
+    while True:
+        columns = np.where(near, rows[:, None], n).min(axis=0, initial=n)
+        smaller = np.minimum(rows, np.where(near, columns[None, :], n).min(axis=1, initial=n))
+        if (smaller == rows).all():
+            return rows, columns
+        rows = smaller
+
+
 def _counted(least: float):
     """Rows of parts, residents first, to (name, links) for each resident and edges (a, b) that connect all linked."""
     def run(batches):
@@ -81,14 +95,16 @@ def _counted(least: float):
                 near = matrix @ block.T >= least
                 copies = np.array([c for _, _, c, _ in others])
                 links[:] += near @ copies
-                rows, columns = np.nonzero(near)
-                for i, j in zip(rows.tolist(), columns.tolist()):
-                    a, b = residents[i][1], others[j][1]
-                    x, y = (places.setdefault(k, len(places)) for k in (a, b))
-                    while len(forest.up) < len(places):
-                        forest.up.append(len(forest.up))
-                    if forest.join(x, y):
-                        edges.append((a, b))
+                mine, theirs = _groups(near)
+                # a row for each vector linked here, to the first resident of its group, whatever the number of pairs
+                for rows, groups in ((residents, mine), (others, theirs)):
+                    for at in np.flatnonzero(groups < len(residents)).tolist():
+                        a, b = rows[at][1], residents[groups[at]][1]
+                        x, y = (places.setdefault(k, len(places)) for k in (a, b))
+                        while len(forest.up) < len(places):
+                            forest.up.append(len(forest.up))
+                        if forest.join(x, y):
+                            edges.append((a, b))
             others.clear()
 
         def out():
@@ -117,13 +133,14 @@ def _counted(least: float):
 
 
 def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93,
-           pivots: int = PIVOTS, part: int = PART) -> DataFrame:
+           pivots: int | None = None, part: int = PART) -> DataFrame:
     """Rows (key, n_links, component): other vectors of the same label with a cosine of at least ``least``, and the smallest key reached by links.
 
     ``key`` is a whole number. Null labels, null, empty and zero vectors and those with null
     or non-finite components link with nothing; neither do vectors of different length, nor rows
     without a key, whose component is null. Repeated rows are copies of each other and count as links.
-    ``pivots`` is the number of rows sent to all tasks for each length of vector; at most 16 lengths get any.
+    ``pivots`` is the number of rows sent to all tasks for each length of vector, by default one for every
+    ``VECTORS_A_PIVOT`` vectors, within bounds; at most 16 lengths get any.
     """
     kind = vectors.schema[label].dataType.simpleString()
     prepared = vectors.select(F.col(key).cast("bigint").alias("key"), F.col(label).alias("label"), F.col(vector).alias("vector")).mapInArrow(
@@ -133,9 +150,10 @@ def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", l
         F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit")))
     classes = store.kept(classes, "vector-classes")
     chosen: dict[int, list[np.ndarray]] = {}
-    dims = [r.dim for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(16).collect()]
-    for dim in dims:
-        chosen[dim] = np.array([np.frombuffer(r.unit, dtype=np.float64) for r in classes.where(F.col("dim") == dim).orderBy("name").limit(pivots).select("unit").collect()])
+    dims = [(r.dim, r.n) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(16).collect()]
+    for dim, n in dims:
+        number = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, n // VECTORS_A_PIVOT))
+        chosen[dim] = np.array([np.frombuffer(r.unit, dtype=np.float64) for r in classes.where(F.col("dim") == dim).orderBy("name").limit(number).select("unit").collect()])
     between = {d: np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T))) for d, p in chosen.items()}
     reach = float(np.sqrt(2 - 2 * least))
 

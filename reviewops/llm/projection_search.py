@@ -18,6 +18,7 @@ the test can't rule out, by the distance to their boxes, and these are searched
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import exp
 
 import numpy as np
@@ -58,6 +59,7 @@ def stopping_ratio(stop: float, degrees: int) -> float:
     return high
 
 
+@lru_cache(maxsize=64)
 def _matrix(length: int) -> np.ndarray:
     return np.random.default_rng([_SEED, length]).standard_normal((PROJECTIONS, length + 1))
 

@@ -207,3 +207,17 @@ def test_odd_embeddings(spark, part):
     got = [(*r, r[0] is not None and r[0] == r[2]) for r in embedding_join.linked(df, part=part, pivots=4).collect()]
     assert sorted_rows(got) == sorted_rows(vectors_by_hand([tuple(r)[:3] for r in df.collect()]))
     assert embedding_join.linked(df.limit(0)).count() == 0
+
+
+def test_groups_of_a_matrix_of_links():
+    rng = np.random.default_rng(5)
+    for share in (0.0, 0.02, 0.1, 1.0):
+        near = rng.random((30, 40)) < share
+        rows, columns = embedding_join._groups(near)
+        group = {("r", i): {("r", i)} for i in range(30)} | {("c", j): {("c", j)} for j in range(40)}
+        for i, j in zip(*np.nonzero(near)):
+            both = group["r", i] | group["c", j]
+            for x in both:
+                group[x] = both
+        first = lambda x: min((i for kind, i in group[x] if kind == "r"), default=30) if len(group[x]) > 1 else 30
+        assert rows.tolist() == [first(("r", i)) for i in range(30)] and columns.tolist() == [first(("c", j)) for j in range(40)]
