@@ -49,7 +49,7 @@ def test_mix(spark, request, folder):
     for r in rows:
         assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, target[r.source])
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= 4 * mixing.BLOCK
+        assert abs(taken[s] - target[s]) <= mixing.BLOCK / 2
     assert sorted_rows(query(spark, folder).collect()) == sorted_rows(rows)
 
 

@@ -54,7 +54,7 @@ def test_stages(spark, request, folder):
                 whole = of[r.doc_id]
                 assert r.text == whole.text or set(words(r.text)) <= set(words(whole.text))
             target = targets_by_hand(sizes) if sizes else {}
-            assert all(abs(taken[s] - target[s]) <= 128 for s in sizes)
+            assert all(abs(taken[s] - target[s]) <= 16 for s in sizes)
         if name == "packing":
             t, pieces = tokenizer_once(), defaultdict(int)
             for r in before:
