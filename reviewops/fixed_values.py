@@ -121,31 +121,59 @@ NEGATIONS = [
     "not", "no", "never", "neither", "nor", "don't", "doesn't", "didn't", "won't", "wouldn't", "can't",
     "cannot", "isn't", "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't", "shouldn't", "couldn't",
 ]
+#: One class holds all single characters that may follow: each of the usual groups (letters, digits, signs) would match one of them at a time anyway.
 URL_PATTERN = r"https?://(?:[a-zA-Z0-9$\-_@.&+!*\\(),]|%[0-9a-fA-F]{2})+"
 
-STOP_WORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers "
-    "herself it its itself they them their theirs themselves what which who whom this that these those am is are "
-    "was were be been being have has had having do does did doing a an the and but if or because as until while "
-    "of at by for with about against between into through during before after above below to from up down in out "
-    "on off over under again further then once here there when where why how all any both each few more most other "
-    "some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain aren "
-    "couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
-).split()
+#: English stop words, as public lists have them, with the stumps that contractions leave.
+STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves",
+    "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them",
+    "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is",
+    "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing",
+    "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for",
+    "with", "about", "against", "between", "into", "through", "during", "before", "after", "above", "below", "to",
+    "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here",
+    "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will",
+    "just", "don", "should", "now", "d", "ll", "m", "o", "re", "ve", "y", "ain", "aren", "couldn", "didn",
+    "doesn", "hadn", "hasn", "haven", "isn", "ma", "mightn", "mustn", "needn", "shan", "shouldn", "wasn", "weren",
+    "won", "wouldn",
+]
 
 # --- Fixed values: valence (-4..4), subjectivity (0..1), words --------------
 # Valences and subjectivities are held in hundredths so that sums stay exact.
-LEXICON: list[tuple[int, int, str]] = [
-    (320, 95, "excellent amazing fantastic wonderful outstanding superb perfect brilliant exceptional"),
-    (270, 80, "great lovely love loved beautiful delicious awesome delightful best"),
-    (190, 60, "good nice friendly helpful comfortable enjoyed enjoy pleasant happy polite recommend cosy cozy"),
-    (120, 40, "clean quiet spacious fine convenient modern fresh central attentive fast okay ok easy"),
-    (-120, 40, "cold slow small old late far busy expensive noise queue delay tired outdated dated"),
-    (-190, 60, "dirty noisy loud overpriced broken smelly poor unhelpful unfriendly bad uncomfortable faulty "
-               "understaffed mistake error wrong rushed stained dusty problem problems complaint"),
-    (-270, 80, "rude filthy clueless chaotic unacceptable disappointing disappointed worst unprofessional arrogant "
-               "ignored ripoff mouldy hate hated"),
-    (-320, 95, "terrible horrible awful disgusting dreadful appalling atrocious nightmare"),
+LEXICON: list[tuple[int, int, list[str]]] = [
+    (320, 95, [
+        "excellent", "amazing", "fantastic", "wonderful", "outstanding", "superb", "perfect", "brilliant",
+        "exceptional",
+    ]),
+    (270, 80, [
+        "great", "lovely", "love", "loved", "beautiful", "delicious", "awesome", "delightful", "best",
+    ]),
+    (190, 60, [
+        "good", "nice", "friendly", "helpful", "comfortable", "enjoyed", "enjoy", "pleasant", "happy",
+        "polite", "recommend", "cosy", "cozy",
+    ]),
+    (120, 40, [
+        "clean", "quiet", "spacious", "fine", "convenient", "modern", "fresh", "central", "attentive", "fast",
+        "okay", "ok", "easy",
+    ]),
+    (-120, 40, [
+        "cold", "slow", "small", "old", "late", "far", "busy", "expensive", "noise", "queue", "delay",
+        "tired", "outdated", "dated",
+    ]),
+    (-190, 60, [
+        "dirty", "noisy", "loud", "overpriced", "broken", "smelly", "poor", "unhelpful", "unfriendly", "bad",
+        "uncomfortable", "faulty", "understaffed", "mistake", "error", "wrong", "rushed", "stained", "dusty",
+        "problem", "problems", "complaint",
+    ]),
+    (-270, 80, [
+        "rude", "filthy", "clueless", "chaotic", "unacceptable", "disappointing", "disappointed", "worst",
+        "unprofessional", "arrogant", "ignored", "ripoff", "mouldy", "hate", "hated",
+    ]),
+    (-320, 95, [
+        "terrible", "horrible", "awful", "disgusting", "dreadful", "appalling", "atrocious", "nightmare",
+    ]),
 ]
 NEGATION_FACTOR = -74      # hundredths: a negated word keeps 74 % of its strength, reversed
 NEGATION_REACH = 3         # words looked back for a negation

@@ -18,7 +18,7 @@ from reviewops.functions.text import alphabetic_words, clean_text, is_blank, let
 
 @lru_cache(maxsize=None)
 def _levels() -> tuple[tuple[int, int, tuple[str, ...]], ...]:
-    return tuple((valence, subjectivity, tuple(words.split())) for valence, subjectivity, words in LEXICON)
+    return tuple((valence, subjectivity, tuple(words)) for valence, subjectivity, words in LEXICON)
 
 
 def word_valence(word: Column) -> Column:
