@@ -200,7 +200,7 @@ add("hotel_stats", BASE, f"""SELECT n_name AS Hotel_Name, count(review_id) AS to
   CASE WHEN coalesce({r(f'{mean('Reviewer_Score')}', 2)}, 0) >= 8 THEN 'Good' WHEN coalesce({r(f'{mean('Reviewer_Score')}', 2)}, 0) >= 6 THEN 'Average' ELSE 'Poor' END AS label
   FROM nation LEFT JOIN raw ON n_name = Hotel_Name GROUP BY 1""")
 
-LEX = "lex(word, val, subj) AS (VALUES " + ", ".join(f"({q(w)}, {v}, {s})" for v, s, ws in V.LEXICON for w in ws.split()) + ")"
+LEX = "lex(word, val, subj) AS (VALUES " + ", ".join(f"({q(w)}, {v}, {s})" for v, s, ws in V.LEXICON for w in ws) + ")"
 
 
 def sentiment_ctes(source: str) -> str:
