@@ -20,6 +20,7 @@ HEADLINE = [
     "sentiment_score", "ensemble_score", "document_topics", "document_sentiment", "hotel_word_frequency", "collocations",
     "tfidf_weights", "tfidf_top_terms", "train_test_split", "classification_report", "evaluation_report",
     "text_analysis", "review_word_frequency", "recent_reviews", "filtered_reviews", "hotel_report_all", "text_root_cause_evidence", "text_text_analysis",
+    "dictionary_matches", "numeric_describe", "written_report", "separable_topic",
 ]
 
 

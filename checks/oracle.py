@@ -589,6 +589,8 @@ add("separable_topic", _MODEL, """SELECT review_id, CASE WHEN flag THEN topic EL
 for _name in ("uploaded_csv", "uploaded_json", "uploaded_parquet"):
     ORACLES[_name] = ORACLES["loaded_reviews"]
 ORACLES["written_report"] = ORACLES["topic_stats"]
+add("star_labels", CLEAN, """SELECT review_id, CASE WHEN rating IS NULL THEN 'no label' WHEN round_even(rating, 0) = 1 THEN '1 Star' ELSE concat(round_even(rating, 0)::INT, ' stars') END AS label,
+  coalesce((round_even(rating, 0) - 3) / 2, 0e0) AS score FROM clean""")
 ORACLES["stored_evaluation"] = ORACLES["evaluation_report"]
 add("split_overlap", _MODEL, "SELECT count(*) AS shared FROM drawn a JOIN drawn b USING (review_id) WHERE a.is_test AND NOT b.is_test")
 

@@ -542,6 +542,14 @@ def sentiment_score(spark, sf):
     return scored(spark, sf).select("review_id", "sentiment_score", "sentiment_label", "star_score", "true_label")
 
 
+@query
+def star_labels(spark, sf):
+    """Ratings as a star classifier words them, back to scores; what isn't such a label counts as three stars."""
+    stars = F.rint("rating").cast("int")
+    label = F.coalesce(F.concat(stars.cast("string"), F.when(stars == 1, " Star").otherwise(" stars")), F.lit("no label"))
+    return clean(spark, sf).select("review_id", label.alias("label"), lexicon.star_label_to_score(label).alias("score"))
+
+
 @query
 def document_sentiment(spark, sf):
     return sentiment.with_sentiment(documents(spark, sf)).select("review_id", "sentiment_score", "sentiment_label")
