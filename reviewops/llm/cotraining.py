@@ -296,7 +296,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, rounds:
 def scored(docs: DataFrame, model: Model | None, into: str = "quality") -> DataFrame:
     """The documents with a struct ``into``: text, page and score, the chance of a good document by each view and by both.
 
-    docs has columns text, source, lang and length; each may be null. Empty texts are judged by the
+    docs has columns text, source, lang and length; each may be null. A column already called ``into`` is replaced. Empty texts are judged by the
     text view's prior. Without a model all chances are 0.5.
     """
     @F.arrow_udf("text double, page double, score double")

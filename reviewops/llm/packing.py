@@ -142,7 +142,9 @@ def _planned(histogram: DataFrame, room: int) -> dict[int, tuple[np.ndarray, ...
 
 
 def placed(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, step: int = STEP) -> DataFrame:
-    """The pieces, any further columns included, with ``sequence_id`` and ``offset``, gapless from 0 in each sequence.
+    """The pieces, further columns included, with ``sequence_id`` and ``offset``, gapless from 0 in each sequence.
+
+    Columns already called so are replaced; ``_class``, ``_bucket``, ``_rank`` and ``_slot`` are names of its own and are dropped.
 
     Only the plan, of bounded size, reaches the driver. A class may hold any
     share of the pieces: ranks are counted in hash buckets and put together by running totals.
