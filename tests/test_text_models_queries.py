@@ -176,7 +176,8 @@ def test_quality_of_models_on_the_test_part(spark, sf_dir):
     assert same / len(labels) > 0.9 and all(0 <= r.confidence <= 1 for r in labels)
     terms = entry.queries()["boosted_feature_importance"](spark, sf_dir).collect()
     first = {r.topic: r for r in terms if r["rank"] == 1}
-    assert len(first) == 8 and all(r.importance > 0.05 for r in first.values()) and "wifi" in {r.term for r in terms if r.topic == "wifi"}
+    assert len(first) == 8 and all(r.importance > 0.05 for r in first.values())
+    assert set(first["wifi"].term.split()) <= set("wifi was slow and no internet no response".split())  # the one complaint about it: its words always come together
 
 
 def test_checkpoint_goes_to_a_folder(spark):
