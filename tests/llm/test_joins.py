@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from reviewops.llm import embedding_join, jaccard_join, substring_dedup
 from reviewops.llm.components import components
@@ -93,6 +94,33 @@ def test_a_crowded_sketch_loses_nothing(spark, copies):
     assert sorted_rows(rows) == sorted_rows(r[:3] for r in removed_by_hand(docs_of(spark, copies)))
 
 
+@pytest.mark.parametrize("folder", FOLDERS)
+def test_a_sketch_that_is_asked(spark, request, folder):
+    """Nothing may be sent: ranges of cells are asked instead, and the rows are the same."""
+    folder = request.getfixturevalue(folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = substring_dedup.deduplicated(docs, sent=0).select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.col("dedup.kept").cast("binary"), 256))
+    assert sorted_rows(rows.collect()) == sorted_rows(removed_by_hand(docs_of(spark, folder)))
+
+
+@pytest.mark.parametrize("sent", [0, substring_dedup.SENT])
+def test_single_windows_are_filtered_at_the_load_of_large_texts(spark, monkeypatch, sent):
+    """Cells for each anchor are what they are at a terabyte: the least width, which small texts are given, is out of the way."""
+    random.seed(5)
+    shared = " ".join(f"s{random.random()}" for _ in range(60))
+    docs = [(i, " ".join(f"w{random.random()}" for _ in range(300)), str(i)) for i in range(400)]
+    docs += [(1000, shared, "m"), (1001, shared, "n")]
+    texts = spark.createDataFrame(docs, "key bigint, text string, mark string").repartition(7)
+    monkeypatch.setattr(substring_dedup, "LEAST_WIDTH", 1)
+    width = substring_dedup.width_for(sum(len(t) for _, t, _ in docs) // 3)  # these words are thrice as long as common ones
+    let_through = substring_dedup._candidates(texts, 50, width, 64, sent, 1 << 12).where("bucket >= 0")
+    found = let_through.agg(F.sum(F.octet_length("text")) / 4, F.sum(F.octet_length("low")) / 8).first()
+    windows, single = 400 * 251 + 22, 400 * 251
+    assert 22 <= found[0] <= 22 + 0.1 * single
+    crowded = substring_dedup._candidates(texts, 50, 1 << 8, 64, sent, 1 << 7).where("bucket >= 0").agg(F.sum(F.octet_length("text")) / 4).first()
+    assert crowded[0] == windows
+
+
 def shingles(text, n):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(text)]
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
