@@ -62,9 +62,9 @@ def op7_embedding_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = store.documents(spark, folder).select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
-    model = language.learn(docs.where(~held_out), "doc_id")
-    return (docs.select("doc_id", held_out.alias("held_out"), language.predicted(F.col("text"), model).alias("p"))
-            .select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score")))
+    found = language.learned(docs.where(~held_out), "doc_id")
+    return language.identified(docs.select("doc_id", "text", held_out.alias("held_out")), found).select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -187,6 +187,18 @@ def test_every_language_is_learned_by_itself(spark):
     model = language.learn(spark.createDataFrame(rows, schema), "doc_id")
     held = spark.createDataFrame(later, schema)
     assert [(r.lang, r.p.lang) for r in held.select("lang", language.predicted(F.col("text"), model).alias("p")).collect()] == [(x, x) for *_, x in later]
+    # groups of a few languages come to the same: no task is sent more than seven
+    found = language.learned(spark.createDataFrame(rows, schema), "doc_id")
+    assert len(found.languages) == 90 and found.group(80, 90).languages == tuple(f"l{i}" for i in range(80, 90))
+    odd = spark.createDataFrame([*later, later[3], (500, None, "x"), (501, "", None), (502, "12 34", "l01"), (None, rows[0][1], None)], schema).repartition(3)
+    odd = odd.withColumn("mark", F.lit("m")).withColumn("_doc", F.lit(1))
+
+    def judged(group):
+        out = language.identified(odd, found, into="p", group=group)
+        assert out.columns == ["doc_id", "text", "lang", "mark", "_doc", "p"]
+        return sorted(((r.doc_id, r.text or "", r.p.lang, round(r.p.score, 9)) for r in out.collect()), key=str)
+
+    assert judged(7) == judged(90) and len(judged(7)) == 95
     # all orders stay: a language alone needs the same bits
     alone = language.learn(spark.createDataFrame([r for r in rows if r[2] == "l89"], schema), "doc_id")
     texts = scan.texts(pa.array([t for _, t, _ in later]), lower=True)
