@@ -11,8 +11,8 @@ known. Slots and blocks of documents are joined by block index.
 Draws scatter around the targets. What a source is given beyond its target goes, slot by slot,
 to sources below theirs, so that totals meet the targets within a block.
 
-Everything is drawn from hashes: reruns agree. No group has to fit into a task: running
-totals are made in hash buckets or runs of shards first.
+Everything is drawn from hashes: reruns agree. No group has to fit into a task, nor all sources:
+running totals are made in hash buckets, runs of shards or ranges of sources first.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ BLOCK = 32
 SHARD = 4096
 MOST = 3
 _BUCKETS = 1024
+#: Sources that are put in order in one task, slots to a task, and the most tasks that slots are dealt to.
+_RANGE = 100_000
+_SLOTS, _MOST_TASKS = 250_000, 50_000
 #: Odd factors of the permutations' rounds.
 _FACTORS = (714_025, 1_000_003, 583_277)
 
@@ -43,8 +46,24 @@ class Mix:
 
 def _before(value: str, *, by: list[str], order: list) -> Column:
     """Sum of ``value`` over the rows before."""
-    window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _running(rows: DataFrame, order: list[Column], name: str, **sums: str) -> DataFrame:
+    """The rows, kept, with sums over those before in a total order: ``sums`` names a column for each sum, ``place`` counts from 1.
+
+    Rows are dealt by ranges of the order; only one row a range is added up in one task.
+    """
+    rows = store.kept(rows, name)
+    ranges = rows.count() // _RANGE + 1
+    dealt = store.kept(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), name)
+    totals = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(value).alias(f"_{into}") for into, value in sums.items()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_range", *(F.coalesce(F.sum(f"_{x}").over(ahead), F.lit(0)).alias(f"_{x}") for x in ("n", *sums)))
+    inside = dealt.select("*", F.row_number().over(Window.partitionBy("_range").orderBy(*order)).alias("_at"),
+                          *(_before(value, by=["_range"], order=order).alias(f"_in_{into}") for into, value in sums.items()))
+    return store.kept(inside.join(bases, "_range").select(
+        *rows.columns, (F.col("_n") + F.col("_at")).alias("place"), *((F.col(f"_{x}") + F.col(f"_in_{x}")).alias(x) for x in sums)), name)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, block: int = BLOCK) -> DataFrame:
@@ -54,24 +73,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     the size of all of them. A target stops at ``most`` times the source's size and the excess
     goes to the others by weight, until none is above: the sources with the least room for
     their weight fill up first, and the level of the others follows from what these leave.
-    One row a source is all that meets in a task here. The quota is the number of slots whose
-    words, the short block counted as it is, come nearest to the target: half a block away at most.
+    The quota is the number of slots whose words, the short block counted as it is, come nearest
+    to the target: half a block away at most.
     """
-    numbered = (sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-                .withColumn("sid", F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))))
+    numbered = _running(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.asc_nulls_last("source")], "mix-order")
+    numbered = numbered.select("source", "source_size", F.col("place").cast("int").alias("sid"))
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1).cast("int"))
-    weighed = numbered.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    fill = [F.col("cap") / F.col("weight"), F.col("sid")]
-    everything = Window.orderBy(*fill).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = ((F.sum("source_size").over(everything) - F.col("cap_before")) / (F.sum("weight").over(everything) - F.col("weight_before")))
-    levelled = (weighed.withColumn("cap_before", _before("cap", by=[], order=fill)).withColumn("weight_before", _before("weight", by=[], order=fill))
-                .withColumn("level", level).withColumn("place", F.row_number().over(Window.orderBy(*fill))))
-    free = F.col("cap") / F.col("weight") >= F.col("level")
-    levelled = levelled.withColumn("final", F.min(F.when(free, F.struct("place", "level"))).over(everything))
-    target = F.when(F.col("final").isNull() | (F.col("place") < F.col("final.place")), F.col("cap").cast("double")).otherwise(
-        F.least(F.col("weight") * F.col("final.level"), F.col("cap").cast("double")))
+    weighed = numbered.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most).withColumn("room", F.col("cap") / F.col("weight"))
+    filled = _running(weighed, [F.asc("room"), F.asc("sid")], "mix-room", cap_before="cap", weight_before="weight")
+    words, heaps = (x or 0 for x in filled.agg(F.sum("source_size"), F.sum("weight")).first())
+    filled = filled.withColumn("level", (F.lit(words).cast("bigint") - F.col("cap_before")) / (F.lit(heaps).cast("bigint") - F.col("weight_before")))
+    final = filled.where("room >= level").agg(F.min(F.struct("place", "level")).alias("final")).first().final
+    cap = F.col("cap").cast("double")
+    target = cap if final is None else F.when(F.col("place") < final.place, cap).otherwise(F.least(F.col("weight") * F.lit(final.level), cap))
     blocks = F.ceil(F.col("source_size") / block).cast("bigint")
-    return (levelled.withColumn("target", target).withColumn("blocks", blocks)
+    return (filled.withColumn("target", target).withColumn("blocks", blocks)
             .withColumn("short_at", F.pmod(F.xxhash64("sid", F.lit(block)), F.greatest("blocks", F.lit(1))))
             .select("sid", "source", "source_size", "weight", "target", "blocks", "short_at",
                     F.when(F.col("blocks") > 0, _quota(block)).otherwise(F.lit(0).cast("bigint")).alias("quota")))
@@ -128,12 +144,13 @@ def _draws(sources: DataFrame, seed: int, shard: int) -> DataFrame:
     slots, kinds = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count(F.lit(1))).first()
     cells = max(1024, 4 * kinds)
     # the cell of a draw names the few sources that it may fall to
-    ranges = sources.where("quota > 0").select("sid", _before("quota", by=[], order=["sid"]).alias("low"), "quota").withColumn("high", F.col("low") + F.col("quota"))
+    ranges = _running(sources.where("quota > 0").select("sid", "quota"), [F.asc("sid")], "mix-ranges", low="quota").withColumn("high", F.col("low") + F.col("quota"))
     cell = f"CAST(%s * {cells} DIV {max(slots, 1)} AS bigint)"
     guide = (ranges.select("sid", "high", F.explode(F.sequence(F.expr(cell % "low"), F.expr(cell % "(high - 1)"))).alias("cell"))
              .groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("high", "sid"))).alias("maybe")))
     guide = store.kept(guide, "mix-guide")
-    drawn = (spark.range(slots).select((F.col("id") / shard).cast("bigint").alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(slots, 1))).alias("u"))
+    tasks = min(_MOST_TASKS, slots // _SLOTS + 1)
+    drawn = (spark.range(0, slots, 1, max(tasks, spark.sparkContext.defaultParallelism)).select((F.col("id") / shard).cast("bigint").alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(slots, 1))).alias("u"))
              .withColumn("cell", F.expr(cell % "u")).join(guide, "cell")
              .select("shard", F.filter("maybe", lambda x: F.col("u") < x["high"])[0]["sid"].alias("sid")))
     counts = store.kept(drawn.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
@@ -143,13 +160,13 @@ def _draws(sources: DataFrame, seed: int, shard: int) -> DataFrame:
     begun = totals.select("sid", "_run", _before("_n", by=["sid"], order=["_run"]).alias("_base"))
     given = totals.groupBy("sid").agg(F.sum("_n").alias("given"))
     state = (sources.select("sid", "quota", "blocks", "short_at").join(given, "sid", "left").fillna(0, ["given"])
-             .withColumn("over", F.greatest(F.col("given") - F.col("quota"), F.lit(0))).withColumn("under", F.greatest(F.col("quota") - F.col("given"), F.lit(0)))
-             .withColumn("over_before", _before("over", by=[], order=["sid"])).withColumn("under_before", _before("under", by=[], order=["sid"])))
+             .withColumn("over", F.greatest(F.col("given") - F.col("quota"), F.lit(0))).withColumn("under", F.greatest(F.col("quota") - F.col("given"), F.lit(0))))
+    state = _running(state, [F.asc("sid")], "mix-state", over_before="over", under_before="under").drop("place")
     state = store.kept(state.withColumn("plan", F.when(F.col("blocks") > 0, _permutation(F.col("sid"), F.greatest(F.col("blocks") - 1, F.lit(1))))), "mix-state")
 
     numbered = (runs.withColumn("_in", _before("n", by=["sid", "_run"], order=["shard"])).join(begun, ["sid", "_run"])
                 .join(state, "sid").withColumn("begin", F.col("_base") + F.col("_in")).withColumn("end", F.col("begin") + F.col("n"))
-                .repartition(slots // 250_000 + 1, "shard"))  # few rows, but each becomes many
+                .repartition(tasks, "shard"))  # few rows, but each becomes many
     own = (numbered.where("begin < quota").select("shard", "sid", "blocks", "short_at", "plan", F.explode(F.sequence("begin", F.least("end", "quota") - 1)).alias("j")))
     # slots beyond a quota, numbered through all sources, go to the sources that have slots to come
     spare = (numbered.where("end > quota").select(

@@ -53,6 +53,22 @@ def test_mix(spark, request, folder):
     assert sorted_rows(query(spark, folder).collect()) == sorted_rows(rows)
 
 
+def test_sources_in_ranges_give_the_same_mix(spark, monkeypatch):
+    """Many sources, some alike in room, put in order a few at a time."""
+    rows = [(i, "w " * (1 + i % 5 * 40), f"s{i % 37:02}" if i % 37 else None) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+
+    def mixed():
+        drawn = mixing.mix(docs)
+        sources = {r.source: (r.sid, r.target, r.quota) for r in drawn.sources.collect()}
+        return sources, sorted((r.key, r.taken) for r in mixing.taken(drawn).collect())
+
+    whole = mixed()
+    assert [whole[0][s][0] for s in (*(f"s{i:02}" for i in range(1, 37)), None)] == list(range(1, 38))
+    monkeypatch.setattr(mixing, "_RANGE", 4)
+    assert mixed() == whole
+
+
 def test_targets_with_small_and_empty_sources(spark):
     sizes = {"a": 1000, "b": 1, "c": 0, "d": 50, "é": 7, "z": 3, None: 100}
     df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size bigint")
