@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reviewops.fixed_values import STOP_WORDS
 from reviewops.functions import text
 from reviewops.functions.numbers import half_even
-from reviewops.operators.groups import ranked
+from reviewops.operators.groups import ranked, with_group_size
 from reviewops.session import kept
 
 BUCKET_DIGITS = 4  # hex digits of the draw key that name a bucket: 65536 buckets
@@ -28,11 +28,13 @@ def term_counts(df: DataFrame, key: str, column: str, ngrams: int = 2, stop_word
     """(document, term, tf).
 
     Texts are spread by document before they are taken apart: a text is smaller than
-    its terms, and every later step per document finds its rows in place.
+    its terms, and every later step per document finds its rows in place. Terms are counted
+    in the row of their text; only rows that share a document are added up.
     """
-    texts = df.select(F.col(key).alias("doc"), F.col(column).alias("_text")).repartition("doc")
-    terms = texts.select("doc", F.explode(_terms(F.col("_text"), ngrams, stop_words)).alias("term"))
-    return terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    texts = with_group_size(df.select(F.col(key).alias("doc"), F.col(column).alias("_text")), "doc")
+    counts = F.inline(text.counted(_terms(F.col("_text"), ngrams, stop_words))).alias("term", "tf")
+    several = texts.where("_rows > 1").select("doc", counts).groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
+    return texts.where("_rows = 1").select("doc", counts).unionByName(several)
 
 
 def vocabulary(counts: DataFrame, documents: Column, max_terms: int = 10_000, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
