@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewops.fixed_values import STOP_WORDS
 from reviewops.functions import lexicon, text
 from reviewops.functions.numbers import half_even, share
-from reviewops.operators.groups import first_n, ranked
+from reviewops.operators.groups import first_n, ranked, with_group_size
 
 
 def content_words(column: Column) -> Column:
@@ -48,16 +48,24 @@ def word_frequency(df: DataFrame, keys: Sequence[str], n: int = 10, column: str
     return _top_counts(words, keys, "word", n)
 
 
-def _words_of_each(df: DataFrame, key: str, n: int, column: str) -> DataFrame:
-    """``word_frequency`` by text. Texts move once, to where their key belongs; words never do."""
-    words = df.select(key, F.explode(content_words(F.col(column))).alias("word"))
-    counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("frequency"))
+def _words_of_several(placed: DataFrame, key: str, n: int, column: str) -> DataFrame:
+    """``word_frequency`` of keys that several texts of ``with_group_size`` share."""
+    words = placed.where("_rows > 1").select(key, F.inline(text.counted(content_words(F.col(column)))).alias("word", "_n"))
+    counts = words.groupBy(key, "word").agg(F.sum("_n").alias("frequency"))
     return ranked(counts, [key], [F.desc("frequency"), F.asc("word")]).filter(F.col("rank") <= n)
 
 
 def review_word_frequency(df: DataFrame, key: str = "review_id", n: int = 10, column: str = "review_text") -> DataFrame:
-    """The ``n`` most frequent content words of each text."""
-    return _words_of_each(df.select(key, column).repartition(key), key, n, column)
+    """The ``n`` most frequent content words of each text.
+
+    Texts move once, to where their key belongs. The words of a text are counted in its row; only texts that share
+    their key are taken apart into rows, to be counted together.
+    """
+    placed = with_group_size(df.select(key, column), key)
+    top = text.most_frequent(text.counted(content_words(F.col(column))), n)
+    alone = placed.where("_rows = 1").select(key, F.posexplode(top).alias("_at", "_top")).select(
+        key, F.col("_top.item").alias("word"), F.col("_top.n").alias("frequency"), (F.col("_at") + 1).alias("rank"))
+    return alone.unionByName(_words_of_several(placed, key, n, column))
 
 
 def keywords(df: DataFrame, keys: Sequence[str], n: int = 15, column: str = "review_text") -> DataFrame:
@@ -75,12 +83,15 @@ def collocations(df: DataFrame, keys: Sequence[str] = ("Hotel_Name",), n: int =
 
 def text_analysis(df: DataFrame, key: str = "review_id", column: str = "review_text") -> DataFrame:
     """All per-text statistics in one row: opinion, sentences, tokens and keywords."""
-    placed = df.select(key, column).repartition(key)
+    placed = with_group_size(df.select(key, column), key)
+    own = F.transform(text.most_frequent(text.counted(content_words(F.col(column))), 15), lambda c: c.item)
     tokens = token_profile(placed, column).select(
         key, lexicon.polarity(F.col(column)).alias("polarity"), lexicon.subjectivity(F.col(column)).alias("subjectivity"),
         F.size(text.sentences(F.col(column))).alias("sentence_count"), "token_count", "word_count", "non_stop_word_count",
-        "unique_words", "avg_word_length", "vocabulary_richness", lexicon.subjective_words(F.col(column)).alias("subjective_words"))
+        "unique_words", "avg_word_length", "vocabulary_richness", lexicon.subjective_words(F.col(column)).alias("subjective_words"),
+        F.when(F.col("_rows") == 1, own).alias("_own"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", "word")))
-    words = _words_of_each(placed, key, 15, column).groupBy(key).agg(F.transform(ordered, lambda k: k.word).alias("keywords"))
-    found = tokens.join(words, key, "left")
-    return found.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    words = _words_of_several(placed, key, 15, column).groupBy(key).agg(F.transform(ordered, lambda k: k.word).alias("_shared"))
+    # texts without a key have no keywords
+    own = F.when(F.col(key).isNotNull(), F.col("_own"))
+    return tokens.join(words, key, "left").withColumn("keywords", F.coalesce(own, "_shared", F.array().cast("array<string>"))).drop("_own", "_shared")

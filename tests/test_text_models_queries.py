@@ -1,11 +1,13 @@
 import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.compare import compare, connect
-from reviewops.functions import lexicon
+from reviewops.functions import lexicon, text
 from reviewops.operators import features, metrics, models, sentiment, textstats, topics
 from reviewops.plans import catalog, reports
 from reviewops.session import kept
@@ -206,3 +208,54 @@ def test_report_sections(spark, sf_dir):
     sections = reports.report_tables(catalog.tagged(spark, sf_dir), top=2)
     assert set(sections) == {"summary", "topic_stats", "impact_table", "action_plan", "roi"}
     assert sections["summary"].count() == 2 and sections["topic_stats"].count() == 16
+
+
+def _brute_counts(rows):
+    found = {}
+    for key, text in rows:
+        found.setdefault(key, Counter()).update(w for w in re.findall(r"[a-z]+", (text or "").lower()) if w not in textstats.STOP_WORDS)
+    return found
+
+
+#: Repeated keys, repeated rows, a null key, null and empty texts.
+_REPEATS = [(1, "bed bed pool"), (1, "pool pool bar"), (2, "pool"), (2, "pool"), (None, "bar bed"), (None, "bar"), (3, None), (4, ""), (5, "zeta alpha alpha")]
+
+
+def test_words_are_counted_in_their_row_and_texts_of_a_key_together(spark):
+    df = spark.createDataFrame(_REPEATS, "review_id long, review_text string")
+    got = textstats.review_word_frequency(df, n=2)
+    expected = {(k, w, n, i + 1) for k, c in _brute_counts(_REPEATS).items() for i, (w, n) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:2])}
+    assert {(r.review_id, r.word, r.frequency, r["rank"]) for r in got.collect()} == expected and got.count() == len(expected)
+    counts = features.term_counts(df, "review_id", "review_text", ngrams=1)
+    assert sorted(map(tuple, counts.collect()), key=repr) == sorted(((k, w, n) for k, c in _brute_counts(_REPEATS).items() for w, n in c.items()), key=repr)
+    words = sorted((r.review_id or 0, r.keywords) for r in textstats.text_analysis(df).collect())
+    assert words == [(0, []), (0, []), (1, ["pool", "bed", "bar"]), (1, ["pool", "bed", "bar"]), (2, ["pool"]), (2, ["pool"]), (3, []), (4, []), (5, ["alpha", "zeta"])]
+
+
+def test_words_of_a_text_are_not_grouped_as_rows(spark):
+    """Of texts that don't share a key no row of a word goes through an aggregate or a sort, which held all words of a task."""
+    df = spark.range(20_000).selectExpr("id AS review_id", "concat_ws(' ', transform(sequence(1, 200), i -> concat('w', chr(97 + i % 26), chr(97 + id % 26)))) AS review_text")
+    for found in (textstats.review_word_frequency(df), features.term_counts(df, "review_id", "review_text")):
+        assert found.count() > 0
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        aggregates = re.findall(r"Aggregate \[.*", plan)
+        assert len(aggregates) == 1  # of keys that texts share
+        assert plan.index("_rows", plan.index("Aggregate [")) and "> 1" in plan
+
+
+def test_training_does_not_store_the_words_of_all_texts(spark, monkeypatch):
+    """A share as ``maxDF`` makes the library persist all words to count the texts; a number doesn't, and gives the same words."""
+    given, real = [], models.word_pipeline
+    monkeypatch.setattr(models, "word_pipeline", lambda **options: given.append(options["max_df"]) or real(**options))
+    rows = [(i, "wifi slow " + ("room" if i % 20 else "lobby"), i % 2 == 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "review_id long, review_text string, has_wifi boolean")
+    model = models.train_forest(df, trees=1, depth=1, topics=["wifi"])
+    assert given == [0.95 * 40]
+    assert sorted(model.vocabulary) == sorted(real(max_df=0.95).fit(df).stages[4].vocabulary) == ["lobby", "room", "slow lobby", "slow room"]
+
+
+def test_tokens_are_made_once(spark, sf_dir):
+    plan = entry.queries()["document_tokens"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9']+") == 1
+    rows = spark.createDataFrame([("a  b c ",), (" ",), (None,), ("",)], "t string").select(text.split_words(F.col("t")).alias("w")).collect()
+    assert [r.w for r in rows] == [["a", "b", "c"], [], [], []]
