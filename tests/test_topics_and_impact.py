@@ -188,3 +188,14 @@ def test_dictionary_topics_equal_fixed_lists(spark):
     assert {r.review_id: r.topics for r in keywords.dictionary_topics(df, table).collect()} == fixed
     none = keywords.dictionary_topics(df, table.limit(0))
     assert {tuple(r.topics) for r in none.collect()} == {()}
+
+
+def test_runs_no_chosen_keyword_has_are_no_rows(spark):
+    """Of all runs of a text only the rarest of each keyword becomes a row: here one row for one text."""
+    rows = spark.createDataFrame([(i, "common words are here") for i in range(50)] + [(99, "common words and a zebrafish")], "_key long, _text string")
+    table = spark.createDataFrame([("common words and a zebrafish",)], "keyword string")
+    found = keywords.keyword_matches(rows.withColumnsRenamed({"_key": "review_id", "_text": "review_text"}), table)
+    assert [(r.review_id, r.keyword) for r in found.collect()] == [(99, "common words and a zebrafish")]
+    index = keywords._placed(spark.createDataFrame([("a zebr",)], "run string"))
+    assert [tuple(r) for r in keywords._text_runs(rows, index, [6]).collect()] == [(99, "a zebr")]
+    assert sum(r.n for r in keywords._spread(rows, keywords._placed(spark.createDataFrame([("common",)], "run string")), [6]).collect()) == 51
