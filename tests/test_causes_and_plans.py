@@ -147,3 +147,14 @@ def test_report_update_leaves_other_buckets_alone(spark, tmp_path):
     assert report.read_report(spark, empty, fmt="csv").columns == ["Hotel_Name", "n"] and report.read_report(spark, empty, fmt="csv").count() == 0
     with pytest.raises(FileNotFoundError):
         report.read_report(spark, str(tmp_path / "nowhere"))
+
+
+def test_quotes_are_searched_for_told_causes_only(spark):
+    rows = [(1, "h", "The shower was broken, understaffed and dirty", ["room"]), (2, "h", "lovely", ["room"]), (3, "h", "not enough staff", ["staff"]),
+            (4, "h", "broken", []), (5, "h", None, ["staff"])]
+    df = spark.createDataFrame(rows, "review_id long, Hotel_Name string, review_text string, topics array<string>")
+    told = causes.add_causes(df)
+    plain = sorted(map(tuple, causes.evidence_snippets(df).collect()))
+    assert sorted(map(tuple, causes.evidence_snippets(told).select(*causes.evidence_snippets(df).columns).collect())) == plain and plain
+    nothing = df.withColumn("causes", F.array().cast("array<string>"))
+    assert causes.evidence_snippets(nothing).count() == 0
