@@ -199,3 +199,11 @@ def test_runs_no_chosen_keyword_has_are_no_rows(spark):
     index = keywords._placed(spark.createDataFrame([("a zebr",)], "run string"))
     assert [tuple(r) for r in keywords._text_runs(rows, index, [6]).collect()] == [(99, "a zebr")]
     assert sum(r.n for r in keywords._spread(rows, keywords._placed(spark.createDataFrame([("common",)], "run string")), [6]).collect()) == 51
+
+
+def test_whole_words_with_signs_at_their_ends(spark):
+    words, texts = ["wi-fi", "[x]", "^y", "é", "]z", "-a"], ["a wi-fi b", "wi-fix", "[x]", "b[x]c", "^y", "b^y", "é", "éa", "b]z", "]z", "b-a", "-a", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(F.col("t").rlike(rf"\b(?:{'|'.join(map(re.escape, words))})\b"), F.lit(False))
+    rows = df.select(text.mentions_any(F.col("t"), words, True).alias("got"), plain.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and sum(r.got for r in rows) > 3
