@@ -3,12 +3,13 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.compare import compare, connect
 from reviewops.functions import lexicon, text
-from reviewops.operators import features, metrics, models, sentiment, textstats, topics
+from reviewops.operators import features, forests, metrics, models, sentiment, textstats, topics
 from reviewops.plans import catalog, reports
 from reviewops.session import kept
 
@@ -182,6 +183,51 @@ def test_quality_of_models_on_the_test_part(spark, sf_dir):
     assert set(first["wifi"].term.split()) <= set("wifi was slow and no internet no response".split())  # the one complaint about it: its words always come together
 
 
+def test_forests_vote_as_the_library_does(spark, monkeypatch):
+    """The same votes to the last bit, of batches cut into blocks too, and no walk of every tree for each row."""
+    words = ["wifi", "slow", "staff", "rude", "noise", "loud", "view", "bed", "harbour", "dirty", "caf\u00e9", "Night"]
+    rows = [(i, " ".join(words[(i * k * k + k) % 12] for k in range(1, 2 + i % 6))) for i in range(400)]
+    df = topics.add_topics(spark.createDataFrame(rows, "review_id long, review_text string"))
+    model = models.train_forest(df, trees=9, depth=7, topics=["wifi", "staff", "noise", "cleanliness"])
+    more = [(-1, ""), (-2, None), (-3, "nothing known"), (-4, "WIFI wifi wifi slow caf\u00e9")]
+    texts = spark.createDataFrame(rows + more, "review_id long, review_text string")
+    ready = models.weighted(texts, model.features)
+    library = ready
+    for t, forest in model.classifiers.items():
+        forest.setRawPredictionCol("_raw").setProbabilityCol("_p").setPredictionCol("_y")
+        library = forest.transform(library).withColumn(f"p_{t}", vector_to_array("_p")[1]).withColumn(f"pred_{t}", F.col("_y") > 0).drop("_raw", "_p", "_y")
+    names = ["review_id", *[f"{c}_{t}" for t in model.classifiers for c in ("p", "pred")]]
+    expected = library.select(names).orderBy("review_id").collect()
+    assert len(expected) == 404 and len({r[c] for r in expected for c in names[1::2]}) > 10
+    for paths in (forests.BLOCK_PATHS, 9 * 50, 1):  # one block, blocks of fifty rows, blocks of one
+        monkeypatch.setattr(forests, "BLOCK_PATHS", paths)
+        found = model.with_probabilities(texts)
+        assert found.select(names).orderBy("review_id").collect() == expected
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("[vote(") == 1 and "UDF(features" not in plan
+
+
+def test_words_without_accents_are_not_translated(spark):
+    """Texts of ASCII alone pass by the table of accents, and words are the same."""
+    rows = [("Wifi slow",), ("Caf\u00e9 \u00dcber \u0130stanbul \u212aelvin",), ("\u00e9",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "review_text string")
+    plain = models.word_pipeline().getStages()[0].transform(df)
+    old = F.translate(F.lower(F.coalesce("review_text", F.lit(""))), text.ACCENTED, text.UNACCENTED)
+    assert all(r.a == r.b for r in plain.select(F.col("_plain").alias("a"), old.alias("b")).collect())
+    assert "octet_length" in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_models_split_what_they_need(spark, sf_dir, monkeypatch):
+    """Reviews are cleaned and tagged for one table; the split is made of that, and dates, hotels and addresses aren't stored with it."""
+    stored, real = [], catalog.kept
+    monkeypatch.setattr(catalog, "kept", lambda df, name: stored.append((name, df)) or real(df, name))
+    split = catalog._split_rows(spark, sf_dir)
+    needed = {"review_id", "review_text", "rating", *[topics.flag(t) for t in topics.TOPICS]}
+    assert [(name, set(df.columns)) for name, df in stored] == [("rated-reviews", needed), ("model-split", needed | {"stratum", "is_test"})]
+    whole = features.split_train_test(catalog.tagged(spark, sf_dir).filter("rating IS NOT NULL")).select(split.columns)
+    assert split.exceptAll(whole).isEmpty() and whole.exceptAll(split).isEmpty() and split.count() > 0
+
+
 def test_checkpoint_goes_to_a_folder(spark):
     assert kept(spark.range(5), "test").count() == 5
 
