@@ -7,10 +7,10 @@ what remains of its longest set, or of the walking set, can't reach the overlap
 
 Who may be alike: the n-grams are dealt into classes by hash, more classes than the n-grams
 in which two linked sets can differ. Then some class holds the same n-grams in both, and its
-hash is a common signature: a link never lacks one. Classes that are empty, or hold only n-grams
-that many texts have, say little, so there are more classes than that, and these weak ones are
-left out; sets with more weak classes than were added sign them too. Which n-grams are taken for
-frequent is told by a sample; any choice gives the same links, a good one fewer candidates.
+hash is a common signature: a link never lacks one. Classes that are empty, hold only n-grams
+that many texts have, or hold few, say little, so there are more classes than that, and each set
+leaves out as many as were added, its weakest. Which n-grams are taken for frequent is told by a
+sample; any choice gives the same links, a good one fewer candidates.
 
 Equal sets are joined as one. The result is the classes of linked texts, so of links in a
 cell only a spanning forest is reported. Clusters of signature sharers are dealt to cells of
@@ -38,6 +38,7 @@ _NODE = 32
 _BATCH_PAIRS = 1 << 15
 _BATCH_TOKENS = 1 << 19
 _STEP_TOKENS = 1 << 19
+_MARK_BITS = 22
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,8 @@ class Signer:
         """frequent: ascending."""
         self.rule, self.frequent = rule, frequent
         self.bounds, self.schemes = [1], []
+        self.marks = np.zeros(1 << _MARK_BITS, dtype=bool)  # most n-grams are told from frequent ones without a search
+        self.marks[frequent >> np.uint64(64 - _MARK_BITS)] = True
 
     def _bound(self, band: int) -> int:
         """Smallest size of the band."""
@@ -73,7 +76,7 @@ class Signer:
         return self.bounds[band]
 
     def _scheme(self, band: int) -> tuple[int, int]:
-        """Number of classes, and the number of weak classes that a set may have without signing them."""
+        """Number of classes, and the number of weak classes that a set leaves out."""
         while len(self.schemes) <= band:
             low, most = self._bound(len(self.schemes)), self._bound(len(self.schemes) + 1) - 1
             other = self.rule.longest(most)
@@ -88,69 +91,97 @@ class Signer:
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
         """grams: one set, ascending."""
-        size = len(grams)
-        while self.bounds[-1] <= size:
+        return self.of_sets(grams, np.array([len(grams)]))[0]
+
+    def of_sets(self, grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of many sets, given one after the other, none empty, and the place of the set that each is of."""
+        while self.bounds[-1] <= sizes.max(initial=0):
             self._bound(len(self.bounds))
-        band = int(np.searchsorted(self.bounds, size, side="right")) - 1
-        out = [self._of(grams, band)]
-        if band and size <= self.rule.longest(self.bounds[band] - 1):
-            out.append(self._of(grams, band - 1))
-        return np.concatenate(out)
-
-    def _of(self, grams: np.ndarray, band: int) -> np.ndarray:
-        classes, spare = self._scheme(band)
-        if not classes:
-            return np.empty(0, dtype=np.uint64)  # only equal sets can be linked
-        mixed = scan.mix(grams + np.uint64(0x632BE59BD9B4E019 + band))
-        dealt = (mixed >> np.uint64(32)) % np.uint64(classes)
-        order = np.argsort(dealt, kind="stable")
-        dealt = dealt[order]
-        first = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]])) if len(dealt) else np.empty(0, np.int64)
-        sums, used = np.add.reduceat(scan.mix(mixed[order]), first), dealt[first]
-        strong = np.ones(len(first), dtype=bool)
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
-            strong = np.logical_or.reduceat((self.frequent[at] != grams)[order], first)
-        if classes - int(strong.sum()) <= spare:
-            sums, used = sums[strong], used[strong]
-        else:
-            missing = np.setdiff1d(np.arange(classes, dtype=np.uint64), used)
-            sums, used = np.concatenate([sums, np.zeros(len(missing), dtype=np.uint64)]), np.concatenate([used, missing])
-        return scan.mix(sums + scan.mix(used * np.uint64(1 << 20) + np.uint64(band)))
-
-
-def _sets(batch: pa.RecordBatch, column: str, n: int):
-    """Row and ascending distinct n-gram hashes of every text; of shorter texts all words are one n-gram."""
+        bands = np.searchsorted(self.bounds, sizes, side="right") - 1
+        rare = ~self.marks[grams >> np.uint64(64 - _MARK_BITS)]
+        likely = np.flatnonzero(~rare)
+        if len(likely):
+            found = grams[likely]
+            rare[likely] = self.frequent[np.minimum(np.searchsorted(self.frequent, found), len(self.frequent) - 1)] != found
+        longest = np.array([self.rule.longest(x - 1) for x in self.bounds])
+        below = (bands > 0) & (sizes <= longest[bands])
+        also = np.repeat(below, sizes)
+        one, of_one = self._of(grams, sizes, bands, rare)
+        two, of_two = self._of(grams[also], sizes[below], bands[below] - 1, rare[also])
+        return np.concatenate([one, two]), np.concatenate([of_one, np.flatnonzero(below)[of_two]])
+
+    def _of(self, grams: np.ndarray, sizes: np.ndarray, bands: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In one band for each set, without its weakest classes: as many as may be left out, but none as strong as one that stays.
+
+        Linked sets hold the same in more classes than either leaves out. Equal classes are equally strong, so one that
+        the set of the higher limit keeps is kept by the other too.
+        """
+        schemes = np.array([self._scheme(x) for x in range(bands.max(initial=-1) + 1)], dtype=np.int64).reshape(-1, 2)
+        classes, spare = schemes[bands].T
+        starts = np.cumsum(classes) - classes
+        total = int(classes.sum())
+        if not total:  # only equal sets can be linked
+            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        if not classes.all():
+            some = np.repeat(classes > 0, sizes)
+            grams, rare, sizes = grams[some], rare[some], np.where(classes > 0, sizes, 0)
+        mixed = scan.mix(grams + np.repeat(np.uint64(0x632BE59BD9B4E019) + bands.astype(np.uint64), sizes))
+        dealt = (mixed >> np.uint64(32)) * np.repeat(classes.astype(np.uint64), sizes) >> np.uint64(32)
+        slot = dealt.astype(np.int64) + np.repeat(starts, sizes)
+        low, high = ((x.astype(np.float64)) for x in (mixed & np.uint64(0xFFFFFFFF), mixed >> np.uint64(32)))  # sums of halves are exact
+        sums = np.bincount(slot, low, total).astype(np.uint64) + (np.bincount(slot, high, total).astype(np.uint64) << np.uint64(32))
+        strength = np.minimum(np.bincount(slot[rare], minlength=total), 255) * 256 + np.minimum(np.bincount(slot, minlength=total), 255)
+        owner = np.repeat(np.arange(len(sizes)), classes)
+        there = np.flatnonzero(classes > 0)
+        ordered = np.sort(owner << 16 | strength)
+        limit = np.zeros(len(sizes), dtype=np.int64)
+        limit[there] = ordered[starts[there] + spare[there]] & 0xFFFF
+        kept = np.flatnonzero(strength >= limit[owner])
+        owner = owner[kept]
+        name = (kept - starts[owner]).astype(np.uint64) * np.uint64(1 << 20) + bands[owner].astype(np.uint64)
+        return scan.mix(sums[kept] + scan.mix(name)), owner
+
+
+def _sets(batch: pa.RecordBatch, column: str, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of some rows at a time: the first row, the ascending distinct n-gram hashes of each text, one after the other, and
+    how many each has. Of texts shorter than an n-gram all words are one."""
     at_row = 0
     for part in scan.pieces(batch, column):
         words = scan.Words(*scan.texts(part.column(column), lower=True))
         hashes = words.hashes()
-        at, runs = words.runs(hashes, n)
-        bounds = np.searchsorted(at, words.first)
-        for i, count in enumerate(words.counts.tolist()):
-            if count >= n:
-                grams = np.unique(runs[bounds[i]:bounds[i + 1]])
-            elif count:
-                here = np.array([words.first[i]])
-                grams = scan._spans(hashes, here, here + count, scan._STEP_BASES[1])
-            else:
-                grams = np.empty(0, dtype=np.uint64)
-            yield at_row + i, grams
+        at, grams = words.runs(hashes, n)
+        short = np.flatnonzero((words.counts > 0) & (words.counts < n))
+        here = words.first[short]
+        sizes = np.maximum(words.counts - n + 1, 0)
+        sizes[short] = 1
+        if len(short):
+            grams = np.concatenate([grams, scan._spans(hashes, here, here + words.counts[short], scan._STEP_BASES[1])])
+            grams = grams[np.argsort(np.concatenate([words.text[at], short]), kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            grams[a:b].sort()
+        new = np.ones(len(grams), dtype=bool)
+        new[1:] = grams[1:] != grams[:-1]
+        new[ends[:-1][sizes > 0]] = True
+        yield at_row, grams[new], np.diff(np.concatenate([[0], np.cumsum(new)])[ends])
         at_row += part.num_rows
 
 
-def _class(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits of hash of a set; equal sets are one class."""
-    return (int(scan.mix(grams).sum(dtype=np.uint64).view(np.int64)), int(scan.mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
+def _classes(grams: np.ndarray, sizes: np.ndarray, flip: int = 0) -> np.ndarray:
+    """64 bits of hash of each set, 0 of an empty one; with two values of ``flip`` equal sets are one class."""
+    some = sizes > 0
+    out = np.zeros(len(sizes), dtype=np.uint64)
+    if some.any():
+        out[some] = np.add.reduceat(scan.mix(grams ^ np.uint64(flip)), (np.cumsum(sizes) - sizes)[some])
+    return out.view(np.int64)
 
 
 def _described(rule: Rule):
     def run(batches):
         for batch in batches:
-            rows = [(len(grams), *(_class(grams) if len(grams) else (0, 0))) for _, grams in _sets(batch, "text", rule.n)]
-            sizes, one, two = zip(*rows) if rows else ((), (), ())
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
-                                  names=["key", "size", "h1", "h2"])
+            for row, grams, sizes in _sets(batch, "text", rule.n):
+                yield pa.record_batch([batch.column(0).slice(row, len(sizes)), pa.array(sizes, pa.int64()), pa.array(_classes(grams, sizes)),
+                                       pa.array(_classes(grams, sizes, 0xA5A5A5A5A5A5A5A5))], names=["key", "size", "h1", "h2"])
     return run
 
 
@@ -164,14 +195,19 @@ def _views(column: pa.Array) -> Iterator[np.ndarray]:
 
 def _stars(signatures: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct signatures, the smallest class of each, and edges from it to the others, as rows."""
-    order = np.lexsort((classes, signatures))
+    order = np.argsort(signatures)
     signatures, classes = signatures[order], classes[order]
     new = np.ones(len(signatures), dtype=bool)
     new[1:] = signatures[1:] != signatures[:-1]
-    smallest = classes[new][np.cumsum(new) - 1]
-    other = smallest != classes
-    edges = np.unique(np.stack([smallest[other], classes[other]], 1), axis=0) if other.any() else np.empty((0, 2), dtype=np.int64)
-    return signatures[new], classes[new], edges
+    first = np.flatnonzero(new)
+    smallest = np.minimum.reduceat(classes, first) if len(first) else classes
+    of = np.repeat(smallest, np.diff(np.append(first, len(classes))))
+    other = np.flatnonzero(of != classes)
+    edges = np.stack([of[other], classes[other]], 1)
+    edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
+    again = np.zeros(len(edges), dtype=bool)
+    again[1:] = (edges[1:] == edges[:-1]).all(axis=1)
+    return signatures[first], smallest, edges[~again]
 
 
 _BLOBS = ["bucket", "signatures", "classes", "edges"]
@@ -181,7 +217,7 @@ _BLOB_ROWS = "bucket int, signatures binary, classes binary, edges binary"
 def _listed(rule: Rule):
     def run(batches):
         for batch in batches:
-            for _, grams in _sets(batch, "text", rule.n):
+            for _, grams, _ in _sets(batch, "text", rule.n):
                 yield pa.record_batch([pa.array(grams.view(np.int64))], names=["gram"])
     return run
 
@@ -201,7 +237,7 @@ def _signed(rule: Rule, buckets: int, shared, unit: int = 500_000):
         waiting, classes, held = [], [], 0
 
         def out():
-            signatures, smallest, edges = _stars(np.concatenate(waiting), np.repeat(np.array(classes, dtype=np.int64), [len(w) for w in waiting]))
+            signatures, smallest, edges = _stars(np.concatenate(waiting), np.concatenate(classes))
             bucket = ((signatures >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             found, first = np.unique(bucket[order], return_index=True)
@@ -212,11 +248,11 @@ def _signed(rule: Rule, buckets: int, shared, unit: int = 500_000):
                 pa.array([edges.astype("<i8").tobytes() if i == 0 else b"" for i in range(n)], pa.binary())], names=_BLOBS)
 
         for batch in batches:
-            for _, grams in _sets(batch, "text", rule.n):
-                if len(grams):
-                    waiting.append(signer.signatures(grams))
-                    classes.append(_class(grams)[0])
-                    held += len(waiting[-1])
+            for _, grams, sizes in _sets(batch, "text", rule.n):
+                signatures, of = signer.of_sets(grams, sizes[sizes > 0])
+                waiting.append(signatures)
+                classes.append(_classes(grams, sizes[sizes > 0])[of])
+                held += len(signatures)
                 if held > unit:
                     yield out()
                     waiting, classes, held = [], [], 0
@@ -401,8 +437,10 @@ def _joined(rule: Rule):
 def _grams_of(rule: Rule):
     def run(batches):
         for batch in batches:
-            grams = [g.astype("<u8").tobytes() for _, g in _sets(batch, "text", rule.n)]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(grams, pa.binary())], names=["key", "cells", "grams"])
+            for row, grams, sizes in _sets(batch, "text", rule.n):
+                ends = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
+                sets = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(grams.astype("<u8"))])
+                yield pa.record_batch([batch.column(0).slice(row, len(sizes)), batch.column(2).slice(row, len(sizes)), sets], names=["key", "cells", "grams"])
     return run
 
 

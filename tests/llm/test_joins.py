@@ -191,6 +191,25 @@ def test_linked_sets_share_a_signature(seed, share, size):
             assert np.intersect1d(signer.signatures(a), signer.signatures(b)).size
 
 
+def test_unlinked_sets_of_frequent_grams_share_no_signature():
+    """Large groups of near copies, whose n-grams are all frequent, don't become one cluster through the classes that are empty in each."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, 1064, dtype=np.uint64)) for _ in range(30)]
+    copies = [np.unique(np.concatenate([s[:-20], rng.integers(0, 1 << 63, 20, dtype=np.uint64)])) for s in sets]
+    signer = jaccard_join.Signer(jaccard_join.Rule(), np.unique(np.concatenate(sets + copies)))
+    found = [np.unique(signer.signatures(s)) for s in sets]
+    assert len(np.unique(np.concatenate(found))) == sum(map(len, found))
+    assert all(np.intersect1d(a, signer.signatures(b)).size for a, b in zip(found, copies))
+
+
+def test_signatures_of_many_sets_are_those_of_each():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 5, 9, 40, 333, 1064, 7)]
+    signer = jaccard_join.Signer(jaccard_join.Rule(), np.sort(np.concatenate(sets)[::3]))
+    found, of = signer.of_sets(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert all(np.array_equal(np.sort(found[of == i]), np.sort(signer.signatures(s))) for i, s in enumerate(sets))
+
+
 def test_components(spark):
     random.seed(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 2000 + i) for i in range(50)] + [(random.randint(100, 300), random.randint(100, 300)) for _ in range(120)] + [(5, 5), (900, 900)]
