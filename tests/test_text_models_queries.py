@@ -156,6 +156,20 @@ def test_rare_topic_among_many_rows(spark):
     assert shares == {"wifi": (1.0, 1000 / (n - 20)), "staff": (0.02, 0.02)}
 
 
+def test_trees_grow_on_all_rows(spark, monkeypatch):
+    """Without a bound that the caller asks for, every row is fitted, and twenty examples in a hundred thousand rows are told by their words."""
+    n, seen, fit = 110_000, [], models.RandomForestClassifier.fit
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, rows: seen.append(rows.agg(F.count("*"), F.sum("weight")).first()) or fit(self, rows))
+    texts = F.when(F.col("id") % (n // 20) == 7, "the wifi was slow").when(F.col("id") % 2 == 0, "rude staff at the desk").otherwise("lovely view of a harbour")
+    df = topics.add_topics(spark.range(n).select(F.col("id").alias("review_id"), texts.alias("review_text")))
+    model = models.train_forest(df, trees=5, depth=4, topics=["staff"])
+    assert seen[0][0] == n and math.isclose(seen[0][1], n)
+    model = models.train_forest(df, trees=5, depth=4, topics=["wifi"])
+    assert seen[1][0] >= n and math.isclose(seen[1][1], n) and model.training == {"wifi": 1.0}
+    assert model.with_probabilities(df.select("review_id", "review_text")).filter("pred_wifi").count() == 20
+    assert models._copies(20, n - 20) == (550, 1) and models._copies(n - 20, 20) == (1, 550) and models._copies(20, 5000) == (1, 1)
+
+
 def test_training_vectors_by_hand(spark):
     """(1 + ln tf) * idf, scaled to length 1, without a row-at-a-time function in the plan."""
     df = spark.createDataFrame([(0, "red red blue"), (1, "red green"), (2, ""), (3, None)], "id int, review_text string")
